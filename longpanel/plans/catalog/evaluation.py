@@ -71,11 +71,11 @@ sp AS (SELECT factor, ts, max(ret) FILTER (WHERE bucket = 4) - max(ret) FILTER (
   FROM pp GROUP BY factor, ts)"""
 
 
-@add("eval_quantile_returns", f"""WITH {study_sql()} {long_sql()} {_BUCKETS}
+@add("eval_quantile_returns", f"""WITH {study_sql()} {long_sql(label='y1 * 0.01')} {_BUCKETS}
 SELECT factor, ts, bucket, {r('ret', 'ret')}, n, {r('''product(1 + ret) OVER (
   PARTITION BY factor, bucket ORDER BY ts) - 1''', 'cum_ret', 6)} FROM pp""")
 def quantile_returns(spark, d):
-    s = study(spark, d)
+    s = study(spark, d).withColumn("y1", F.col("y1") * 0.01)
     return rounded(E.quantile_curves(E.bucketed(s, FACTORS, "y1", 5), _n_ts(s)), cum_ret=6)
 
 
@@ -89,11 +89,11 @@ def quantile_weighted(spark, d):
     return rounded(E.bucketed(study(spark, d), FACTORS, "y1", 10, weight="volume"))
 
 
-@add("eval_quantile_spread", f"""WITH {study_sql()} {long_sql()} {_BUCKETS}
+@add("eval_quantile_spread", f"""WITH {study_sql()} {long_sql(label='y1 * 0.01')} {_BUCKETS}
 SELECT factor, ts, {r('spread', 'spread')}, {r('''product(1 + spread) OVER (
   PARTITION BY factor ORDER BY ts) - 1''', 'cum_spread', 6)} FROM sp WHERE spread IS NOT NULL""")
 def quantile_spread(spark, d):
-    s = study(spark, d)
+    s = study(spark, d).withColumn("y1", F.col("y1") * 0.01)
     return rounded(E.quantile_spread(E.bucketed(s, FACTORS, "y1", 5), 5, _n_ts(s)), cum_spread=6)
 
 
@@ -276,7 +276,7 @@ def leak_canary(spark, d):
 @add("eval_flagship_reversal_ic", f"""WITH {study_sql()},
 m1 AS (SELECT *, median(rev_5) OVER (PARTITION BY ts) AS med FROM st),
 m2 AS (SELECT *, median(abs(rev_5 - med)) OVER (PARTITION BY ts) * 1.4826 AS mad FROM m1),
-m3 AS (SELECT *, CASE WHEN mad > 0 THEN least(greatest(rev_5, med - 3 * mad), med + 3 * mad) ELSE rev_5 END AS wx FROM m2),
+m3 AS (SELECT *, CASE WHEN mad > 0 AND rev_5 IS NOT NULL THEN least(greatest(rev_5, med - 3 * mad), med + 3 * mad) ELSE rev_5 END AS wx FROM m2),
 m4 AS (SELECT *, (wx - avg(wx) OVER (PARTITION BY ts)) / nullif(stddev_samp(wx) OVER (PARTITION BY ts), 0) AS zx FROM m3)
 {long_sql('m4', ('zx',))} {ic_sql()}
 SELECT 'rev_5' AS factor, ts, {r('ic', 'ic')}, n FROM ics""")
