@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .base import Catalog
 
-FAMILIES = ("labels", "transforms", "evaluation", "metrics", "screening", "validation", "trading")
+FAMILIES = ("labels", "transforms", "evaluation", "metrics", "screening", "validation", "trading", "market")
 
 
 def load() -> Catalog:

@@ -73,7 +73,7 @@ panel AS (
   SELECT b.ts, b.symbol, b.l_suppkey, open, high, low, close,
          lag(close) OVER (PARTITION BY b.symbol ORDER BY b.ts) AS prev_close,
          amount / volume AS vwap, volume, amount, volume / 1000 AS turnover,
-         close AS adj_close, ln(volume + 1) AS log_volume,
+         close AS adj_close, round(ln(volume + 1), 9) AS log_volume,
          s_acctbal AS market_cap, n_name AS industry
   FROM bars b JOIN supplier ON s_suppkey = b.l_suppkey
               JOIN nation ON n_nationkey = s_nationkey)"""

@@ -82,22 +82,22 @@ def weight_converged(spark, d):
 
 @add("weight_turnover_blend", f"""WITH {panel_sql()} {_W_RANK},
 x0 AS (SELECT ts, symbol, industry, weight AS w FROM wt) {_ITER.format(i='x0', o='x1')},
-pv AS (SELECT x1.*, CASE WHEN l_suppkey % 2 = 0 THEN 0.01 ELSE -0.01 END AS prev FROM x1 JOIN panel USING (ts, symbol)),
+pv AS (SELECT x1.*, CASE WHEN l_suppkey % 2 = 0 THEN 0.011 / 3 ELSE -0.011 / 3 END AS prev FROM x1 JOIN panel USING (ts, symbol)),
 tr AS (SELECT *, sum(abs(w - prev)) OVER (PARTITION BY ts) AS trade FROM pv)
 SELECT ts, symbol, {r('CASE WHEN trade > 0.3 THEN prev + 0.3 / trade * (w - prev) ELSE w END', 'weight')} FROM tr""")
 def weight_turnover(spark, d):
     c = P.Constraints(max_weight=0.03, min_weight=-0.03, max_industry=0.10, max_turnover=0.3)
-    w = _weights(spark, d).withColumn("prev", F.when(F.col("l_suppkey") % 2 == 0, 0.01).otherwise(-0.01))
+    w = _weights(spark, d).withColumn("prev", F.when(F.col("l_suppkey") % 2 == 0, 0.011 / 3).otherwise(-0.011 / 3))
     return rounded(P.apply_constraints(w, c, prev_weight="prev", max_iter=1).select("ts", "symbol", "weight"))
 
 
 @add("weight_market_neutral", f"""WITH {panel_sql()} {_W_RANK},
-g AS (SELECT ts, sum(weight * (1 + volume / 1000)) AS beta FROM wt GROUP BY ts)
+g AS (SELECT ts, sum(weight * ln(volume)) AS beta FROM wt GROUP BY ts)
 SELECT ts, 'IM' AS hedge, {r('beta', 'beta')}, {r('beta * 1e8', 'notional', 3)},
   CAST(round_even(-beta * 1e8 / (6000.0 * 200), 0) AS BIGINT) AS contracts,
   {r('beta * 1e8 + round_even(-beta * 1e8 / (6000.0 * 200), 0) * 6000 * 200', 'residual_notional', 3)}, CAST(200 AS DOUBLE) AS multiplier FROM g""")
 def market_neutral(spark, d):
-    w = _weights(spark, d).withColumn("beta", 1 + F.col("volume") / 1000)
+    w = _weights(spark, d).withColumn("beta", F.log("volume"))
     return rounded(P.market_neutral(w, capital=1e8, index_price=6000.0), notional=3,
                    residual_notional=3)
 
@@ -105,7 +105,7 @@ def market_neutral(spark, d):
 # ------------------------------------------------------------------ costs
 
 _TRADES = """,
-tr AS (SELECT ts, symbol, (CASE WHEN l_suppkey % 2 = 0 THEN 1 ELSE -1 END) * volume * 10 AS shares, vwap AS price,
+tr AS (SELECT ts, symbol, (CASE WHEN l_suppkey % 2 = 0 THEN 1 ELSE -1 END) * volume * 10 AS shares, 100 * ln(vwap) AS price,
   volume * 40 AS adv, 0.02 + l_suppkey % 7 / 100.0 AS sigma FROM panel)"""
 
 
@@ -113,7 +113,7 @@ def _trades(spark, d):
     p = weekly_panel(spark, d)
     return p.select(
         "ts", "symbol", (F.when(F.col("l_suppkey") % 2 == 0, 1).otherwise(-1) * F.col("volume") * 10)
-        .alias("shares"), F.col("vwap").alias("price"), (F.col("volume") * 40).alias("adv"),
+        .alias("shares"), (100 * F.log("vwap")).alias("price"), (F.col("volume") * 40).alias("adv"),
         (0.02 + F.col("l_suppkey") % 7 / 100.0).alias("sigma"))
 
 
@@ -137,7 +137,7 @@ def cost_apply(spark, d):
 @add("cost_impact_and_lots", f"""WITH {panel_sql()} {_TRADES}
 SELECT ts, symbol, {r('0.5 * sigma * sqrt(least(abs(shares) / adv, 1.0))', 'impact')},
   {r('CASE WHEN shares > 0 THEN floor(shares / 100) * 100 ELSE shares END', 'lots')},
-  CASE WHEN CAST(ts AS DATE) >= DATE '2023-08-28' THEN 0.0005 ELSE 0.001 END AS duty FROM tr""")
+  CASE WHEN CAST(ts AS DATE) >= DATE '2023-08-28' THEN CAST(0.0005 AS DOUBLE) ELSE 0.001 END AS duty FROM tr""")
 def impact(spark, d):
     t = _trades(spark, d)
     return rounded(t.select("ts", "symbol",
@@ -181,11 +181,11 @@ def mean_weight(spark, d):
 
 # ------------------------------------------------------------------ accounting
 
-# log prices keep compounded equity within range on this panel
+# log prices and a tenth of the gross keep compounded equity within range on this panel
 _PX = ", px AS (SELECT ts, symbol, ln(vwap) AS p FROM panel)"
 _GROSS = f"""{_PX},
 o AS (SELECT ts, row_number() OVER (ORDER BY ts) AS k FROM (SELECT DISTINCT ts FROM wt)),
-b AS (SELECT wt.ts, wt.symbol, weight AS w, p, k FROM wt JOIN px ON px.ts = wt.ts AND px.symbol = wt.symbol JOIN o ON o.ts = wt.ts),
+b AS (SELECT wt.ts, wt.symbol, weight * 0.1 AS w, p, k FROM wt JOIN px ON px.ts = wt.ts AND px.symbol = wt.symbol JOIN o ON o.ts = wt.ts),
 pr AS (SELECT c.*, l.w AS lw, l.p AS lp FROM b c LEFT JOIN b l ON l.symbol = c.symbol AND l.k = c.k - 1),
 gr AS (SELECT k - 1 AS k, sum(lw * (p / lp - 1)) AS g FROM pr WHERE lw IS NOT NULL GROUP BY k),
 pt AS (SELECT o.ts, o.k, coalesce(g, 0) AS g, 1e6 * product(1 + coalesce(g, 0)) OVER (ORDER BY o.k) AS eq FROM o LEFT JOIN gr ON gr.k = o.k),
@@ -200,14 +200,13 @@ SELECT 'book' AS book_id, ts, {r('g * e0', 'gross_pnl', 4)}, CAST(0 AS DOUBLE) A
   {r('turnover', 'turnover')}, {r('ge', 'gross_exposure')}, {r('ne', 'net_exposure')}, {r('eq', 'equity', 4)}, nn AS n_names
 FROM pb JOIN tv USING (k)""")
 def gross(spark, d):
-    w = _weights(spark, d)
-    px = weekly_panel(spark, d).select("ts", "symbol", F.log("vwap").alias("vwap"))
+    w, px = _costed_inputs(spark, d)
     return rounded(G.simulate_cross_sectional(w, px, capital=1e6), gross_pnl=4, net_pnl=4, equity=4)
 
 
 def _costed_inputs(spark, d):
     p = weekly_panel(spark, d)
-    w = _weights(spark, d)
+    w = _weights(spark, d).withColumn("weight", F.col("weight") * 0.1)
     px = p.select("ts", "symbol", F.log("vwap").alias("vwap"), (F.col("volume") * 1000).alias("adv"),
                   F.lit(0.02).alias("sigma"))
     return w, px
@@ -227,13 +226,13 @@ def costed_trades(spark, d):
 
 # a model that charges nothing and trades single shares must agree with the closed form
 @add("account_costed_free", f"""WITH {panel_sql()} {_W_RANK} {_GROSS}
-SELECT ts, {r('g', 'net_return')}, {r('turnover', 'turnover', 6)}, nn AS n_names FROM pb JOIN tv USING (k)""")
+SELECT ts, {r('g', 'net_return')}, {r('turnover', 'turnover', 6)} FROM pb JOIN tv USING (k)""")
 def costed_free(spark, d):
     w, px = _costed_inputs(spark, d)
     # capital so large that rounding buys to one share is below the reported digits
     free = B.CostModel(0.0, 0.0, 0.0, 0.0, 0.0, lot_size=1)
     out = G.simulate_cross_sectional(w, px, capital=1e15, costs=free)
-    return rounded(out.select("ts", "net_return", "turnover", "n_names"), turnover=6)
+    return rounded(out.select("ts", "net_return", "turnover"), turnover=6)
 
 
 @add("account_book_summary", f"""WITH {panel_sql()} {_W_RANK} {_GROSS}
@@ -245,7 +244,7 @@ def book_summary(spark, d):
 
 
 _TS = """,
-sg AS (SELECT ts, symbol, CASE WHEN close > open THEN 3.0 WHEN close < open THEN -2.0 ELSE 0.0 END AS pos, close AS px, (high - low) / 10 AS spread FROM panel),
+sg AS (SELECT ts, symbol, CASE WHEN close > open THEN 3.0 WHEN close < open THEN -2.0 ELSE 0.0 END AS pos, 1000 * ln(close) AS px, ln(high / low) * 100 AS spread FROM panel),
 sn AS (SELECT *, coalesce(lead(px) OVER s, px) AS nx, pos - coalesce(lag(pos) OVER s, 0) AS delta FROM sg WINDOW s AS (PARTITION BY symbol ORDER BY ts)),
 sc AS (SELECT *, pos * (nx - px) AS gross, CASE WHEN abs(delta) * nx > 0 THEN greatest(abs(delta) * nx * 0.00025, 5.0) ELSE 0 END
   + CASE WHEN delta < 0 THEN abs(delta) * nx * 0.001 ELSE 0 END AS cost FROM sn)"""
@@ -254,7 +253,8 @@ sc AS (SELECT *, pos * (nx - px) AS gross, CASE WHEN abs(delta) * nx > 0 THEN gr
 def _signal(spark, d):
     p = weekly_panel(spark, d)
     s = F.when(F.col("close") > F.col("open"), 3.0).when(F.col("close") < F.col("open"), -2.0).otherwise(0.0)
-    return p.select("ts", "symbol", s.alias("signal"), "close", ((F.col("high") - F.col("low")) / 10).alias("spread"))
+    return p.select("ts", "symbol", s.alias("signal"), (1000 * F.log("close")).alias("close"),
+                    (F.log(F.col("high") / F.col("low")) * 100).alias("spread"))
 
 
 @add("account_time_series", f"""WITH {panel_sql()} {_TS}

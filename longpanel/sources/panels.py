@@ -71,7 +71,7 @@ def panel(spark: SparkSession, sf_dir: str, unit: str = "week") -> DataFrame:
     df = b.join(names, "l_suppkey").withColumns({
         "turnover": F.col("volume") / 1000,
         "adj_close": F.col("close"),
-        "log_volume": F.log(F.col("volume") + 1),
+        "log_volume": F.round(F.log(F.col("volume") + 1), 9),
     })
     from ..functions.ordered import with_trailing
 
