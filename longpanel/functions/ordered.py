@@ -295,10 +295,10 @@ class Trail:
         a, b = F.when(both, a), F.when(both, b)
         w = self.window(n)
         need = n if min_periods is None else min_periods
-        sa, sb = F.stddev_samp(a).over(w), F.stddev_samp(b).over(w)
-        enough = F.count(a).over(w) >= need
-        return F.when(enough & (sa > 0) & (sb > 0),
-                      F.try_divide(F.covar_samp(a, b).over(w), sa * sb))
+        # every mention of a window expression is evaluated, so each appears once
+        spread = F.stddev_samp(a).over(w) * F.stddev_samp(b).over(w)
+        return F.when(F.count(a).over(w) >= need,
+                      F.try_divide(F.covar_samp(a, b).over(w), spread))
 
 
 def with_trailing(df: DataFrame, by: Sequence[str], order: Sequence[str], reach: int,

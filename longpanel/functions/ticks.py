@@ -112,30 +112,28 @@ def is_directional(side_code: Column) -> Column:
     return F.coalesce(side_code.isin("1", "2"), F.lit(False))
 
 
-def _two(x: Column, power: int) -> Column:
-    return F.floor(x / power) % 100
+def _div(x: Column, n: int) -> Column:
+    """Integer division in BIGINT; 17-digit stamps do not fit a double."""
+    return F.call_function("div", x, F.lit(n))
+
+
+def _clock(date: Column, t: Column) -> Column:
+    sec = (t % 100_000).cast("decimal(16,6)") / F.lit(1000).cast("decimal(4,0)")
+    return F.make_timestamp_ntz(
+        _div(date, 10_000).cast("int"), (_div(date, 100) % 100).cast("int"),
+        (date % 100).cast("int"), _div(t, 10_000_000).cast("int"),
+        (_div(t, 100_000) % 100).cast("int"), sec.cast("decimal(16,6)"))
 
 
 def decode_sse_time(trade_date: Column, hhmmssmmm: Column) -> Column:
     """``yyyyMMdd`` and ``HHmmssSSS`` integers to a timestamp."""
-    d, t = trade_date.cast("bigint"), hhmmssmmm.cast("bigint")
-    ms = t % 1000
-    sec = (_two(t, 1000) * 1000 + ms).cast("decimal(20,3)") / F.lit(1000).cast("decimal(4,0)")
-    return F.make_timestamp_ntz(
-        F.floor(d / 10000).cast("int"), _two(d, 100).cast("int"), (d % 100).cast("int"),
-        F.floor(t / 10_000_000).cast("int"), _two(t, 100_000).cast("int"),
-        sec.cast("decimal(16,6)"))
+    return _clock(trade_date.cast("bigint"), hhmmssmmm.cast("bigint"))
 
 
 def decode_szse_time(stamp: Column) -> Column:
     """``yyyyMMddHHmmssSSS`` to a timestamp."""
     s = stamp.cast("bigint")
-    return decode_sse_time(F.expr("1") * _div(s, 1_000_000_000), s % 1_000_000_000)
-
-
-def _div(x: Column, n: int) -> Column:
-    """Exact integer division of a non-negative BIGINT."""
-    return ((x - x % n) / n).cast("decimal(20,0)").cast("bigint")
+    return _clock(_div(s, 1_000_000_000), s % 1_000_000_000)
 
 
 def phase_flags(code: Column, exchange: Column) -> Column:

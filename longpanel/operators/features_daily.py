@@ -57,9 +57,9 @@ def _fifth(x: Column) -> Column:
 _feature("rev_5", "trad")(lambda t: -_ret(t, 5))
 _feature("rev_20", "trad")(lambda t: -_ret(t, 20))
 _feature("mom_60_20", "trad")(lambda t: ratio(_back(t, 20), _back(t, 60)) - 1)
-_feature("vol_20", "trad")(lambda t: t.std(c("_r1"), 20))
+_feature("vol_20", "trad")(lambda t: c("_sd20"))
 _feature("beta_60", "trad")(lambda t: ratio(
-    t.corr(c("_r1"), c("mkt_ret"), 60) * t.std(c("_r1"), 60), t.std(c("mkt_ret"), 60)))
+    t.corr(c("_r1"), c("mkt_ret"), 60) * c("_sd60"), t.std(c("mkt_ret"), 60)))
 _feature("ivol_20", "trad")(lambda t: t.std(c("_r1") - c("mkt_ret"), 20))
 _feature("turn_20", "trad")(lambda t: t.mean(c("turnover"), 20))
 _feature("turn_bias", "trad")(lambda t: ratio(t.mean(c("turnover"), 20),
@@ -68,7 +68,7 @@ _feature("illiq", "trad")(lambda t: t.mean(ratio(F.abs(c("_r1")), c("amount") +
 _feature("size", "trad")(lambda t: F.when(c("market_cap") > 0, F.log(c("market_cap"))))
 _feature("max_5", "trad")(lambda t: t.max(c("_r1"), 5))
 _feature("skew_20", "trad")(lambda t: ratio(t.mean(c("_dev3"), 20),
-                                            _cube(t.std(c("_r1"), 20)) + 1e-12))
+                                            _cube(c("_sd20")) + 1e-12))
 _feature("bias_20", "trad")(lambda t: ratio(c("adj_close"), t.mean(c("adj_close"), 20)) - 1)
 _feature("hl_range_20", "trad")(lambda t: t.mean(ratio(c("high") - c("low"), c("close")), 20))
 
@@ -87,17 +87,16 @@ _feature("a191_001", "a191")(lambda t: -t.corr(c("_rank_dlogv"), c("_rank_drive"
 _feature("a191_002", "a191")(lambda t: t.lag(c("_pos_range"), 1) - c("_pos_range"))
 _feature("a191_014", "a191")(lambda t: c("adj_close") - _back(t, 5))
 _feature("a191_018", "a191")(lambda t: ratio(c("adj_close"), _back(t, 5)))
-_feature("a191_020", "a191")(lambda t: ratio(c("adj_close") - _back(t, 6),
-                                             _back(t, 6) + 1e-12) * 100)
+_feature("a191_020", "a191")(lambda t: ratio(c("adj_close") - c("_c6"), c("_c6") + 1e-12) * 100)
 _feature("a191_053", "a191")(lambda t: t.sum(c("_up"), 12) / 12 * 100)
 
 _feature("q158_kmid", "q158")(lambda t: ratio(c("close") - c("open"), c("open")))
 _feature("q158_klen", "q158")(lambda t: ratio(c("high") - c("low"), c("open")))
 _feature("q158_kup", "q158")(lambda t: ratio(c("high") - F.greatest("open", "close"), c("open")))
 _feature("q158_rsv_20", "q158")(lambda t: ratio(
-    c("close") - t.min(c("low"), 20), t.max(c("high"), 20) - t.min(c("low"), 20) + 1e-12))
+    c("close") - c("_low20"), t.max(c("high"), 20) - c("_low20") + 1e-12))
 _feature("q158_roc_10", "q158")(lambda t: _ret(t, 10))
-_feature("q158_std_60", "q158")(lambda t: t.std(c("_r1"), 60))
+_feature("q158_std_60", "q158")(lambda t: c("_sd60"))
 _feature("q158_vsty_20", "q158")(lambda t: ratio(t.std(c("volume"), 20),
                                                  t.mean(c("volume"), 20) + 1))
 _feature("q158_cntp_20", "q158")(lambda t: t.mean(c("_up"), 20))
@@ -146,13 +145,18 @@ def compute_features(bars: DataFrame, names: Sequence[str] | None = None) -> Dat
     def build(d: DataFrame, t: Trail) -> DataFrame:
         d = d.withColumn("_r1", _ret(t, 1))
         d = d.withColumns({
-            "_mean_r": t.mean(c("_r1"), 20),
+            "_mean_r": t.mean(c("_r1"), 20), "_c6": _back(t, 6),
             "_up": F.when(c("_r1").isNotNull(), (c("_r1") > 0).cast("double")),
             "_pos_low": ratio(_body(), c("close") - c("low") + 1e-6),
             "_pos_range": ratio(_body(), c("high") - c("low") + 1e-6),
         })
-        d = d.withColumn("_dev3", _cube(c("_r1") - c("_mean_r")))
-        return d.withColumns({n: finite(_FEATURES[n][1](t)) for n in wanted})
+        d = d.withColumn("_dev", c("_r1") - c("_mean_r"))
+        d = d.withColumns({"_dev3": _cube(c("_dev")), "_sd20": t.std(c("_r1"), 20),
+                           "_sd60": t.std(c("_r1"), 60),
+                           "_low20": t.min(c("low"), 20)})
+        # materialised before the finiteness test, which mentions its argument several times
+        d = d.withColumns({f"_f_{n}": _FEATURES[n][1](t) for n in wanted})
+        return d.withColumns({n: finite(c(f"_f_{n}")) for n in wanted})
 
     # nested windows (a mean of deviations from a mean) look back twice as far
     return with_trailing(df, [SYMBOL], [TS], REACH, build).select(TS, SYMBOL, *wanted)

@@ -49,31 +49,36 @@ def build_flow_features(panel: DataFrame, *, window: int = 20) -> DataFrame:
         def total(x):
             return t.sum(x, window, half)
 
+        # staged: a clipped divisor mentions its argument twice, a window should run once
+        staged = {
+            "_s": total(s), "_abs_s": total(F.abs(s)), "_v": total(v), "_nt": m(c("n_trades")),
+            "_rs": m(r * s), "_mr": m(r), "_ms": m(s), "_var": t.var(s, window, half),
+            "_abs_r": m(F.abs(r)), "_amt": m(c("amount")), "_bounce": -m(r * c("_lagret"))}
+        d = d.withColumns(staged)
         size_buy = _per(c("buy_add_vol"), c("n_buy"), 1)
         size_sell = _per(c("sell_add_vol"), c("n_sell"), 1)
-        bounce = -m(r * c("_lagret"))
         return d.withColumns({
             "tfi": _per(s, v),
             "ofi": _per((c("buy_add_vol") - c("buy_cancel_vol"))
                         - (c("sell_add_vol") - c("sell_cancel_vol")),
                         c("add_vol") + c("cancel_vol")),
-            "signed_vol_20": _per(total(s), total(v)),
+            "signed_vol_20": _per(c("_s"), c("_v")),
             "cancel_ratio": _per(c("cancel_vol"), c("add_vol")),
             "cancel_skew": _per(c("buy_cancel_vol") - c("sell_cancel_vol"), c("cancel_vol")),
             "trade_to_order": _per(c("n_trades"), c("n_add")),
             "market_order_ratio": _per(c("n_market_order"), c("n_add")),
             "order_size_imb": _per(size_buy - size_sell, _per(c("add_vol"), c("n_add"), 1)),
-            "trade_intensity": _per(c("n_trades"), m(c("n_trades"))),
+            "trade_intensity": _per(c("n_trades"), c("_nt")),
             "avg_trade_size": _per(c("volume"), c("n_trades"), 1),
             "large_trade_share": _per(c("max_trade"), c("volume")),
             "rv_20": t.std(r, window, half),
             "mom_20": ratio(c("px"), t.lag(c("px"), window)) - 1,
             "rev_3": -(ratio(c("px"), t.lag(c("px"), 3)) - 1),
-            "roll_spread": 2 * F.sqrt(at_least(bounce, 0.0)),
-            "kyle_lambda": _per(m(r * s) - m(r) * m(s), t.var(s, window, half)),
-            "amihud": _per(m(F.abs(r)), m(c("amount"))),
-            "vpin": _per(total(F.abs(s)), total(v)),
-        }).drop("_lagret")
+            "roll_spread": 2 * F.sqrt(at_least(c("_bounce"), 0.0)),
+            "kyle_lambda": _per(c("_rs") - c("_mr") * c("_ms"), c("_var")),
+            "amihud": _per(c("_abs_r"), c("_amt")),
+            "vpin": _per(c("_abs_s"), c("_v")),
+        }).drop("_lagret", *staged)
 
     return with_trailing(df, [SYMBOL], ["slot"], window + 2, build)
 
@@ -92,6 +97,7 @@ def build_book_features(panel: DataFrame, *, window: int = 20) -> DataFrame:
 
     def build(d: DataFrame, t: Trail) -> DataFrame:
         sp = c("_spread")
+        d = d.withColumns({"_sp_m": t.mean(sp, window, half), "_sp_s": t.std(sp, window, half)})
         return d.withColumns({
             "micro_tilt": _per(c("_micro") - c("_mid"), sp),
             "imb_l1": c("imbalance_l1"), "imb_l5": c("imbalance_l5"),
@@ -104,11 +110,12 @@ def build_book_features(panel: DataFrame, *, window: int = 20) -> DataFrame:
             "consumption": _per(c("slot_qty"), depth),
             "micro_mom_10": ratio(c("_micro"), t.lag(c("_micro"), 10)) - 1,
             "micro_rev_3": -(ratio(c("_micro"), t.lag(c("_micro"), 3)) - 1),
-            "spread_z": _per(sp - t.mean(sp, window, half), t.std(sp, window, half)),
+            "spread_z": _per(sp - c("_sp_m"), c("_sp_s")),
             "imb_persist": t.mean(c("imbalance_l1"), window, half),
         })
 
-    return with_trailing(df, [SYMBOL], ["slot"], window, build).drop("_mid", "_micro", "_spread")
+    return with_trailing(df, [SYMBOL], ["slot"], window, build).drop(
+        "_mid", "_micro", "_spread", "_sp_m", "_sp_s")
 
 
 def join_book(flow: DataFrame, book: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ from importlib import import_module
 
 from .base import Catalog
 
-FAMILIES = ("labels", "transforms", "evaluation", "metrics", "screening", "validation", "trading", "market")
+FAMILIES = ("labels", "transforms", "evaluation", "metrics", "screening", "validation", "trading", "market",
+            "microstructure", "streams", "storage")
 
 
 def load() -> Catalog:

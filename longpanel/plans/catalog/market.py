@@ -470,7 +470,7 @@ _GROUPS = {
 
 
 # digits reported: ratios of short decimals need more, a divisor clipped at 1e-6 leaves fewer
-_DIGITS = {"turn_bias": 10, "a101_053": 2, "a101_054": 4}
+_DIGITS = {"turn_bias": 10, "a101_012": 8, "a191_014": 8, "a101_053": 2, "a101_054": 4}
 
 
 def _feature_query(names):

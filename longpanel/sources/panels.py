@@ -110,7 +110,12 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     signup and view are adds, click is a cancel, purchase a trade, error a status record.
     """
-    ev = table(spark, sf_dir, "events")
+    out = shape_ticks(table(spark, sf_dir, "events"))
+    return _bounded(out, (sf_dir, "ticks"), SYMBOL, "channel_id")
+
+
+def shape_ticks(ev: DataFrame) -> DataFrame:
+    """Column mapping of :func:`ticks`; works on a table and on a stream."""
     k = F.get_json_object("props", "$.k").cast("bigint")
     kind = (
         F.when(F.col("event_type").isin("signup", "view"), "add")
@@ -118,7 +123,7 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("event_type") == "purchase", "trade")
         .otherwise("status")
     )
-    out = ev.select(
+    return ev.select(
         F.col("event_id").alias("seq_id"),
         (F.col("user_id") % 14).alias("channel_id"),
         F.lpad(F.col("user_id").cast("string"), 6, "0").alias(SYMBOL),
@@ -133,4 +138,46 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_id") % 2 == 0, "buy").otherwise("sell").alias("side"),
         (F.col("event_id") % 3).cast("int").alias("order_type"),
     )
-    return _bounded(out, (sf_dir, "ticks"), SYMBOL, "channel_id")
+
+
+def tick_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tick table as a file stream, with an event-time column."""
+    like = table(spark, sf_dir, "events")
+    ev = spark.readStream.schema(like.schema).parquet(os.path.join(sf_dir, "events*.parquet"))
+    t = shape_ticks(ev)
+    # div keeps BIGINT, so the event time is exact
+    micros = F.call_function("div", F.col("arrival_ts"), F.lit(1000))
+    return t.withColumn("arrival_time", F.timestamp_micros(micros))
+
+
+def split_streams(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Order and trade streams of :func:`ticks`: Shenzhen cancels ride the trade stream."""
+    t = ticks(spark, sf_dir)
+    rides = (F.col("record_type") == "trade") | (
+        (F.col("record_type") == "cancel") & (F.col("exchange") == "XSHE"))
+    orders = t.where(~rides & F.col("record_type").isin("add", "cancel"))
+    return orders, t.where(rides).drop("order_type")
+
+
+def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Book events: a cancel or trade refers to the latest earlier add of its symbol.
+
+    A cancel names the latest add of its own side, a trade the latest add of each side; a symbol
+    without an earlier add leaves the reference unresolved.
+    """
+    from ..functions.ordered import with_running
+
+    t = ticks(spark, sf_dir).where(F.col("record_type") != "status")
+    seq, add = F.col("seq_id"), F.col("record_type") == "add"
+    t = with_running(t, [SYMBOL], ["seq_id"], {
+        "_b": ("last", F.when(add & (F.col("side") == "buy"), seq)),
+        "_s": ("last", F.when(add & (F.col("side") == "sell"), seq))})
+    own = F.when(F.col("side") == "buy", F.col("_b")).otherwise(F.col("_s"))
+    zero = F.lit(0).cast("bigint")
+    trade, cancel = F.col("record_type") == "trade", F.col("record_type") == "cancel"
+    return t.select(
+        "channel_id", "seq_id", "arrival_ts", SYMBOL, "exchange", F.col("record_type").alias("kind"),
+        "price", F.col("volume").alias("qty"), "side",
+        F.when(add, seq).when(cancel, F.coalesce(own, F.lit(-1))).otherwise(zero).alias("key"),
+        F.when(trade, F.coalesce("_b", F.lit(-1))).otherwise(zero).alias("buy_key"),
+        F.when(trade, F.coalesce("_s", F.lit(-1))).otherwise(zero).alias("sell_key"))
