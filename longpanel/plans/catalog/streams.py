@@ -57,7 +57,7 @@ def replayed(spark, d):
 
 
 @add("stream_book", f"""{_BOOK},
-o AS (SELECT bk.* FROM bk JOIN fl USING (symbol, slot) QUALIFY true),
+o AS (SELECT bk.* FROM bk JOIN fl USING (symbol, slot)),
 z AS (SELECT symbol, max(slot) AS last FROM fl GROUP BY symbol)
 SELECT slot, symbol, exchange, {r('best_bid', 'best_bid')}, {r('best_ask', 'best_ask')}, bid_qty, ask_qty, bid_depth5, ask_depth5, n_bid_orders, n_ask_orders, bid_levels, ask_levels,
   slot_trades, slot_qty, slot_buy_qty, slot_sell_qty, unresolved FROM o JOIN z USING (symbol) WHERE slot < last""")
