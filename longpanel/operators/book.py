@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import SYMBOL, ratio, require_columns
-from ..functions.ordered import annotate, row_bound, with_running
+from ..functions.ordered import annotate, durable, row_bound, with_running
 from ..functions.ticks import right_label
 
 CHANNEL, SEQ = "channel_id", "seq_id"
@@ -119,7 +119,8 @@ def book_snapshots(events: DataFrame, slot_ns: int, *, session: Sequence[str] =
         raise ValueError(f"grid must be 'channel' or 'own', got {grid!r}")
     ses = list(session)
     by = [*ses, SYMBOL]
-    e = slot_events(events, slot_ns, ses)
+    # read by seven branches below, each with other columns: stored once instead of reshuffled
+    e = durable(slot_events(events, slot_ns, ses))
 
     # slots are numbered within a channel; a channel has few slots, whatever its record count
     slots = e.select(*ses, CHANNEL, "slot").distinct()

@@ -136,8 +136,11 @@ def latency_profile(df: DataFrame, legs: Mapping[str, tuple[str, str]], *,
         at(0.99).alias("p99"), F.max("max").alias("max"), F.max("mean").alias("mean"))
 
 
-def _below(counts: DataFrame, by: list[str], value: str, c: str, width: int = 100_000_000) -> DataFrame:
-    """Rows before each distinct integer value, in two levels so no group is sorted whole."""
+def _below(counts: DataFrame, by: list[str], value: str, c: str, width: int = 1_000_000) -> DataFrame:
+    """Rows before each distinct integer value, in two levels so no group is sorted whole.
+
+    With nanosecond values a block is one millisecond, at most a million distinct values.
+    """
     d = counts.withColumn("_b", F.floor(F.col(value) / width))
     blocks = d.groupBy(*by, "_b").agg(F.sum(c).alias("_s"))
     w = W.partitionBy(*by).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
