@@ -16,8 +16,9 @@ by every derived frame.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Mapping, Sequence
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -33,24 +34,30 @@ UNB = W.unboundedPreceding
 # ------------------------------------------------------------------ durability
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; make one only for a local session."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        sc.setCheckpointDir(shared)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A new folder below the one the cluster names; a temporary one only in a local session."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        root = _local_root()
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@cache
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="spark-")
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage into reliable storage, so lost executors cannot change what was computed."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a table to the shared folder and read it back.
+
+    Lineage ends there, so lost executors cannot change what was computed; unlike an RDD
+    checkpoint the table keeps column pruning and real sizes for the joins that follow.
+    """
+    path = shared_dir(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 # ------------------------------------------------------------------ group bounds

@@ -138,17 +138,26 @@ def book_snapshots(events: DataFrame, slot_ns: int, *, session: Sequence[str] =
     changes, lost = order_changes(e, ses)
     lv = changes.groupBy(*by, "side", "price", "slot").agg(
         F.sum("dq").alias("dq"), F.sum("dn").alias("dn"))
-    lv = lv.join(homes.select(*by, CHANNEL, "_n"), by).join(at, [*ses, CHANNEL, "slot"])
+    # a book can only differ at slots in which it changed: levels are laid over those, and the
+    # finished state is carried to the slots in between.  One row per symbol and slot.
+    marks = lv.select(*by, "slot").distinct().join(homes.select(*by, CHANNEL, "_n"), by).join(
+        at, [*ses, CHANNEL, "slot"])
+    mw = W.partitionBy(*by).orderBy("_k")
+    marks = marks.select(
+        *by, "slot", "_k", (F.row_number().over(mw) - 1).alias("_j"),
+        F.count(F.lit(1)).over(W.partitionBy(*by)).cast("int").alias("_m"),
+        F.coalesce(F.lead("_k").over(mw), F.col("_n")).alias("_next"))
+    lv = lv.join(marks.select(*by, "slot", "_j", "_m"), [*by, "slot"])
     # a level has at most one row per slot
-    w = W.partitionBy(*by, "side", "price").orderBy("_k")
+    w = W.partitionBy(*by, "side", "price").orderBy("_j")
     lv = lv.withColumns({
         "_qty": F.sum("dq").over(w), "_cnt": F.sum("dn").over(w),
-        "_end": F.coalesce(F.lead("_k").over(w), F.col("_n"))})
+        "_end": F.coalesce(F.lead("_j").over(w), F.col("_m"))})
     lv = lv.where(F.col("_qty") > 0).select(
-        *by, CHANNEL, "side", "price", "_qty", "_cnt",
-        F.explode(F.sequence(F.col("_k"), F.col("_end") - 1)).alias("_k"))
+        *by, "side", "price", "_qty", "_cnt",
+        F.explode(F.sequence(F.col("_j"), F.col("_end") - 1)).alias("_j"))
     best = F.when(F.col("side") == "buy", -F.col("price")).otherwise(F.col("price"))
-    depth = W.partitionBy(*by, "_k", "side").orderBy(best)
+    depth = W.partitionBy(*by, "_j", "side").orderBy(best)
     lv = lv.withColumn("_rk", F.row_number().over(depth))
     buy, sell = F.col("side") == "buy", F.col("side") == "sell"
 
@@ -159,7 +168,7 @@ def book_snapshots(events: DataFrame, slot_ns: int, *, session: Sequence[str] =
         return F.coalesce(F.sum(F.when(side, F.col(col))), F.lit(0)).cast("bigint")
 
     near = F.col("_rk") <= levels
-    state = lv.groupBy(*by, "_k").agg(
+    state = lv.groupBy(*by, "_j").agg(
         F.coalesce(top(buy, "price"), F.lit(0.0)).alias("best_bid"),
         F.coalesce(top(sell, "price"), F.lit(0.0)).alias("best_ask"),
         F.coalesce(top(buy, "_qty"), F.lit(0)).alias("bid_qty"),
@@ -168,6 +177,10 @@ def book_snapshots(events: DataFrame, slot_ns: int, *, session: Sequence[str] =
         total(buy, "_cnt").alias("n_bid_orders"), total(sell, "_cnt").alias("n_ask_orders"),
         F.count(F.when(buy, 1)).alias("bid_levels"), F.count(F.when(sell, 1)).alias("ask_levels"))
 
+    state = state.join(marks.select(*by, "_j", "_k", "_next"), [*by, "_j"])
+    state = state.withColumn("_k", F.explode(F.sequence(F.col("_k"), F.col("_next") - 1))).drop(
+        "_j", "_next")
+
     trade = F.col("kind") == "trade"
 
     def flow_sum(cond: Column) -> Column:

@@ -7,7 +7,7 @@ from importlib import import_module
 from .base import Catalog
 
 FAMILIES = ("labels", "transforms", "evaluation", "metrics", "screening", "validation", "trading", "market",
-            "microstructure", "streams", "storage")
+            "microstructure", "streams", "storage", "studies")
 
 
 def load() -> Catalog:

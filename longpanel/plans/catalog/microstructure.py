@@ -238,11 +238,11 @@ slt AS (SELECT coalesce(t.slot, o.slot) AS slot, coalesce(t.symbol, o.symbol) AS
   {', '.join(f'CAST(coalesce({c}, 0) AS BIGINT) AS {c}' for c in S.ORDER_COUNTS)} FROM ta t FULL JOIN oa o ON t.slot = o.slot AND t.symbol = o.symbol)"""
 
 
-def slot_panel(spark, d):
+def slot_panel(spark, d, width=HOUR):
     orders, trades = split_streams(spark, d)
     o, t = S.route_cancels(orders, trades)
     from ...functions.ordered import measure
-    return measure(S.aggregate_to_slots(o, t, slot_ns=HOUR), "symbol", "slot")
+    return measure(S.aggregate_to_slots(o, t, slot_ns=width), "symbol", "slot")
 
 
 _SLOT_COLS = ", ".join(c if c not in ("amount", "vwap", "close", "high", "low") else r(c, c, 6) for c in ("slot", "symbol", *S.SLOT_AGGREGATES))
@@ -360,9 +360,9 @@ bk AS (SELECT *, CASE WHEN best_bid > 0 AND best_ask > 0 THEN best_ask - best_bi
   CASE WHEN bid_depth5 + ask_depth5 > 0 THEN (bid_depth5 - ask_depth5) / (bid_depth5 + ask_depth5) ELSE 0 END AS imbalance_l5 FROM bj WHERE n_bid_orders + n_ask_orders > 0 OR slot_trades > 0)"""
 
 
-def snapshots(spark, d):
+def snapshots(spark, d, width=HOUR):
     from ...functions.ordered import measure
-    return measure(BK.book_snapshots(order_events(spark, d), HOUR), "symbol", "slot")
+    return measure(BK.book_snapshots(order_events(spark, d), width), "symbol", "slot")
 
 
 _BK_DBL = ("best_bid", "best_ask", "spread", "mid", "microprice", "imbalance_l1", "imbalance_l5")

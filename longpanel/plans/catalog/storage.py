@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from ...operators.features_daily import compute_features
 from ...sources import tables as S
 from ...sources.panels import weekly_panel, weekly_panel_market
-from ...streaming.jobs import run_available, scratch_dir
+from ...functions.ordered import shared_dir
+from ...streaming.jobs import run_available
 from .base import Catalog, panel_sql, r, rounded
 
 CATALOG = Catalog()
@@ -18,7 +19,7 @@ def _store(spark, d):
     """A store written once per session from the weekly panel."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _STORES:
-        root = scratch_dir(spark, "store")
+        root = shared_dir(spark, "store")
         p = weekly_panel(spark, d)
         daily = p.select("ts", "symbol", "open", "close", "volume", "industry").withColumn(
             "date", F.date_format("ts", "yyyyMMdd"))

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ...functions.ordered import shared_dir
 from ...sources.panels import order_events, tick_stream
 from ...streaming import jobs as J
 from .base import Catalog, r, rounded
@@ -63,7 +64,7 @@ SELECT slot, symbol, exchange, {r('best_bid', 'best_bid')}, {r('best_ask', 'best
   slot_trades, slot_qty, slot_buy_qty, slot_sell_qty, unresolved FROM o JOIN z USING (symbol) WHERE slot < last""")
 def book(spark, d):
     # references are resolved in batch; the events are then replayed as a stream
-    root = J.scratch_dir(spark, "book")
+    root = shared_dir(spark, "book")
     events = order_events(spark, d)
     events.write.mode("overwrite").parquet(f"{root}/events")
     old = spark.conf.get(J.PROVIDER_CONF)
