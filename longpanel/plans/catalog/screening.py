@@ -45,23 +45,23 @@ def verdicts(spark, d):
 
 
 @add("screen_orthogonalize_one", f"""WITH {study_sql()},
-v AS (SELECT ts, symbol, vwap, log_volume FROM st),
+v AS (SELECT ts, symbol, ln(vwap) AS vwap, log_volume FROM st),
 f AS (SELECT ts, regr_slope(vwap, log_volume) AS b, avg(vwap) AS my, avg(log_volume) AS mx, count(*) AS n FROM v GROUP BY ts)
 SELECT v.ts, symbol, {r('CASE WHEN n >= 10 THEN vwap - my - b * (log_volume - mx) END', 'x', 6)}
 FROM v JOIN f ON f.ts = v.ts""")
 def ortho_one(spark, d):
-    s = S.orthogonalize(study(spark, d), "vwap", ["log_volume"], out="x")
+    s = S.orthogonalize(study(spark, d).withColumn("vwap", F.log("vwap")), "vwap", ["log_volume"], out="x")
     return rounded(s.select("ts", "symbol", "x"), 6)
 
 
 @add("screen_orthogonalize_two", f"""WITH {study_sql()},
-v AS (SELECT ts, symbol, vwap AS y, log_volume AS a, drive AS b FROM st),
+v AS (SELECT ts, symbol, ln(vwap) AS y, log_volume AS a, drive AS b FROM st),
 c AS (SELECT ts, symbol, y - avg(y) OVER t AS y, a - avg(a) OVER t AS a, b - avg(b) OVER t AS b FROM v WINDOW t AS (PARTITION BY ts)),
 g AS (SELECT ts, sum(a*a) AS aa, sum(b*b) AS bb, sum(a*b) AS ab, sum(a*y) AS ay, sum(b*y) AS by_, count(*) AS n FROM c GROUP BY ts),
 k AS (SELECT ts, n, (ay * bb - by_ * ab) / (aa * bb - ab * ab) AS ba, (by_ * aa - ay * ab) / (aa * bb - ab * ab) AS bb_ FROM g)
 SELECT c.ts, symbol, {r('CASE WHEN n >= 10 THEN y - ba * a - bb_ * b END', 'x', 6)} FROM c JOIN k ON k.ts = c.ts""")
 def ortho_two(spark, d):
-    s = S.orthogonalize(study(spark, d), "vwap", ["log_volume", "drive"], out="x")
+    s = S.orthogonalize(study(spark, d).withColumn("vwap", F.log("vwap")), "vwap", ["log_volume", "drive"], out="x")
     return rounded(s.select("ts", "symbol", "x"), 6)
 
 

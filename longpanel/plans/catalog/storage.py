@@ -27,12 +27,14 @@ def _store(spark, d):
         bars = p.select("ts", "symbol", "open", "high", "low", "close", "volume", "amount", "vwap", "turnover")
         S.write_partitioned(bars, f"{root}/bars/1w")
         f = compute_features(weekly_panel_market(spark, d), ["rev_5", "vol_20", "size"])
-        S.write_partitioned(f, f"{root}/factor_frame")
+        # these two are partitioned by month start, the others by the stamp's own date
+        month = F.date_format(F.trunc(F.to_date("ts"), "month"), "yyyyMMdd")
+        S.write_partitioned(f.withColumn("date", month), f"{root}/factor_frame")
         S.Fingerprint.of([S.FactorSpec("rev_5", {"n": 5}), S.FactorSpec("vol_20", {"n": 20}), "size"],
                          "weekly").save(spark, f"{root}/factor_frame")
         idx = p.groupBy("ts").agg(F.avg("close").alias("close")).select(
             "ts", F.lit("EW.ALL").alias("symbol"), "close")
-        S.write_partitioned(idx, f"{root}/index")
+        S.write_partitioned(idx.withColumn("date", month), f"{root}/index")
         ticks = p.where(F.year("ts") == 1996).select("ts", "symbol", F.col("close").alias("last"), "volume")
         S.write_partitioned(ticks, f"{root}/ticks", by_symbol=False, files_per_date=2)
         by_sym = p.where(F.year("ts") == 1997).where(F.month("ts") == 1).select("ts", "symbol", "close")

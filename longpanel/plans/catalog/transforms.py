@@ -82,7 +82,7 @@ def rank_to_normal(spark, d):
 
 
 @add("transform_neutralize", f"""WITH {panel_sql()},
-v AS (SELECT ts, symbol, industry, vwap AS y, ln(market_cap) AS x FROM panel WHERE market_cap > 0),
+v AS (SELECT ts, symbol, industry, ln(vwap) AS y, ln(market_cap) AS x FROM panel WHERE market_cap > 0),
 dm AS (SELECT *, y - avg(y) OVER (PARTITION BY ts, industry) AS yd,
   x - avg(x) OVER (PARTITION BY ts, industry) AS xd FROM v),
 sl AS (SELECT *, sum(xd * yd) OVER (PARTITION BY ts) / nullif(sum(xd * xd) OVER (PARTITION BY ts), 0) AS b,
@@ -90,24 +90,24 @@ sl AS (SELECT *, sum(xd * yd) OVER (PARTITION BY ts) / nullif(sum(xd * xd) OVER
 SELECT p.ts, p.symbol, {r('CASE WHEN n >= 10 THEN yd - coalesce(b, 0) * xd END', 'x', 6)}
 FROM panel p LEFT JOIN sl ON sl.ts = p.ts AND sl.symbol = p.symbol""")
 def neutralize(spark, d):
-    p = weekly_panel(spark, d).withColumn("x", F.col("vwap"))
+    p = weekly_panel(spark, d).withColumn("x", F.log("vwap"))
     return rounded(T.neutralize(p, "x").select("ts", "symbol", "x"), 6)
 
 
 @add("transform_neutralize_size_only", f"""WITH {panel_sql()},
-v AS (SELECT ts, symbol, vwap AS y, ln(market_cap) AS x FROM panel WHERE market_cap > 0),
+v AS (SELECT ts, symbol, ln(vwap) AS y, ln(market_cap) AS x FROM panel WHERE market_cap > 0),
 f AS (SELECT ts, regr_slope(y, x) AS b, avg(y) AS my, avg(x) AS mx, count(*) AS n FROM v GROUP BY ts)
 SELECT p.ts, p.symbol, {r('CASE WHEN n >= 10 THEN y - my - b * (x - mx) END', 'x', 6)}
 FROM panel p LEFT JOIN v ON v.ts = p.ts AND v.symbol = p.symbol LEFT JOIN f ON f.ts = p.ts""")
 def neutralize_size(spark, d):
-    p = weekly_panel(spark, d).withColumn("x", F.col("vwap"))
+    p = weekly_panel(spark, d).withColumn("x", F.log("vwap"))
     return rounded(T.neutralize(p, "x", by=()).select("ts", "symbol", "x"), 6)
 
 
 @add("transform_neutralize_two_categories")
 def neutralize_two(spark, d):
     p = weekly_panel(spark, d).withColumns({
-        "x": F.col("vwap"), "style": (F.col("l_suppkey") % 3).cast("string")})
+        "x": F.log("vwap"), "style": (F.col("l_suppkey") % 3).cast("string")})
     return rounded(T.neutralize(p, "x", by=("industry", "style")).select("ts", "symbol", "x"), 6)
 
 
