@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import SYMBOL, TS, finite, ratio, require_columns
-from ..functions.ordered import (group_quantiles, join_back, over_group, with_running,  # noqa: F401
+from ..functions.ordered import (join_back, over_group, with_running,
                                  with_trailing)
 
 
