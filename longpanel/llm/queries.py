@@ -43,3 +43,29 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_read(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "n_lines", "n_exclaims", "n_letters", "n_stop_words")
+
+
+@_add("op10_language_id")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import fit, held_out, identify
+
+    docs = _read(spark, sf_dir, "documents")
+    found = identify(docs, *fit(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits", "accepted")
+
+
+@_add("op1_decontamination")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import search
+
+    return search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+@_add("op3_token_files")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_files import round_trip
+
+    found = round_trip(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return found.select("doc_id", "start", "n_tokens", "ids_crc32")
