@@ -69,3 +69,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = round_trip(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     return found.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@_add("op4_html_wrappers")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_wrappers import main_text
+
+    return main_text(_read(spark, sf_dir, "pages"))
