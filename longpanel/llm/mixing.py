@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import stage
+from .scratch import partitions, stage
 from .words import word_count
 
 BLOCK = 32
@@ -32,18 +32,19 @@ ROUNDS = 16
 SEED = 7
 
 
-def permuted(index: Column, n: Column, *key: Column, rounds: int = ROUNDS) -> Column:
-    """A pseudorandom permutation of ``0 .. n-1`` chosen by ``key``: swap-or-not rounds, exact for every ``n``.
+def permuted(df: DataFrame, name: str, n: str, *key: Column, rounds: int = ROUNDS) -> DataFrame:
+    """``df`` with column ``name`` sent through a pseudorandom permutation of ``0 .. n-1`` chosen by ``key``.
 
-    Each round pairs ``x`` with ``(k - x) mod n`` and swaps the pair if a hash of its larger member says so.
+    Swap-or-not, a bijection for every ``n``: each round pairs ``x`` with ``(k - x) mod n`` and swaps the pair if a hash
+    of its larger member says so. A round is two projections, so that all of them are compiled.
     """
-    def turn(x: Column, r: Column) -> Column:
-        k = F.pmod(F.xxhash64(*key, r), n)
-        pair = F.struct(x.alias("x"), F.pmod(k - x, n).alias("y"))
-        return F.transform(F.array(pair), lambda p: F.when(
-            F.xxhash64(*key, r, F.greatest(p["x"], p["y"])) % 2 == 0, p["x"]).otherwise(p["y"]))[0]
-
-    return F.aggregate(F.array(*[F.lit(r) for r in range(rounds)]), index.cast("long"), turn)
+    keep = df.columns
+    for r in range(rounds):
+        x = F.col(name)
+        df = df.withColumn("_other", F.pmod(F.pmod(F.xxhash64(*key, F.lit(r)), F.col(n)) - x, F.col(n)))
+        stay = F.xxhash64(*key, F.lit(-1 - r), F.greatest(x, F.col("_other"))).bitwiseAND(1) == 0
+        df = df.withColumn(name, F.when(stay, x).otherwise(F.col("_other")))
+    return df.select(*keep)
 
 
 def source_targets(sizes: DataFrame, block: int = BLOCK, most: int = MOST) -> DataFrame:
@@ -126,11 +127,11 @@ def draws(targets: DataFrame, block: int = BLOCK, shard: int = SHARD, most: int
     s = s.where(F.col("n") > 0).withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / piece))))
     s = s.select("rank", "blocks", (F.col("_from") + F.col("_k") * piece).alias("_lo"),
                  F.least(F.col("_from") + F.col("n"), F.col("_from") + (F.col("_k") + 1) * piece).alias("_hi"))
-    s = s.repartition("rank", "_lo")
+    s = s.repartition(partitions(s), "rank", "_lo")
     s = s.select("rank", "blocks", F.explode(F.sequence("_lo", F.col("_hi") - 1)).alias("_j"))
     s = s.where(F.col("_j") < most * F.col("blocks"))
-    epoch = F.floor(F.col("_j") / F.col("blocks"))
-    s = s.select("rank", permuted(F.col("_j") % F.col("blocks"), F.col("blocks"), F.lit(seed), F.col("rank"), epoch).alias("block"))
+    s = s.select("rank", "blocks", F.floor(F.col("_j") / F.col("blocks")).alias("_pass"), (F.col("_j") % F.col("blocks")).alias("block"))
+    s = permuted(s, "block", "blocks", F.lit(seed), F.col("rank"), F.col("_pass"))
     return s.groupBy("rank", "block").agg(F.count(F.lit(1)).alias("times"))
 
 
