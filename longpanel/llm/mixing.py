@@ -28,23 +28,19 @@ from .words import word_count
 BLOCK = 32
 SHARD = 1 << 16
 MOST = 3
-ROUNDS = 16
+ROUNDS = 12
 SEED = 7
 
 
-def permuted(df: DataFrame, name: str, n: str, *key: Column, rounds: int = ROUNDS) -> DataFrame:
-    """``df`` with column ``name`` sent through a pseudorandom permutation of ``0 .. n-1`` chosen by ``key``.
+def permuted(index: Column, n: Column, *key: Column, rounds: int = ROUNDS) -> Column:
+    """A pseudorandom permutation of ``0 .. n-1`` chosen by ``key``.
 
-    Swap-or-not, a bijection for every ``n``: each round pairs ``x`` with ``(k - x) mod n`` and swaps the pair if a hash
-    of its larger member says so. A round is two projections, so that all of them are compiled.
+    Swap-or-not, a bijection for every ``n``: each round has a key ``k``, pairs ``x`` with ``(k - x) mod n`` and swaps the
+    pair if a hash of its larger member says so.
     """
-    keep = df.columns
-    for r in range(rounds):
-        x = F.col(name)
-        df = df.withColumn("_other", F.pmod(F.pmod(F.xxhash64(*key, F.lit(r)), F.col(n)) - x, F.col(n)))
-        stay = F.xxhash64(*key, F.lit(-1 - r), F.greatest(x, F.col("_other"))).bitwiseAND(1) == 0
-        df = df.withColumn(name, F.when(stay, x).otherwise(F.col("_other")))
-    return df.select(*keep)
+    keys = F.array(*[F.pmod(F.xxhash64(*key, F.lit(r)), n) for r in range(rounds)])
+    return F.aggregate(keys, index.cast("long"), lambda x, k: F.when(
+        F.xxhash64(k, F.greatest(x, F.pmod(k - x, n))).bitwiseAND(1) == 0, x).otherwise(F.pmod(k - x, n)))
 
 
 def source_targets(sizes: DataFrame, block: int = BLOCK, most: int = MOST) -> DataFrame:
@@ -131,7 +127,7 @@ def draws(targets: DataFrame, block: int = BLOCK, shard: int = SHARD, most: int
     s = s.select("rank", "blocks", F.explode(F.sequence("_lo", F.col("_hi") - 1)).alias("_j"))
     s = s.where(F.col("_j") < most * F.col("blocks"))
     s = s.select("rank", "blocks", F.floor(F.col("_j") / F.col("blocks")).alias("_pass"), (F.col("_j") % F.col("blocks")).alias("block"))
-    s = permuted(s, "block", "blocks", F.lit(seed), F.col("rank"), F.col("_pass"))
+    s = s.select("rank", permuted(F.col("block"), F.col("blocks"), F.lit(seed), F.col("rank"), F.col("_pass")).alias("block"))
     return s.groupBy("rank", "block").agg(F.count(F.lit(1)).alias("times"))
 
 
