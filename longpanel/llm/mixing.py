@@ -150,7 +150,8 @@ def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, most: int = MOS
     cut = (at.where("size > 0").select("piece", "rank", "at", "size", F.explode(F.sequence(first, last)).alias("block"))
            .withColumn("n", F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block)
                        - F.greatest("at", F.col("block") * block)))
-    got = (cut.join(draws(targets, block, shard, most, seed), ["rank", "block"])
+    # draws come from exploded numbers, which Spark takes for a few rows: they must not be broadcast
+    got = (cut.join(draws(targets, block, shard, most, seed).hint("merge"), ["rank", "block"])
            .groupBy("piece").agg(F.sum(F.col("n") * F.col("times")).alias("taken")))
     return at.join(got, "piece", "left").select(
         "row", "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
