@@ -76,3 +76,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_wrappers import main_text
 
     return main_text(_read(spark, sf_dir, "pages"))
+
+
+@_add("op9_signature_trees")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .signature_trees import linked
+
+    return linked(_read(spark, sf_dir, "documents"))
