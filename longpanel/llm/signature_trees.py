@@ -112,7 +112,7 @@ def _possible(every_a, low_a, high_a, either_a, every_b, low_b, high_b, either_b
     only_a = np.bitwise_count(every_a & ~either_b).sum(-1, dtype=np.int64)
     only_b = np.bitwise_count(every_b & ~either_a).sum(-1, dtype=np.int64)
     # |x - y| is at most |x| - 4/9 (|x| + |y|) for sets that link
-    return ((5 * low_b <= 4 * high_a + high_a) & (4 * low_b <= 5 * high_a) & (4 * low_a <= 5 * high_b)
+    return ((4 * low_b <= 5 * high_a) & (4 * low_a <= 5 * high_b)
             & (9 * only_a <= 5 * high_a - 4 * low_b) & (9 * only_b <= 5 * high_b - 4 * low_a))
 
 
