@@ -83,3 +83,17 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .signature_trees import linked
 
     return linked(_read(spark, sf_dir, "documents"))
+
+
+@_add("op5_bwt_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bwt_dedup import digests
+
+    return digests(_read(spark, sf_dir, "documents"))
+
+
+@_add("op8_automaton_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .automaton_dedup import digests
+
+    return digests(_read(spark, sf_dir, "documents"))
