@@ -20,6 +20,7 @@ Other columns are ignored.
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 import zlib
@@ -38,7 +39,7 @@ MAGIC = b"TOKENIX1"
 MANIFEST = "part int, file string, width int, n_docs long, n_tokens long"
 #: White space on both sides of a space: there a text cannot be cut at single spaces without changing its tokens.
 _RUN = re.compile(r"\s (?:\s|\Z)")
-_KEEP, _LONGEST = 400_000, 48
+_KEEP, _LONGEST = 250_000, 48
 
 
 class Encoder:
@@ -50,6 +51,7 @@ class Encoder:
     """
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -60,8 +62,11 @@ class Encoder:
 
     def _learn(self, known: dict[str, bytes], pieces: set[str], lead: str) -> None:
         new = [p for p in pieces if p not in known]
-        for p, e in zip(new, self.tokenizer.encode_batch_fast([lead + p for p in new], add_special_tokens=False)):
-            known[p] = np.array(e.ids, self.kind).tobytes()
+        # an encoding holds far more than its ids, so only a few are held at a time
+        for at in range(0, len(new), 4000):
+            few = new[at:at + 4000]
+            for p, e in zip(few, self.tokenizer.encode_batch_fast([lead + p for p in few], add_special_tokens=False)):
+                known[p] = np.array(e.ids, self.kind).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.later) + len(self.first) > _KEEP:
@@ -109,7 +114,9 @@ def _store(path: str):
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, parts: int | None = None) -> DataFrame:
     """Write ``doc_id`` and ``text`` below ``path``; the manifest with ``base_docs`` and ``base_tokens``."""
 
-    def save(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def save(frames: Iterator) -> Iterator:
+        import pyarrow as pa
+
         enc = encoder(tokenizer)
         end = np.array([end_id], enc.kind).tobytes()
         store, root = _store(path)
@@ -117,15 +124,15 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, parts: int |
         name = f"part-{part:06d}-{uuid.uuid4().hex}"
         out, keys, gone, sizes = None, [], [], []
         for frame in frames:
-            for at in range(0, len(frame), 1000):
-                few = frame.iloc[at:at + 1000]
+            for at in range(0, frame.num_rows, 250):
+                few = frame.slice(at, 250)
                 if out is None:
                     store.create_dir(root, recursive=True)
                     out = store.open_output_stream(f"{root}/{name}.bin")
-                ids = enc.encode([t if isinstance(t, str) else "" for t in few["text"]])
+                ids = enc.encode([t or "" for t in few.column("text").to_pylist()])
                 sizes.append(np.array([len(b) // enc.width + 1 for b in ids], np.uint64))
-                gone.append(few["gone"].to_numpy(np.uint8))
-                keys.append(few["doc_id"].to_numpy(np.int64))
+                gone.append(few.column("gone").to_numpy().astype(np.uint8))
+                keys.append(few.column("doc_id").to_numpy().astype(np.int64))
                 out.write(end.join(ids) + end)
         if out is None:
             return
@@ -135,15 +142,16 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, parts: int |
         with store.open_output_stream(f"{root}/{name}.idx") as f:
             f.write(MAGIC + np.array([len(size), enc.width], "<u8").tobytes() + offsets.astype("<u8").tobytes()
                     + np.concatenate(keys).astype("<i8").tobytes() + np.concatenate(gone).tobytes())
-        yield pd.DataFrame({"part": [part], "file": [name], "width": [enc.width], "n_docs": [len(size)],
-                            "n_tokens": [int(offsets[-1])]})
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([part], pa.int32()), pa.array([name]), pa.array([enc.width], pa.int32()), pa.array([len(size)], pa.int64()),
+             pa.array([int(offsets[-1])], pa.int64())], ["part", "file", "width", "n_docs", "n_tokens"])
 
     tie = F.xxhash64("text")
     t = docs.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), F.col("doc_id").isNull().cast("int").alias("gone"), "text")
     t = t.repartitionByRange(parts or partitions(docs), F.col("gone").desc(), "doc_id", tie)
     t = t.sortWithinPartitions(F.col("gone").desc(), "doc_id", tie)
     spark = docs.sparkSession
-    t.mapInPandas(save, MANIFEST).write.parquet(f"{path}/finished")
+    t.mapInArrow(save, MANIFEST).write.parquet(f"{path}/finished")
     # one row a partition: the bases are their running sums
     done = spark.read.schema(MANIFEST).parquet(f"{path}/finished").orderBy("part").collect()
     docs_before = [0, *accumulate(r["n_docs"] for r in done)]
