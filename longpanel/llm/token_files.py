@@ -39,15 +39,32 @@ MAGIC = b"TOKENIX1"
 MANIFEST = "part int, file string, width int, n_docs long, n_tokens long"
 #: White space on both sides of a space: there a text cannot be cut at single spaces without changing its tokens.
 _RUN = re.compile(r"\s (?:\s|\Z)")
-_KEEP, _LONGEST = 250_000, 48
+_SPACE = re.compile(r"\s")
+#: Letters or digits, then marks that never join them in a token.
+_MARKED = re.compile(r"(\S*[^\W_])([.,;:!?|*$%&#)]+)\Z")
+#: A newline that is not alone between non-spaces.
+_EDGE = re.compile(r"\A\n|\n\Z|\s\n|\n\s")
+_KEEP, _LONGEST = 300_000, 48
+
+
+class Pieces(dict):
+    """Ids of pieces: those remembered, and the rest of one call in ``spare``."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.spare: dict[str, bytes] = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        return self.spare[piece]
 
 
 class Encoder:
-    """Ids of whole texts by a ``tokenizers`` file.
+    """Ids of whole texts by a ``tokenizers`` file with a byte-level pre-tokenizer.
 
-    The file's byte-level pre-tokenizer starts a new token at every space that a non-space follows, so what stands
-    between two spaces is encoded alone, once, and remembered; texts with runs of white space are encoded whole.
-    Remembered pieces are dropped when there are too many.
+    That pre-tokenizer starts a new token at every space that a non-space follows, and at both sides of a single
+    newline between non-spaces. So what stands between is encoded alone, many pieces in one string of lines, and
+    remembered: the first ``_KEEP`` pieces, which are mostly the frequent ones. Texts with runs of white space are
+    encoded whole, as are pieces that do not fit these rules.
     """
 
     def __init__(self, path: str) -> None:
@@ -57,43 +74,77 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        self.newline = self.whole("\n")
+        self.first, self.later = Pieces(), Pieces()
 
-    def _learn(self, known: dict[str, bytes], pieces: set[str], lead: str) -> None:
-        new = [p for p in pieces if p not in known]
-        # an encoding holds far more than its ids, so only a few are held at a time
-        for at in range(0, len(new), 4000):
-            few = new[at:at + 4000]
-            for p, e in zip(few, self.tokenizer.encode_batch_fast([lead + p for p in few], add_special_tokens=False)):
-                known[p] = np.array(e.ids, self.kind).tobytes()
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes() if text else b""
+
+    def _encode_pieces(self, pieces: list[str], lead: str) -> dict[str, bytes]:
+        """Ids of pieces, each after ``lead``: those without white space as the lines of a few long strings."""
+        out: dict[str, bytes] = {}
+        plain = []
+        for p in pieces:
+            if p and not _SPACE.search(p):
+                plain.append(p)
+            else:
+                out[p] = self.whole(lead + p)
+        for at in range(0, len(plain), 2000):
+            few = plain[at:at + 2000]
+            lines = "\n".join([lead + p for p in few])
+            ids = np.array(self.tokenizer.encode_batch_fast([lines], add_special_tokens=False)[0].ids, self.kind)
+            cut = np.flatnonzero(ids == np.frombuffer(self.newline, self.kind)[0]) if len(self.newline) == self.width else []
+            if len(cut) == len(few) - 1:
+                raw, w = ids.tobytes(), self.width
+                for p, x, y in zip(few, [0, *(w * (cut + 1)).tolist()], [*(w * cut).tolist(), len(raw)]):
+                    out[p] = raw[x:y]
+            else:
+                for p in few:
+                    out[p] = self.whole(lead + p)
+        return out
+
+    def _learn(self, heads: set[str], tails: set[str]) -> None:
+        """Make ids known of pieces that begin a text (``heads``) or follow a space (``tails``)."""
+        self.first.spare, self.later.spare = {}, {}
+        heads, tails = heads.difference(self.first), tails.difference(self.later)
+        made: list[tuple[Pieces, str, str, list[str], str]] = []  # (where, piece, its first part, lines after it, marks at its end)
+        alone: dict[int, set[str]] = {0: set(), 1: set()}
+        for k, side in enumerate((heads, tails)):
+            for p in side:
+                core, rest, mark = p, [], ""
+                if "\n" in p and not _EDGE.search(p):
+                    core, *rest = p.split("\n")
+                if m := _MARKED.match(core):
+                    core, mark = m[1], m[2]
+                alone[k].add(core)
+                if rest or mark:
+                    made.append(((self.first, self.later)[k], p, core, rest, mark))
+                    alone[0].update(rest)
+                    alone[0].add(mark)
+        for k, known in enumerate((self.first, self.later)):
+            found = self._encode_pieces(list(alone[k].difference(known)), "" if k == 0 else " ")
+            room = len(known) < _KEEP
+            known.spare = {p: b for p, b in found.items() if not room or len(p) > _LONGEST}
+            if room:
+                known.update((p, b) for p, b in found.items() if len(p) <= _LONGEST)
+        for known, p, core, rest, mark in made:
+            b = known[core] + (self.first[mark] if mark else b"")
+            if rest:
+                b += self.newline + self.newline.join([self.first[x] for x in rest])
+            if len(known) < _KEEP and len(p) <= _LONGEST and not rest:
+                known[p] = b
+            else:
+                known.spare[p] = b
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.later) + len(self.first) > _KEEP:
-            self.first, self.later = {}, {}
-        parts = [t.split(" ") if not _RUN.search(t) and len(t) else None for t in texts]
-        heads = {p[0] for p in parts if p and len(p[0]) <= _LONGEST}
+        parts = [t.split(" ") if t and not _RUN.search(t) else None for t in texts]
         tails: set[str] = set()
         for p in parts:
             if p:
                 tails.update(p[1:])
-        self._learn(self.first, heads, "")
-        # long pieces are few and would fill the memory: they live for this call only
-        self._learn(self.later, tails, " ")
-        big = [p for p in tails if len(p) > _LONGEST]
-        out = []
-        for t, p in zip(texts, parts):
-            if p is None:
-                out.append(self.whole(t))
-            else:
-                head = self.first[p[0]] if len(p[0]) <= _LONGEST else self.whole(p[0])
-                out.append(head + b"".join(map(self.later.__getitem__, p[1:])))
-        for p in big:
-            self.later.pop(p, None)
-        return out
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes() if text else b""
+        self._learn({p[0] for p in parts if p}, tails)
+        return [self.whole(t) if p is None else self.first[p[0]] + b"".join(map(self.later.__getitem__, p[1:]))
+                for t, p in zip(texts, parts)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -124,8 +175,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, parts: int |
         name = f"part-{part:06d}-{uuid.uuid4().hex}"
         out, keys, gone, sizes = None, [], [], []
         for frame in frames:
-            for at in range(0, frame.num_rows, 250):
-                few = frame.slice(at, 250)
+            for at in range(0, frame.num_rows, 800):
+                few = frame.slice(at, 800)
                 if out is None:
                     store.create_dir(root, recursive=True)
                     out = store.open_output_stream(f"{root}/{name}.bin")
