@@ -254,6 +254,26 @@ def fit(docs: DataFrame, key: str = "doc_id", max_rows: int = MAX_ROWS, max_char
     return model, limits
 
 
+def judged(texts: list[str], model: Model | None, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Language, posterior probability, bits a character (NaN for ``und``) and acceptance of texts."""
+    n_texts = len(texts)
+    lang, score = np.full(n_texts, "und", object), np.zeros(n_texts)
+    bits, fine = np.full(n_texts, np.nan), np.zeros(n_texts, bool)
+    if model is not None:
+        names = np.array(model.languages, object)
+        rows = np.flatnonzero(_has_letter(texts))
+        for a, b in batches([len(texts[i]) for i in rows], 1_000_000):
+            part = rows[a:b]
+            s, _, n = model.totals([texts[i] for i in part])
+            best = s.argmax(1)
+            top = s[np.arange(len(part)), best]
+            lang[part], bits[part] = names[best], -top / n
+            score[part] = 1.0 / np.exp2(np.maximum(s - top[:, None], -1000.0)).sum(1)
+            lim = limits[best]
+            fine[part] = bits[part] <= lim[:, 0] + TEXT_SD * lim[:, 1] + CHAR_SD * lim[:, 2] / np.sqrt(n) + SLACK
+    return lang, score, bits, fine
+
+
 def identify(docs: DataFrame, model: Model | None, limits: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ``lang_pred``, ``score`` (posterior probability), ``bits`` (cross-entropy) and ``accepted`` of every row."""
     kind = docs.schema[key].dataType.simpleString()
@@ -263,26 +283,24 @@ def identify(docs: DataFrame, model: Model | None, limits: np.ndarray, key: str
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m, limit = shared.value
         for frame in frames:
-            texts = [t if isinstance(t, str) else "" for t in frame["text"]]
-            out = pd.DataFrame({key: frame["key"], "lang_pred": "und", "score": 0.0, "bits": None, "accepted": False})
-            out["bits"] = out["bits"].astype("float64")
-            lettered = _has_letter(texts)
-            if m is not None:
-                names = np.array(m.languages, object)
-                rows = np.flatnonzero(lettered)
-                for a, b in batches([len(texts[i]) for i in rows], 1_000_000):
-                    part = rows[a:b]
-                    s, _, n = m.totals([texts[i] for i in part])
-                    best = s.argmax(1)
-                    top = s[np.arange(len(part)), best]
-                    bits = -top / n
-                    w = np.exp2(np.maximum(s - top[:, None], -1000.0)).sum(1)
-                    lim = limit[best]
-                    fine = bits <= lim[:, 0] + TEXT_SD * lim[:, 1] + CHAR_SD * lim[:, 2] / np.sqrt(n) + SLACK
-                    out.loc[part, "lang_pred"] = names[best]
-                    out.loc[part, "score"] = 1.0 / w
-                    out.loc[part, "bits"] = bits
-                    out.loc[part, "accepted"] = fine
-            yield out
+            lang, posterior, bits, fine = judged([t if isinstance(t, str) else "" for t in frame["text"]], m, limit)
+            yield pd.DataFrame({key: frame["key"], "lang_pred": lang, "score": posterior, "bits": bits, "accepted": fine})
 
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(score, schema)
+
+
+def accepted(docs: DataFrame, model: Model | None, limits: np.ndarray, text: str = "text") -> DataFrame:
+    """``docs`` without the rows that :func:`identify` rejects; all columns are kept as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast((model, limits))
+
+    def keep(frames: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        m, limit = shared.value
+        for batch in frames:
+            for at in range(0, batch.num_rows, 1000):
+                few = batch.slice(at, 1000)
+                fine = judged([t or "" for t in few.column(text).to_pylist()], m, limit)[3]
+                yield few.filter(pa.array(fine, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

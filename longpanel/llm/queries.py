@@ -97,3 +97,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .automaton_dedup import digests
 
     return digests(_read(spark, sf_dir, "documents"))
+
+
+@_add("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpus_pipeline import run
+
+    return run(spark, sf_dir)
