@@ -225,7 +225,9 @@ def spans(docs: DataFrame, unit: Unit, kernel: Kernel, keep_first: bool) -> Data
             k = frame[by].to_numpy()
             edge = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]).any(1), [True])))
             length = np.concatenate(([0], np.cumsum([len(b) for b in frame["body"]])))
-            for a, b in batches(list(np.diff(length[edge])), 200_000):
+            # a stretch stands in several pairs of blocks: such a pair is compared by itself
+            size = np.where((k[edge[:-1], 1] > 0) | (k[edge[:-1], 2] > 0), 1 << 40, np.diff(length[edge]))
+            for a, b in batches(size.tolist(), 200_000):
                 part = frame.iloc[edge[a]:edge[b]]
                 # places are ordered by key, and by row where keys are equal
                 key, row = part["key"].to_numpy(np.int64), part["row"].to_numpy(np.int64)
