@@ -3,7 +3,7 @@
 A document's set holds the 64-bit hashes of its distinct runs of five words (``A-Z`` lower-cased; with fewer words, of
 the whole sequence). Two documents link when ``100 * |intersection| >= 80 * |union|``.
 
-1. Each set gives its digest, its size, a bitmap (a bit for each hash, at least two bits a member) and its prefix: the
+1. Each set gives its digest, its size, a bitmap (a bit for each hash, at least as wide as the set) and its prefix: the
    first members in an order that all sets share. Sets that reach the threshold share a prefix member. The order puts
    members that a bounded sample shows to be frequent last, which keeps groups small; any order gives the same links.
 2. Documents with equal digests are one node. Nodes that share a prefix member form a group; of groups with equal
@@ -11,7 +11,7 @@ the whole sequence). Two documents link when ``100 * |intersection| >= 80 * |uni
 3. In each group a signature tree is built: nodes hold the OR and the AND of the bitmaps below and the range of sizes. A
    dual traversal drops pairs of nodes whose largest possible overlap cannot reach the threshold. Documents left
    without a possible partner leave the group.
-4. Whole sets of the remaining documents are fetched once. Each document first meets the largest of its groups; links
+4. Whole sets of the remaining documents are read from their texts. Each document first meets the largest of its groups; links
    found there, by the same traversal and an exact count of the intersection, give first components. Groups whose
    members are all in one component can add nothing and go; the others are traversed with whole sets.
 
@@ -67,7 +67,7 @@ def digest(s: np.ndarray) -> int:
 
 def width(n: int) -> int:
     """Words of 64 bits in the bitmap of ``n`` members."""
-    return max(1, 1 << max(0, (2 * n - 1).bit_length() - 6))
+    return max(1, 1 << max(0, (n - 1).bit_length() - 6))
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
@@ -321,7 +321,9 @@ def _survivors(frame: pd.DataFrame, edge: np.ndarray) -> Iterator[pd.DataFrame]:
 
 
 def _links(frame: pd.DataFrame, edge: np.ndarray) -> Iterator[pd.DataFrame]:
-    sizes, maps, sets = frame["n"].to_numpy(np.int64), list(frame["bits"]), list(frame["members"])
+    sets = list(frame["members"])
+    sizes = np.array([len(m) // 8 for m in sets])
+    maps = [bitmap(np.frombuffer(m, np.uint64)).tobytes() for m in sets]
     node, start = frame["node"].to_numpy(), frame["label"].to_numpy()
     out = []
     for a, b in zip(edge[:-1], edge[1:]):
@@ -337,25 +339,25 @@ def linked(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     signs = stage(made.where(F.col("bits").isNotNull()).select("node", "n", "bits").dropDuplicates(["node"]), "signatures")
     near = _by_group(blocked(groups(made)).join(signs.hint("merge"), "node"), _survivors, "g long, node long")
     near = stage(near.distinct(), "near")
-    # whole sets of what is left, fetched by key and told apart by digest
-    wanted = stage(near.select("node").distinct(), "wanted")
-    rep = stage(made.join(keys_side(wanted), "node", "left_semi").groupBy("node").agg(F.min("key").alias("key"))
-                .select("key").distinct(), "representatives")
-    kind = docs.schema[key].dataType.simpleString()
+    # a row that has each node's set, found by key and told apart by digest
+    rep = made.join(keys_side(stage(near.select("node").distinct(), "wanted")), "node", "left_semi").groupBy("node").agg(F.min("key").alias("k"))
+    rep = stage(rep, "representatives")
+    texts = docs.select(F.col(key).alias("key"), "text")
 
     def fetch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = [(digest(s), s.tobytes()) for s in text_sets(list(frame["text"])) if len(s)]
-            yield pd.DataFrame(out, columns=["node", "members"])
-
-    texts = docs.select(F.col(key).cast(kind).alias("key"), "text")
-    rep = keys_side(rep.withColumnRenamed("key", "k"))
-    sets = texts.join(rep, F.col("key").eqNullSafe(F.col("k")), "left_semi").mapInPandas(fetch, "node long, members binary")
-    sets = stage(sets.join(keys_side(wanted), "node", "left_semi").dropDuplicates(["node"]).join(signs, "node"), "sets")
+            for at in range(0, len(frame), 500):
+                few = frame.iloc[at:at + 500]
+                out = [(digest(s), s.tobytes()) for s in text_sets(list(few["text"])) if len(s)]
+                yield pd.DataFrame(out, columns=["node", "members"])
 
     def find(rows: DataFrame) -> DataFrame:
-        """Links in groups of (g, node, size, label)."""
-        return stage(_by_group(blocked(rows).join(sets.hint("merge"), "node"), _links, "a long, b long"), "links")
+        """Links in groups of (g, node, size, label); whole sets are read from the texts and go straight to the groups."""
+        rows = stage(blocked(rows), "to-compare")
+        need = rep.join(keys_side(stage(rows.select("node").distinct(), "needed")), "node", "left_semi").select("k").distinct()
+        sets = texts.join(keys_side(stage(need, "keys")), F.col("key").eqNullSafe(F.col("k")), "left_semi")
+        sets = sets.mapInPandas(fetch, "node long, members binary")
+        return stage(_by_group(sets.join(keys_side(rows), "node"), _links, "a long, b long"), "links")
 
     size = F.count(F.lit(1)).over(Window.partitionBy("g")).alias("size")
     sized = stage(near.select("g", "node", size), "sized")
