@@ -31,8 +31,6 @@ from .scratch import partitions, stage
 from .words import U, Hasher, _BYTES, batches, gram_hashes, word_hashes
 
 BLOCK = 4096
-#: Most spans that are broadcast to the documents they belong to.
-SPANS = 2_000_000
 #: Most repeated anchor hashes that are broadcast; above it texts are joined with their own.
 ANCHORS = 8_000_000
 _HASH = Hasher()
@@ -246,7 +244,8 @@ def spans(docs: DataFrame, unit: Unit, kernel: Kernel, keep_first: bool) -> Data
     firsts = u.select("h", "s", "first")
     found = found.join(firsts.hint("merge"), ["h", "s"]).select("h", "s", "first", "always", "later")
     found = stage(alike.unionByName(found), "found")
-    places = t.select("h", "s", "row", "lo").join(keys_side(found), ["h", "s"])
+    # both sides grow with the input: merged at every size, hot stretches split by Spark
+    places = t.select("h", "s", "row", "lo").join(found.hint("merge"), ["h", "s"])
     is_first = (F.col("row") == F.col("first.row")) & (F.col("lo") == F.col("first.lo"))
     ranges = F.concat("always", F.when(is_first, none).otherwise(F.col("later")))
     pairs = F.transform(F.sequence(F.lit(0), (F.size("r") / 2 - 1).cast("int")), lambda i: F.struct(
@@ -275,6 +274,4 @@ def numbered(docs: DataFrame, key: str) -> DataFrame:
 
 def with_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
     """Documents with their ``spans``; NULL where nothing is removed."""
-    found = stage(found, "spans")
-    total = found.agg(F.sum(F.size("spans"))).first()[0] or 0
-    return docs.join(F.broadcast(found) if total <= SPANS else found.hint("merge"), "row", "left")
+    return docs.join(stage(found, "spans").hint("merge"), "row", "left")
