@@ -419,7 +419,6 @@ def test_substrings_by_the_plans_for_large_input(spark, monkeypatch):
     texts = corpus(5, 40)
     monkeypatch.setattr(repeats, "BLOCK", 3)
     monkeypatch.setattr(repeats, "ANCHORS", -1)
-    monkeypatch.setattr(repeats, "SPANS", -1)
     monkeypatch.setattr(joins, "BROADCAST_ROWS", -1)
     d = frame(spark, texts)
     assert {r.doc_id: tuple(r)[1:] for r in bwt_dedup.digests(d).collect()} == dict(enumerate(brute_bytes(texts, 100)))
