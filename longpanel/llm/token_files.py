@@ -44,7 +44,7 @@ _SPACE = re.compile(r"\s")
 _MARKED = re.compile(r"(\S*[^\W_])([.,;:!?|*$%&#)]+)\Z")
 #: A newline that is not alone between non-spaces.
 _EDGE = re.compile(r"\A\n|\n\Z|\s\n|\n\s")
-_KEEP, _LONGEST = 300_000, 48
+_KEEP, _LONGEST = 700_000, 48
 
 
 class Pieces(dict):
@@ -106,7 +106,6 @@ class Encoder:
     def _learn(self, heads: set[str], tails: set[str]) -> None:
         """Make ids known of pieces that begin a text (``heads``) or follow a space (``tails``)."""
         self.first.spare, self.later.spare = {}, {}
-        heads, tails = heads.difference(self.first), tails.difference(self.later)
         made: list[tuple[Pieces, str, str, list[str], str]] = []  # (where, piece, its first part, lines after it, marks at its end)
         alone: dict[int, set[str]] = {0: set(), 1: set()}
         for k, side in enumerate((heads, tails)):
@@ -138,13 +137,20 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [t.split(" ") if t and not _RUN.search(t) else None for t in texts]
-        tails: set[str] = set()
-        for p in parts:
-            if p:
-                tails.update(p[1:])
-        self._learn({p[0] for p in parts if p}, tails)
-        return [self.whole(t) if p is None else self.first[p[0]] + b"".join(map(self.later.__getitem__, p[1:]))
-                for t, p in zip(texts, parts)]
+        # one look at every piece: what is not known is learned and put in its place
+        known = [list(map(self.later.get, p)) if p else None for p in parts]
+        tails = {x for p, got in zip(parts, known) if p for x, b in zip(p, got) if b is None}
+        self._learn({p[0] for p in parts if p and p[0] not in self.first}, tails)
+        later, out = self.later, []
+        for t, p, got in zip(texts, parts, known):
+            if p is None:
+                out.append(self.whole(t))
+                continue
+            if None in got:
+                got = [later[x] if b is None else b for x, b in zip(p, got)]
+            got[0] = self.first[p[0]]
+            out.append(b"".join(got))
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
