@@ -145,7 +145,7 @@ def stretches(docs: DataFrame, unit: Unit) -> DataFrame:
     shared = None
     t = docs.select("row", "key", "text")
     if wanted.count() <= ANCHORS:
-        shared = spark.sparkContext.broadcast(np.sort(wanted.toPandas()["h"].to_numpy(np.int64)))
+        shared = spark.sparkContext.broadcast(np.sort(wanted.toArrow()["h"].to_numpy()))
 
     def emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = shared.value if shared is not None else None

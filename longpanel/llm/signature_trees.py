@@ -241,7 +241,7 @@ def frequent(docs: DataFrame, rows: int = SAMPLE_ROWS) -> np.ndarray:
 
     # a text has one hash, so copies are in or out together: they count once
     seen = few.select("text").distinct().limit(4 * rows).mapInPandas(members, "h long").groupBy("h").count()
-    found = seen.where(F.col("count") >= SAMPLE_SEEN).select("h").toPandas()["h"].to_numpy(np.int64)
+    found = seen.where(F.col("count") >= SAMPLE_SEEN).select("h").toArrow()["h"].to_numpy()
     return np.sort(found.astype(np.uint64))
 
 
