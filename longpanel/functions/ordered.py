@@ -111,9 +111,18 @@ def is_hot(df: DataFrame, by: Sequence[str]) -> bool:
 
 
 def value_count(df: DataFrame, name: str) -> int:
-    """Number of distinct values of a key column, inherited or measured."""
+    """Number of distinct values of a key column, counted from the frame itself."""
+    return df.select(name).where(F.col(name).isNotNull()).distinct().count()
+
+
+def value_bound(df: DataFrame, name: str) -> int:
+    """About how many distinct values a key column has: inherited, or counted.
+
+    It only steers plans.  Filters, unions and joins change the true number, so nothing that
+    enters a result may be taken from here.
+    """
     known = _meta(df, name, GROUPS_KEY)
-    return int(known) if known is not None else df.select(name).distinct().count()
+    return int(known) if known is not None else value_count(df, name)
 
 
 # ------------------------------------------------------------------ joins on group keys
@@ -121,8 +130,12 @@ def value_count(df: DataFrame, name: str) -> int:
 
 def join_back(df: DataFrame, right: DataFrame, by: Sequence[str], how: str = "left") -> DataFrame:
     """Join per-group columns back.  ``right`` has one row per group; AQE broadcasts it when its
-    measured size allows and splits skewed left partitions otherwise."""
-    return df.join(right, list(by), how)
+    measured size allows and splits skewed left partitions otherwise.  NULL keys are one group."""
+    if not by:
+        return df.join(right, [], how)
+    named = right.withColumnsRenamed({k: f"_by_{k}" for k in by})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_by_{k}")) for k in by])
+    return df.join(named, same, how).drop(*[f"_by_{k}" for k in by])
 
 
 def over_group(df: DataFrame, by: Sequence[str], aggs: Mapping[str, Column]) -> DataFrame:
@@ -137,9 +150,11 @@ def over_group(df: DataFrame, by: Sequence[str], aggs: Mapping[str, Column]) ->
 # ------------------------------------------------------------------ position table
 
 
-def _positions(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+def _positions(df: DataFrame, by: Sequence[str], order: Sequence[str], nulls: bool = False) -> DataFrame:
     """``(by, order, _c, _below)``: multiplicity of each distinct key and rows before it.
 
+    Keys with a NULL in ``order`` come first if ``nulls``, else they have no position.
+
     Built without bringing a group into one task: distinct keys are range partitioned, slice
     totals are turned into offsets, and only slices are scanned in order.  The slice id is
     written to reliable storage first, because it is not reproducible across recomputation.
@@ -150,9 +165,10 @@ def _positions(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFr
         2 * -(-row_bound(df, by) // group_limit(spark)),
     )
     keys = [*by, *order]
-    present = reduce(lambda a, b: a & b, [F.col(o).isNotNull() for o in order])
-    d = df.where(present).groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"))
-    d = d.repartitionByRange(min(slices, 20_000), *keys).withColumn("_p", F.spark_partition_id())
+    if not nulls:
+        df = df.where(reduce(lambda a, b: a & b, [F.col(o).isNotNull() for o in order]))
+    d = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"))
+    d = d.repartitionByRange(slices, *keys).withColumn("_p", F.spark_partition_id())
     d = durable(d)
     before = W.partitionBy(*by).orderBy("_p").rowsBetween(UNB, -1)
     offsets = (
@@ -162,7 +178,7 @@ def _positions(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFr
     )
     inner = W.partitionBy("_p", *by).orderBy(*order).rowsBetween(UNB, -1)
     return (
-        d.join(offsets, ["_p", *by])
+        join_back(d, offsets, ["_p", *by])
         .withColumn("_below", F.col("_o") + F.coalesce(F.sum("_c").over(inner), F.lit(0)))
         .drop("_p", "_o")
     )
@@ -188,11 +204,16 @@ def with_rank(df: DataFrame, by: Sequence[str], value: str, out: str,
             expr = F.row_number().over(
                 W.partitionBy(*by).orderBy(v.asc_nulls_last(), *ties)).cast("bigint")
         return df.withColumn(out, F.when(v.isNotNull(), expr))
-    order = [value] if kind == "average" else [value, *ties]
-    rank = (F.col("_below") + (F.col("_c") + 1) / F.lit(2.0) if kind == "average"
-            else F.col("_below") + 1)
-    table = _positions(df, by, order).select(*by, *order, rank.alias(out))
-    return df.drop(out).join(table, [*by, *order], "left")
+    df = df.drop(out)
+    if kind == "average":
+        rank = F.col("_below") + (F.col("_c") + 1) / F.lit(2.0)
+        return join_back(df, _positions(df, by, [value]).select(*by, value, rank.alias(out)), [*by, value])
+    # a struct keeps NULL ties in order and equal rows together; those are numbered among themselves
+    df = df.withColumn("_tie", F.struct(*ties) if ties else F.lit(0))
+    table = _positions(df, by, [value, "_tie"]).select(*by, value, "_tie", "_below")
+    df = join_back(df, table, [*by, value, "_tie"])
+    among = F.row_number().over(W.partitionBy(*by, value, "_tie").orderBy(F.lit(0)))
+    return df.withColumn(out, F.when(v.isNotNull(), F.col("_below") + among).cast("bigint")).drop("_tie", "_below")
 
 
 # ------------------------------------------------------------------ quantiles
@@ -211,7 +232,7 @@ def group_quantiles(df: DataFrame, by: Sequence[str], value: str,
             *[F.percentile(value, F.lit(q)).alias(n) for n, q in quantiles.items()])
     if is_hot(df, by):
         pos = _positions(df, by, [value])
-        pos = pos.join(pos.groupBy(*by).agg(F.sum("_c").alias("_n")), list(by))
+        pos = join_back(pos, pos.groupBy(*by).agg(F.sum("_c").alias("_n")), by)
     else:
         w = W.partitionBy(*by)
         pos = df.where(F.col(value).isNotNull()).select(
@@ -238,7 +259,8 @@ def group_quantiles(df: DataFrame, by: Sequence[str], value: str,
     for n in quantiles:
         lo, hi, wgt = F.col(f"_lo_{n}"), F.col(f"_hi_{n}"), F.col(f"_w_{n}")
         outs.append((lo + (hi - lo) * wgt if interpolation == "linear" else lo).alias(n))
-    return picked.select(*by, *outs)
+    # a group without values is a row of NULLs in every plan
+    return join_back(df.select(*by).distinct(), picked.select(*by, *outs), by) if by else picked.select(*outs)
 
 
 def with_quantiles(df: DataFrame, by: Sequence[str], value: str,
@@ -318,11 +340,11 @@ def with_trailing(df: DataFrame, by: Sequence[str], order: Sequence[str], reach:
     if not is_hot(df, by):
         return build(df, Trail(by, order))
     length = max(group_limit(df.sparkSession) // 2, reach, 1)
-    pos = _positions(df, by, order).select(*by, *order, F.col("_below").alias("_rn"))
+    pos = _positions(df, by, order, nulls=True).select(*by, *order, F.col("_below").alias("_rn"))
     at = F.expr(f"_rn div {length}")
     tail = F.col("_rn") % length >= length - reach
     ext = (
-        df.join(pos, [*by, *order], "left")
+        join_back(df, pos, [*by, *order])
         .select("*", F.posexplode(F.when(tail, F.array(at, at + 1)).otherwise(F.array(at)))
                 .alias("_halo", "_slice"))
         .drop("_rn")
@@ -334,8 +356,8 @@ def with_trailing(df: DataFrame, by: Sequence[str], order: Sequence[str], reach:
 
 
 _RUNNING = {
-    "sum": (F.sum, lambda carry, x: F.coalesce(carry, F.lit(0.0)) + x),
-    "product": (F.product, lambda carry, x: F.coalesce(carry, F.lit(1.0)) * x),
+    "sum": (F.sum, lambda carry, x: F.coalesce(carry + x, carry, x)),
+    "product": (F.product, lambda carry, x: F.coalesce(carry * x, carry, x)),
     "max": (F.max, lambda carry, x: F.greatest(carry, x)),
     "last": (lambda x: F.last(x, ignorenulls=True), lambda carry, x: F.coalesce(x, carry)),
 }
@@ -348,9 +370,9 @@ def with_running(df: DataFrame, by: Sequence[str], order: Sequence[str],
     if not is_hot(df, by):
         return df.withColumns({n: _RUNNING[k][0](x).over(w) for n, (k, x) in specs.items()})
     length = max(group_limit(df.sparkSession) // 2, 1)
-    pos = _positions(df, by, order).select(
+    pos = _positions(df, by, order, nulls=True).select(
         *by, *order, F.expr(f"_below div {length}").alias("_slice"))
-    df = df.join(pos, [*by, *order], "left").withColumns(
+    df = join_back(df, pos, [*by, *order]).withColumns(
         {f"_in_{n}": x for n, (_, x) in specs.items()})
     inner = W.partitionBy(*by, "_slice").orderBy(*order).rowsBetween(UNB, 0)
     local = df.withColumns(
@@ -361,7 +383,7 @@ def with_running(df: DataFrame, by: Sequence[str], order: Sequence[str],
     carry = ends.select(*by, "_slice", *[
         _RUNNING[k][0](F.col(f"_end_{n}")).over(before).alias(f"_carry_{n}")
         for n, (k, _) in specs.items()])
-    out = local.join(carry, [*by, "_slice"], "left")
+    out = join_back(local, carry, [*by, "_slice"])
     out = out.withColumns(
         {n: _RUNNING[k][1](F.col(f"_carry_{n}"), F.col(n)) for n, (k, _) in specs.items()})
     return out.drop("_slice", *[f"_in_{n}" for n in specs], *[f"_carry_{n}" for n in specs])
@@ -373,7 +395,7 @@ def with_running(df: DataFrame, by: Sequence[str], order: Sequence[str],
 def distinct_ordinals(df: DataFrame, name: str, out: str = "_ord") -> DataFrame:
     """``(name, out)``: dense 0-based position of every distinct value over the whole frame."""
     values = df.select(name).where(F.col(name).isNotNull()).distinct()
-    n = value_count(df, name)
+    n = value_bound(df, name)
     if n <= group_limit(df.sparkSession):
         return values.withColumn(out, (F.row_number().over(W.orderBy(name)) - 1).cast("bigint"))
     whole = annotate(values.withColumn("_all", F.lit(1)), {"_all": (n, 1)})

@@ -108,10 +108,10 @@ def shift_sessions(days: DataFrame, sessions: DataFrame, n: int, *, day: str = "
     # sessions are merged and the running maximum of the ordinal is taken
     d = days.select(day).distinct()
     merged = d.join(ords.select(F.col("date").alias(day), "_k"), day, "full")
-    from ..functions.ordered import annotate, value_count, with_running
+    from ..functions.ordered import annotate, value_bound, with_running
 
     merged = merged.withColumn("_all", F.lit(1))
-    merged = annotate(merged, {"_all": (value_count(merged, day), 1)})
+    merged = annotate(merged, {"_all": (value_bound(merged, day), 1)})
     merged = with_running(merged, ["_all"], [day], {"_at": ("last", F.col("_k"))})
     at = F.coalesce(F.col("_at"), F.lit(-1))
     if n == 0:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import (SYMBOL, TS, as_list, finite, is_finite, ratio, require_columns,
                                  sample_corr_from_sums, unpivot)
-from ..functions.ordered import (annotate, distinct_ordinals, over_group, value_count, with_rank,
+from ..functions.ordered import (annotate, distinct_ordinals, over_group, value_bound, with_rank,
                                  with_running, with_trailing)
 
 THIN_PERIODS = 30
@@ -38,7 +38,7 @@ def ic(df: DataFrame, factors: str | Sequence[str], label: str, *, method: str =
         raise ValueError(f"method must be 'spearman' or 'pearson', got {method!r}")
     cols = as_list(factors)
     require_columns(df, (TS, SYMBOL, label, *cols), "ic")
-    n_ts = value_count(df, TS)
+    n_ts = value_bound(df, TS)
     long = _long(df.withColumn("_y", finite(F.col(label).cast("double"))), cols, ["_y"])
     long = long.where(F.col("value").isNotNull() & F.col("_y").isNotNull())
     return _as_series(_pair_corr(long, ["factor", TS], "value", "_y", method, min_names)
@@ -188,7 +188,7 @@ def decay(df: DataFrame, factor: str, labels_by_horizon: Mapping[int, str], *,
     if not labels_by_horizon:
         raise ValueError("labels_by_horizon is empty")
     require_columns(df, (TS, SYMBOL, factor, *labels_by_horizon.values()), "decay")
-    n_ts = value_count(df, TS)
+    n_ts = value_bound(df, TS)
     long = df.withColumn("_x", finite(F.col(factor).cast("double"))).select(
         TS, "_x", F.explode(F.array(*[
             F.struct(F.lit(int(h)).alias("horizon"), F.col(c).cast("double").alias("y"))
@@ -260,7 +260,7 @@ def turnover(df: DataFrame, factors: str | Sequence[str], *, min_names: int = 20
     """
     cols = as_list(factors)
     require_columns(df, (TS, SYMBOL, *cols), "turnover")
-    n_ts = value_count(df, TS)
+    n_ts = value_bound(df, TS)
     long = _long(df, cols, []).where(F.col("value").isNotNull())
     kept = long.groupBy("factor", TS).agg(F.count(F.lit(1)).alias("_n")).where(
         F.col("_n") >= min_names)
@@ -293,7 +293,7 @@ def turnover_summary(series: DataFrame) -> DataFrame:
 def factor_ranking(df: DataFrame, factors: Sequence[str], label: str, *, buckets: int = 5,
                    min_names: int = 20) -> DataFrame:
     """IC, turnover and bucket statistics of every factor in one table."""
-    n_ts = value_count(df, TS)
+    n_ts = value_bound(df, TS)
     s = ic_summary(ic(df, factors, label, min_names=min_names)).select(
         "factor", F.col("mean").alias("ic"), "icir", "t_stat",
         F.col("positive_rate").alias("pos_rate"), F.col("n_periods").alias("periods"),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..errors import PointInTimeError
 from ..functions.columns import SYMBOL, TS, as_list, ratio, require_columns
-from ..functions.ordered import distinct_ordinals, is_hot, with_ordinal, with_trailing
+from ..functions.ordered import distinct_ordinals, is_hot, join_back, with_ordinal, with_trailing
 
 
 def slot_index(df: DataFrame, ts: str = TS, out: str = "_slot") -> DataFrame:
@@ -40,11 +40,12 @@ def forward_returns(df: DataFrame, horizons: Mapping[str, int], price: str = "vw
     px = F.col(price)
     offsets = sorted({entry_lag, *[entry_lag + n for n in horizons.values()]})
     if is_hot(df, [SYMBOL]):
-        at = base.select(SYMBOL, "_slot", px.alias("_v"))
+        # rows that share a key share its price: one row a key, so that no join multiplies them
+        at = base.groupBy(SYMBOL, "_slot").agg(F.max(px).alias("_v"))
         for k in offsets:
             shifted = at.select(SYMBOL, (F.col("_slot") - k).alias("_slot"),
                                 F.col("_v").alias(f"_p{k}"))
-            base = base.join(shifted, [SYMBOL, "_slot"], "left")
+            base = join_back(base, shifted, [SYMBOL, "_slot"])
     else:
         w = W.partitionBy(SYMBOL).orderBy("_slot")
         base = base.withColumns(

@@ -15,8 +15,8 @@ add = CATALOG.add
 
 
 def _n_ts(df):
-    from ...functions.ordered import value_count
-    return value_count(df, "ts")
+    from ...functions.ordered import value_bound
+    return value_bound(df, "ts")
 
 
 @add("eval_ic_series", f"""WITH {study_sql()} {long_sql()} {ic_sql()}

@@ -23,12 +23,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _bounded(df: DataFrame, key: tuple, *cols: str, source: DataFrame | None = None) -> DataFrame:
-    """Attach group bounds, measured once per table (the counterpart of table statistics)."""
+    """Attach group bounds, measured once per state of the table (the counterpart of table statistics).
+
+    The files behind the frame, with their sizes and times, are part of the key: rewritten data
+    is measured again.
+    """
+    source = df if source is None else source
+    key = (*key, _state(source))
     if key not in _BOUNDS:
-        _BOUNDS[key] = measured_bounds(df if source is None else source, *cols)
+        _BOUNDS[key] = measured_bounds(source, *cols)
     return annotate(df, _BOUNDS[key])
 
 
+def _state(df: DataFrame) -> tuple:
+    """Files of a frame with length and time of change, from Spark's own file system."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    out = []
+    for name in sorted(df.inputFiles()):
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        at = path.getFileSystem(conf).getFileStatus(path)
+        out.append((name, at.getLen(), at.getModificationTime()))
+    return tuple(out)
+
+
 def _period(unit: str):
     day = F.to_date("l_shipdate")
     return (day if unit == "day" else F.trunc(day, unit)).cast("timestamp_ntz")
