@@ -13,7 +13,8 @@ the whole sequence). Two documents link when ``100 * |intersection| >= 80 * |uni
    without a possible partner leave the group.
 4. Whole sets of the remaining documents are read from their texts. Each document first meets the largest of its groups; links
    found there, by the same traversal and an exact count of the intersection, give first components. Groups whose
-   members are all in one component can add nothing and go; the others are traversed with whole sets.
+   members are all in one component can add nothing and go; of the others, what may link to another component by its
+   bitmap is traversed with whole sets.
 
 Components are found on written tables. A link between two documents of one component may stay uncounted; no two
 components have a link between them.
@@ -172,15 +173,23 @@ def candidate_pairs(sizes: np.ndarray, maps: list[bytes], skip, visit) -> None:
             traverse(t, Tree(halved(wide), sizes[more]), False, lambda x, y: skip(rows[x], more[y]), lambda p, q: visit(rows[p], more[q]))
 
 
-def has_partner(sizes: np.ndarray, maps: list[bytes]) -> np.ndarray:
-    """Which rows of a group may link to another row."""
+def has_partner(sizes: np.ndarray, maps: list[bytes], label: np.ndarray | None = None) -> np.ndarray:
+    """Which rows of a group may link to another row; with labels, to a row of another label."""
     found = np.zeros(len(sizes), bool)
 
     def visit(p, q):
+        if label is not None:
+            other = label[p] != label[q]
+            p, q = p[other], q[other]
         found[p] = True
         found[q] = True
 
-    candidate_pairs(sizes, maps, lambda x, y: found[x].all() and found[y].all(), visit)
+    def skip(x, y):
+        if found[x].all() and found[y].all():
+            return True
+        return label is not None and bool((label[x] == label[x[0]]).all() and (label[y] == label[x[0]]).all())
+
+    candidate_pairs(sizes, maps, skip, visit)
     return found
 
 
@@ -313,10 +322,11 @@ def _by_group(df: DataFrame, work, schema: str) -> DataFrame:
 
 def _survivors(frame: pd.DataFrame, edge: np.ndarray) -> Iterator[pd.DataFrame]:
     sizes, maps = frame["n"].to_numpy(np.int64), list(frame["bits"])
+    label = frame["label"].to_numpy() if "label" in frame else None
     keep = np.zeros(len(frame), bool)
     for a, b in zip(edge[:-1], edge[1:]):
         if b - a > 1:
-            keep[a:b] = has_partner(sizes[a:b], maps[a:b])
+            keep[a:b] = has_partner(sizes[a:b], maps[a:b], None if label is None else label[a:b])
     yield frame.loc[keep, ["g", "node"]]
 
 
@@ -367,7 +377,11 @@ def linked(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     labels = stage(components(found), "labels")
     rest = sized.join(labels, "node", "left").select("g", "node", "size", F.coalesce("label", "node").alias("label"))
     mixed = rest.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("g")
-    more = find(rest.join(keys_side(stage(mixed, "mixed")), "g", "left_semi"))
+    rest = stage(rest.join(keys_side(stage(mixed, "mixed")), "g", "left_semi"), "rest")
+    # of those groups, what may link to another component by its bitmap
+    cross = _by_group(blocked(rest).join(signs.hint("merge"), "node"), _survivors, "g long, node long").distinct()
+    cross = rest.drop("size").join(keys_side(stage(cross, "crossing")), ["g", "node"])
+    more = find(cross.select("g", "node", size, "label").where("size > 1"))
     final = stage(components(found.union(more)), "components")
     ids = (made.where("n > 0").groupBy("node").agg(F.min("key").alias("key")).join(final, "node", "left")
            .select("node", "key", F.coalesce("label", "node").alias("label")))
