@@ -262,7 +262,7 @@ def judged(texts: list[str], model: Model | None, limits: np.ndarray) -> tuple[n
     if model is not None:
         names = np.array(model.languages, object)
         rows = np.flatnonzero(_has_letter(texts))
-        for a, b in batches([len(texts[i]) for i in rows], 1_000_000):
+        for a, b in batches([len(texts[i]) for i in rows], 250_000):
             part = rows[a:b]
             s, _, n = model.totals([texts[i] for i in part])
             best = s.argmax(1)
@@ -298,8 +298,8 @@ def accepted(docs: DataFrame, model: Model | None, limits: np.ndarray, text: str
 
         m, limit = shared.value
         for batch in frames:
-            for at in range(0, batch.num_rows, 1000):
-                few = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 500):
+                few = batch.slice(at, 500)
                 fine = judged([t or "" for t in few.column(text).to_pylist()], m, limit)[3]
                 yield few.filter(pa.array(fine, pa.bool_()))
 

@@ -93,7 +93,7 @@ def anchors(c: Cut, unit: Unit) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return g[at[lo]], row[lo], lo, size
 
 
-def _texts(frame: pd.DataFrame, limit: int = 2_000_000) -> Iterator[tuple[int, list[bytes]]]:
+def _texts(frame: pd.DataFrame, limit: int = 1_000_000) -> Iterator[tuple[int, list[bytes]]]:
     """Batches of a frame's texts as bytes, with the number of the first; a text beyond 2**24 units is cut by callers."""
     raw = [t.encode() if isinstance(t, str) else b"" for t in frame["text"]]
     for a, b in batches([len(t) for t in raw], limit):

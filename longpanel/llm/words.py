@@ -78,7 +78,7 @@ class Hasher:
 _HASHER = Hasher()
 
 
-def batches(sizes: Sequence[int], limit: int = 4_000_000) -> list[tuple[int, int]]:
+def batches(sizes: Sequence[int], limit: int = 1_000_000) -> list[tuple[int, int]]:
     """Ranges of rows whose sizes add up to about ``limit``; a longer row stands alone."""
     out, first, total = [], 0, 0
     for i, n in enumerate(sizes):
