@@ -72,23 +72,37 @@ def _decrements(events: DataFrame, by: list[str]) -> DataFrame:
 
 
 def _adds(events: DataFrame, by: list[str]) -> DataFrame:
+    """Adds with ``_until`` and ``_uslot``: where the same key is added again, which ends this order."""
     ok = ((F.col("kind") == "add") & (F.col("qty") > 0) & (F.col("price") > 0)
           & F.col("side").isin("buy", "sell"))
-    return events.where(ok).select(*by, "key", F.col(SEQ).alias("_aseq"), "price", "side",
+    adds = events.where(ok).select(*by, "key", F.col(SEQ).alias("_aseq"), "price", "side",
                                    F.col("qty").alias("_q"), F.col("slot").alias("_aslot"))
+    # a key names few orders
+    again = W.partitionBy(*by, "key").orderBy("_aseq")
+    return adds.withColumns({"_until": F.lead("_aseq").over(again), "_uslot": F.lead("_aslot").over(again)})
 
 
 def order_changes(slotted: DataFrame, session: Sequence[str] = ()
                   ) -> tuple[DataFrame, DataFrame]:
     """``(changes, unresolved)``: signed quantity and order-count changes per event, and the
-    decrements that found no resting order."""
+    decrements that found no resting order.
+
+    A key that is added again names the new order from there on; what is left of the old one goes.
+    """
     by = [*session, SYMBOL]
     adds, dec = _adds(slotted, by), _decrements(slotted, by)
-    hit = dec.join(adds, [*by, "key"], "left")
-    live = F.col("_aseq").isNotNull() & (F.col(SEQ) > F.col("_aseq"))
-    missed = hit.where(~F.coalesce(live, F.lit(False))).select(*by, "slot")
-    hit = hit.where(live)
-    order = [*by, "key"]
+    named = adds.withColumnsRenamed({k: f"_of_{k}" for k in [*by, "key"]})
+    same = [F.col(k) == F.col(f"_of_{k}") for k in [*by, "key"]]
+    alive = (F.col(SEQ) > F.col("_aseq")) & (F.col("_until").isNull() | (F.col(SEQ) < F.col("_until")))
+    # at most one order of a key is alive at a time, so a decrement stays one row
+    hit = dec.join(named, [*same, alive], "left").drop(*[f"_of_{k}" for k in [*by, "key"]])
+    missed = hit.where(F.col("_aseq").isNull()).select(*by, "slot")
+    hit = hit.where(F.col("_aseq").isNotNull())
+    ended = adds.where(F.col("_until").isNotNull()).withColumns({
+        SEQ: F.col("_until"), "slot": F.col("_uslot"), "leg": F.lit(-1), "d": F.lit(ALL_OF_IT)})
+    hit = hit.drop(CHANNEL).withColumn("_own", F.lit(False)).unionByName(
+        ended.select(*[c for c in hit.columns if c != CHANNEL], F.lit(True).alias("_own")))
+    order = [*by, "key", "_aseq"]
     hit = annotate(hit, {"key": (row_bound(hit.select(*order), order), 0)})
     # (seq, leg) numbers the decrements of an order
     hit = with_running(hit, order, [SEQ, "leg"], {"_cs": ("sum", F.col("d").cast("double"))})
@@ -96,7 +110,7 @@ def order_changes(slotted: DataFrame, session: Sequence[str] = ()
     after, before = F.greatest(q - F.col("_cs"), F.lit(0.0)), q - (F.col("_cs") - F.col("d"))
     hit = hit.withColumns({"_after": after, "_before": before})
     used = hit.where(F.col("_before") > 0)
-    spent = hit.where(F.col("_before") <= 0).select(*by, "slot")
+    spent = hit.where((F.col("_before") <= 0) & ~F.col("_own")).select(*by, "slot")
     changes = adds.select(*by, "side", "price", F.col("_aslot").alias("slot"),
                           F.col("_q").cast("bigint").alias("dq"), F.lit(1).alias("dn")).unionByName(
         used.select(*by, "side", "price", "slot",
@@ -112,7 +126,7 @@ def book_snapshots(events: DataFrame, slot_ns: int, *, session: Sequence[str] =
     ``grid="channel"`` snapshots a symbol at every slot of its channel from its first record on;
     ``grid="own"`` only at slots in which the symbol itself has a record.  Slots with an empty
     book and no trade are left out.  ``session`` names columns (a trade date) at which books
-    start empty.
+    start empty.  A symbol with records on two channels in one session is an error.
     """
     require_columns(events, EVENT_COLUMNS, "book_snapshots")
     if grid not in ("channel", "own"):
@@ -128,7 +142,10 @@ def book_snapshots(events: DataFrame, slot_ns: int, *, session: Sequence[str] =
     slots = slots.withColumns({
         "_k": (F.row_number().over(cw.orderBy("slot")) - 1).cast("int"),
         "_n": F.count(F.lit(1)).over(cw).cast("int")})
-    homes = e.groupBy(*by).agg(F.max(CHANNEL).alias(CHANNEL), F.max("exchange").alias("exchange"),
+    # slots are those of one channel: a symbol on two would lose the records of the other
+    one = F.when(F.min(CHANNEL).eqNullSafe(F.max(CHANNEL)), F.max(CHANNEL)).otherwise(F.raise_error(
+        F.concat(F.lit("records of one symbol on two channels: "), F.first(SYMBOL).cast("string"))).cast(e.schema[CHANNEL].dataType))
+    homes = e.groupBy(*by).agg(one.alias(CHANNEL), F.max("exchange").alias("exchange"),
                                F.min("slot").alias("_first"))
     homes = homes.join(slots.select(*ses, CHANNEL, F.col("slot").alias("_first"),
                                     F.col("_k").alias("_k0"), "_n"), [*ses, CHANNEL, "_first"])
