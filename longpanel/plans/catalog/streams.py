@@ -16,10 +16,6 @@ def _ns(df, col="slot"):
     return df.withColumn(col, F.unix_micros(col) * 1000)
 
 
-# append mode emits a window once the watermark has passed its end
-_CLOSED = f"slot <= (SELECT max(arrival_ts) FROM tk) - 2 * {HOUR}"
-
-
 @add("stream_slot_bars", f"""WITH {TICKS},
 b AS (SELECT (arrival_ts // {HOUR} + 1) * {HOUR} AS slot, * FROM tk)
 SELECT slot, symbol, count(*) FILTER (WHERE record_type = 'trade') AS n_trades, CAST(coalesce(sum(volume) FILTER (WHERE record_type = 'trade'), 0) AS BIGINT) AS volume,
@@ -28,18 +24,18 @@ SELECT slot, symbol, count(*) FILTER (WHERE record_type = 'trade') AS n_trades,
   CAST(coalesce(sum(volume) FILTER (WHERE record_type = 'trade' AND side = 'buy'), 0) AS BIGINT) AS buy_vol, CAST(coalesce(sum(volume) FILTER (WHERE record_type = 'trade' AND side = 'sell'), 0) AS BIGINT) AS sell_vol,
   count(*) FILTER (WHERE record_type = 'add') AS n_add, count(*) FILTER (WHERE record_type = 'cancel') AS n_cancel,
   CAST(coalesce(sum(volume) FILTER (WHERE record_type = 'add'), 0) AS BIGINT) AS add_vol, CAST(coalesce(sum(volume) FILTER (WHERE record_type = 'cancel'), 0) AS BIGINT) AS cancel_vol
-FROM b WHERE {_CLOSED} GROUP BY slot, symbol""")
+FROM b GROUP BY slot, symbol""")
 def slot_bars(spark, d):
-    bars = J.run_available(J.slot_bars(tick_stream(spark, d), width="1 hour", delay="2 hours"))
+    bars = J.run_available(J.slot_bars(tick_stream(spark, d), width="1 hour", delay="2 hours"), final_by=("slot", "symbol"))
     return rounded(_ns(bars), 8, amount=4, vwap=7)
 
 
 @add("stream_latency_monitor", f"""WITH {TICKS},
 b AS (SELECT (arrival_ts // {HOUR} + 1) * {HOUR} AS slot, * FROM tk)
 SELECT slot, exchange, count(*) AS n, {r('avg(arrival_ts - exchange_ts)', 'mean_latency', 2)}, max(arrival_ts - exchange_ts) AS max_latency,
-  CAST(1 AS DOUBLE) AS causal_share FROM b WHERE {_CLOSED} GROUP BY slot, exchange""")
+  CAST(1 AS DOUBLE) AS causal_share FROM b GROUP BY slot, exchange""")
 def latency(spark, d):
-    m = J.run_available(J.latency_monitor(tick_stream(spark, d), width="1 hour", delay="2 hours"))
+    m = J.run_available(J.latency_monitor(tick_stream(spark, d), width="1 hour", delay="2 hours"), final_by=("slot", "exchange"))
     return rounded(_ns(m), 2)
 
 

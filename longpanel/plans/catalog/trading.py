@@ -273,18 +273,18 @@ def fill_sensitivity(spark, d):
 
 
 @add("account_parity_report", f"""WITH {panel_sql()} {_W_RANK} {_GROSS},
-x AS (SELECT ts, g * e0 AS a, g * e0 * (CASE WHEN k % 50 = 7 THEN 1.0001 ELSE 1 END) AS b FROM pb),
+x AS (SELECT ts, g * e0 AS a, g * e0 * (CASE WHEN k % 50 = 7 THEN 1 + k * 1e-6 ELSE 1 END) AS b FROM pb),
 y AS (SELECT x.*, abs(a - b) AS ad, CASE WHEN abs(b) > 0 THEN abs(a - b) / abs(b) ELSE abs(a - b) END AS rd FROM x WHERE ts < TIMESTAMP '2001-01-01')
 SELECT count(*) AS n_periods, CAST((SELECT count(*) FROM x) - count(*) AS BIGINT) AS n_missing, {r('max(ad)', 'max_abs_diff', 4)}, {r('max(rd)', 'max_rel_diff', 8)},
-  {r('sum(a)', 'total_a', 3)}, {r('sum(b)', 'total_b', 3)}, false AS passed FROM y""")
+  {r('sum(a)', 'total_a', 3)}, {r('sum(b)', 'total_b', 3)}, arg_max(ts, rd) AS worst_period, false AS passed FROM y""")
 def parity(spark, d):
     w, px = _costed_inputs(spark, d)
     a = G.simulate_cross_sectional(w, px, capital=1e6).select("ts", "net_pnl")
     from ...functions.ordered import with_ordinal
     b = with_ordinal(a, "ts", "k").select("ts", (F.col("net_pnl") * F.when(
-        (F.col("k") + 1) % 50 == 7, 1.0001).otherwise(1.0)).alias("net_pnl"))
+        (F.col("k") + 1) % 50 == 7, 1 + (F.col("k") + 1) * 1e-6).otherwise(1.0)).alias("net_pnl"))
     b = b.where(F.col("ts") < F.lit("2001-01-01").cast("timestamp_ntz"))
-    return rounded(G.parity_report(a, b).drop("worst_period"), 8, max_abs_diff=4, total_a=3, total_b=3)
+    return rounded(G.parity_report(a, b), 8, max_abs_diff=4, total_a=3, total_b=3)
 
 
 @add("account_frequency_sweep")

@@ -162,7 +162,7 @@ def shape_ticks(ev: DataFrame) -> DataFrame:
 def tick_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tick table as a file stream, with an event-time column."""
     like = table(spark, sf_dir, "events")
-    ev = spark.readStream.schema(like.schema).parquet(os.path.join(sf_dir, "events*.parquet"))
+    ev = spark.readStream.schema(like.schema).parquet(os.path.join(sf_dir, "events[.]parquet"))
     t = shape_ticks(ev)
     # div keeps BIGINT, so the event time is exact
     micros = F.call_function("div", F.col("arrival_ts"), F.lit(1000))
