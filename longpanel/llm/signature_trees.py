@@ -9,15 +9,14 @@ the whole sequence). Two documents link when ``100 * |intersection| >= 80 * |uni
 2. Documents with equal digests are one node. Nodes that share a prefix member form a group; of groups with equal
    members one stays. A group beyond ``BLOCK`` nodes is dealt into blocks, and every pair of its blocks is a group.
 3. In each group a signature tree is built: nodes hold the OR and the AND of the bitmaps below and the range of sizes. A
-   dual traversal drops pairs of nodes whose largest possible overlap cannot reach the threshold. Documents left
-   without a possible partner leave the group.
-4. Whole sets of the remaining documents are read from their texts. Each document first meets the largest of its groups; links
-   found there, by the same traversal and an exact count of the intersection, give first components. Groups whose
-   members are all in one component can add nothing and go; of the others, what may link to another component by its
-   bitmap is traversed with whole sets.
+   dual traversal drops pairs of nodes whose largest possible overlap cannot reach the threshold. What it leaves are
+   possible links; a spanning forest of them is kept for each group, and their components are clusters.
+4. The whole set of each clustered document is read from its text and goes to its cluster once. There the same traversal
+   on the sets' bitmaps, with an exact count of the intersection, gives the links; clusters beyond ``BLOCK`` nodes are
+   dealt into blocks as groups are.
 
-Components are found on written tables. A link between two documents of one component may stay uncounted; no two
-components have a link between them.
+Components are found on written tables. A link between two documents that others join already may stay uncounted; no
+two components have a link between them.
 
 NULL, empty and wordless texts have an empty set and stand alone. Repeated rows share a set and so a component; ties do
 not arise. The smallest key of a component is its id; NULL keys are never chosen. Other columns are ignored.
@@ -73,10 +72,21 @@ def width(n: int) -> int:
 
 def bitmap(s: np.ndarray) -> np.ndarray:
     bits = np.zeros(64 * width(len(s)), np.uint8)
-    bits[s & U(len(bits) - 1)] = 1
+    bits[(s >> U(16)) & U(len(bits) - 1)] = 1
     return np.packbits(bits, bitorder="little").view(np.uint64)
 
 
+def packed(s: np.ndarray) -> bytes:
+    """The upper 48 bits of each hash: two members of a pair of sets of 20,000 agree by chance once in 700,000 pairs."""
+    return s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def unpacked(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(b, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel().astype(np.uint64)
+
+
 # ------------------------------------------------------------------ signature trees
 
 
@@ -108,7 +118,7 @@ class Tree:
         return slice(i * span, min(len(self.sizes), (i + 1) * span))
 
 
-def _possible(every_a, low_a, high_a, either_a, every_b, low_b, high_b, either_b) -> np.ndarray:
+def _may_link(every_a, low_a, high_a, either_a, every_b, low_b, high_b, either_b) -> np.ndarray:
     """Whether sets below the one side may reach the threshold with sets below the other; broadcasts over both."""
     only_a = np.bitwise_count(every_a & ~either_b).sum(-1, dtype=np.int64)
     only_b = np.bitwise_count(every_b & ~either_a).sum(-1, dtype=np.int64)
@@ -129,7 +139,7 @@ def traverse(a: Tree, b: Tree, same: bool, skip, visit) -> None:
             continue
         if la == lb == 0:
             x, y = a.rows(0, i), b.rows(0, j)
-            ok = _possible(a.bits[x][:, None], a.sizes[x][:, None], a.sizes[x][:, None], a.bits[x][:, None],
+            ok = _may_link(a.bits[x][:, None], a.sizes[x][:, None], a.sizes[x][:, None], a.bits[x][:, None],
                            b.bits[y][None], b.sizes[y][None], b.sizes[y][None], b.bits[y][None])
             if same and i == j:
                 ok &= np.tri(*ok.shape, -1, dtype=bool).T
@@ -141,7 +151,7 @@ def traverse(a: Tree, b: Tree, same: bool, skip, visit) -> None:
         own_b = [(lb - 1, k) for k in b.below(lb, j)] if lb and lb >= la else [(lb, j)]
         ka, kb = np.array([k for _, k in own_a]), np.array([k for _, k in own_b])
         (ea, va, na, xa), (eb, vb, nb, xb) = a.levels[own_a[0][0]], b.levels[own_b[0][0]]
-        ok = _possible(va[ka][:, None], na[ka][:, None], xa[ka][:, None], ea[ka][:, None],
+        ok = _may_link(va[ka][:, None], na[ka][:, None], xa[ka][:, None], ea[ka][:, None],
                        vb[kb][None], nb[kb][None], xb[kb][None], eb[kb][None])
         for p, q in zip(*np.nonzero(ok)):
             if not same or (own_a[p][0], ka[p]) <= (own_b[q][0], kb[q]) or own_a[p][0] != own_b[q][0]:
@@ -173,26 +183,6 @@ def candidate_pairs(sizes: np.ndarray, maps: list[bytes], skip, visit) -> None:
             traverse(t, Tree(halved(wide), sizes[more]), False, lambda x, y: skip(rows[x], more[y]), lambda p, q: visit(rows[p], more[q]))
 
 
-def has_partner(sizes: np.ndarray, maps: list[bytes], label: np.ndarray | None = None) -> np.ndarray:
-    """Which rows of a group may link to another row; with labels, to a row of another label."""
-    found = np.zeros(len(sizes), bool)
-
-    def visit(p, q):
-        if label is not None:
-            other = label[p] != label[q]
-            p, q = p[other], q[other]
-        found[p] = True
-        found[q] = True
-
-    def skip(x, y):
-        if found[x].all() and found[y].all():
-            return True
-        return label is not None and bool((label[x] == label[x[0]]).all() and (label[y] == label[x[0]]).all())
-
-    candidate_pairs(sizes, maps, skip, visit)
-    return found
-
-
 class Forest:
     """Union-find over the rows of a group."""
 
@@ -210,15 +200,24 @@ class Forest:
         self.of[self.of == self.of[b]] = self.of[a]
 
 
-def links(sizes: np.ndarray, maps: list[bytes], sets: list[bytes], start: np.ndarray) -> list[tuple[int, int]]:
-    """Links between rows of a group that join its components (``start``) to those that all its links give."""
-    forest, out = Forest(start), []
-    held = [None] * len(sets)
+def possible_links(sizes: np.ndarray, maps: list[bytes]) -> list[tuple[int, int]]:
+    """Pairs of rows that may link by their bitmaps: as many as join all rows that chains of such pairs join."""
+    forest, out = Forest(np.arange(len(sizes))), []
 
-    def whole(i: int) -> np.ndarray:
-        if held[i] is None:
-            held[i] = np.frombuffer(sets[i], np.uint64)
-        return held[i]
+    def visit(p, q):
+        for i, j in zip(p, q):
+            if forest.of[i] != forest.of[j]:
+                forest.join(i, j)
+                out.append((int(i), int(j)))
+
+    candidate_pairs(sizes, maps, forest.one, visit)
+    return out
+
+
+def links(sizes: np.ndarray, maps: list[bytes], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links between rows of a group: as many as join all rows that its links join."""
+    forest, out = Forest(np.arange(len(sizes))), []
+    whole = sets.__getitem__
 
     def visit(p, q):
         for i, j in zip(p, q):
@@ -320,25 +319,23 @@ def _by_group(df: DataFrame, work, schema: str) -> DataFrame:
     return df.repartition(partitions(df), *by).sortWithinPartitions(*by).mapInPandas(run, schema)
 
 
-def _survivors(frame: pd.DataFrame, edge: np.ndarray) -> Iterator[pd.DataFrame]:
-    sizes, maps = frame["n"].to_numpy(np.int64), list(frame["bits"])
-    label = frame["label"].to_numpy() if "label" in frame else None
-    keep = np.zeros(len(frame), bool)
+def _possible(frame: pd.DataFrame, edge: np.ndarray) -> Iterator[pd.DataFrame]:
+    sizes, maps, node = frame["n"].to_numpy(np.int64), list(frame["bits"]), frame["node"].to_numpy()
+    out = []
     for a, b in zip(edge[:-1], edge[1:]):
         if b - a > 1:
-            keep[a:b] = has_partner(sizes[a:b], maps[a:b], None if label is None else label[a:b])
-    yield frame.loc[keep, ["g", "node"]]
+            out += [(node[a + i], node[a + j]) for i, j in possible_links(sizes[a:b], maps[a:b])]
+    yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
 def _links(frame: pd.DataFrame, edge: np.ndarray) -> Iterator[pd.DataFrame]:
-    sets = list(frame["members"])
-    sizes = np.array([len(m) // 8 for m in sets])
-    maps = [bitmap(np.frombuffer(m, np.uint64)).tobytes() for m in sets]
-    node, start = frame["node"].to_numpy(), frame["label"].to_numpy()
+    node, members = frame["node"].to_numpy(), list(frame["members"])
     out = []
     for a, b in zip(edge[:-1], edge[1:]):
         if b - a > 1:
-            out += [(node[a + i], node[a + j]) for i, j in links(sizes[a:b], maps[a:b], sets[a:b], start[a:b])]
+            sets = [unpacked(m) for m in members[a:b]]
+            maps = [bitmap(s).tobytes() for s in sets]
+            out += [(node[a + i], node[a + j]) for i, j in links(np.array([len(s) for s in sets]), maps, sets)]
     yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
@@ -347,42 +344,27 @@ def linked(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     made = stage(sketches(docs, key), "sketches")
     spark = docs.sparkSession
     signs = stage(made.where(F.col("bits").isNotNull()).select("node", "n", "bits").dropDuplicates(["node"]), "signatures")
-    near = _by_group(blocked(groups(made)).join(signs.hint("merge"), "node"), _survivors, "g long, node long")
-    near = stage(near.distinct(), "near")
+    may = stage(_by_group(blocked(groups(made)).join(signs.hint("merge"), "node"), _possible, "a long, b long"), "possible")
+    # chains of possible links form clusters; every link lies within one
+    clusters = stage(components(may), "clusters")
+    size = F.count(F.lit(1)).over(Window.partitionBy("label"))
+    rows = stage(blocked(clusters.select(F.col("label").alias("g"), "node", size.alias("size"))), "to-compare")
     # a row that has each node's set, found by key and told apart by digest
-    rep = made.join(keys_side(stage(near.select("node").distinct(), "wanted")), "node", "left_semi").groupBy("node").agg(F.min("key").alias("k"))
-    rep = stage(rep, "representatives")
-    texts = docs.select(F.col(key).alias("key"), "text")
+    rep = made.join(keys_side(stage(clusters.select("node"), "wanted")), "node", "left_semi").groupBy("node").agg(F.min("key").alias("k"))
+    rep = stage(rep.select("k").distinct(), "representatives")
 
     def fetch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for at in range(0, len(frame), 500):
                 few = frame.iloc[at:at + 500]
-                out = [(digest(s), s.tobytes()) for s in text_sets(list(few["text"])) if len(s)]
+                out = [(digest(s), packed(s)) for s in text_sets(list(few["text"])) if len(s)]
                 yield pd.DataFrame(out, columns=["node", "members"])
 
-    def find(rows: DataFrame) -> DataFrame:
-        """Links in groups of (g, node, size, label); whole sets are read from the texts and go straight to the groups."""
-        rows = stage(blocked(rows), "to-compare")
-        need = rep.join(keys_side(stage(rows.select("node").distinct(), "needed")), "node", "left_semi").select("k").distinct()
-        sets = texts.join(keys_side(stage(need, "keys")), F.col("key").eqNullSafe(F.col("k")), "left_semi")
-        sets = sets.mapInPandas(fetch, "node long, members binary")
-        return stage(_by_group(sets.join(keys_side(rows), "node"), _links, "a long, b long"), "links")
-
-    size = F.count(F.lit(1)).over(Window.partitionBy("g")).alias("size")
-    sized = stage(near.select("g", "node", size), "sized")
-    first = sized.groupBy("node").agg(F.max(F.struct("size", "g")).alias("m")).select("node", F.col("m.g").alias("g"))
-    first = first.select("g", "node", size, F.col("node").alias("label"))
-    found = find(first.where("size > 1"))
-    labels = stage(components(found), "labels")
-    rest = sized.join(labels, "node", "left").select("g", "node", "size", F.coalesce("label", "node").alias("label"))
-    mixed = rest.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("g")
-    rest = stage(rest.join(keys_side(stage(mixed, "mixed")), "g", "left_semi"), "rest")
-    # of those groups, what may link to another component by its bitmap
-    cross = _by_group(blocked(rest).join(signs.hint("merge"), "node"), _survivors, "g long, node long").distinct()
-    cross = rest.drop("size").join(keys_side(stage(cross, "crossing")), ["g", "node"])
-    more = find(cross.select("g", "node", size, "label").where("size > 1"))
-    final = stage(components(found.union(more)), "components")
+    # whole sets are read from the texts and go straight to their clusters
+    sets = docs.select(F.col(key).alias("key"), "text").join(keys_side(rep), F.col("key").eqNullSafe(F.col("k")), "left_semi")
+    sets = sets.mapInPandas(fetch, "node long, members binary")
+    found = stage(_by_group(sets.join(keys_side(rows), "node"), _links, "a long, b long"), "links")
+    final = stage(components(found), "components")
     ids = (made.where("n > 0").groupBy("node").agg(F.min("key").alias("key")).join(final, "node", "left")
            .select("node", "key", F.coalesce("label", "node").alias("label")))
     least = ids.groupBy("label").agg(F.min("key").alias("component_id"))
