@@ -182,8 +182,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
             import pyarrow as pa
 
             for batch in frames:
-                found = {f[0] for f in matches(batch.column("text").to_pylist(), shared.value, coverage)}
-                yield batch.filter(pa.array([i not in found for i in range(batch.num_rows)], pa.bool_()))
+                for at in range(0, batch.num_rows, 500):
+                    few = batch.slice(at, 500)
+                    found = {f[0] for f in matches(few.column("text").to_pylist(), shared.value, coverage)}
+                    yield few.filter(pa.array([i not in found for i in range(few.num_rows)], pa.bool_()))
 
         docs = docs.mapInArrow(keep, docs.schema)
     return docs

@@ -261,7 +261,7 @@ def sketches(docs: DataFrame, key: str) -> DataFrame:
     def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         often = shared.value
         known: set[int] = set()
-        for frame in frames:
+        for frame in (f.iloc[at:at + 1000] for f in frames for at in range(0, len(f), 1000)):
             node, size, bits, prefix = [], [], [], []
             for s in text_sets(list(frame["text"])):
                 d = digest(s)
@@ -278,7 +278,7 @@ def sketches(docs: DataFrame, key: str) -> DataFrame:
                     rare = often[np.minimum(np.searchsorted(often, s), len(often) - 1)] != s
                     s = np.concatenate((s[rare], s[~rare]))
                 prefix.append(s[:p].astype(np.int64))
-            yield pd.DataFrame({"key": frame["key"], "node": node, "n": size, "bits": bits, "prefix": prefix})
+            yield pd.DataFrame({"key": frame["key"].to_numpy(), "node": node, "n": size, "bits": bits, "prefix": prefix})
 
     return docs.select(F.col(key).alias("key"), "text").mapInPandas(
         make, f"key {kind}, node long, n long, bits binary, prefix array<long>")
