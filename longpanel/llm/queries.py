@@ -36,7 +36,38 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_read(spark, sf_dir, "pages"))
 
 
-@_add("op7_quality_rules")
+def _quality_sql() -> str:
+    """The counts by their definitions, the verdict from the same threshold table."""
+    from .quality import RULES, STOP_WORDS
+
+    rules = []
+    for r in RULES:
+        sides = [f"{r.numerator} >= {r.low} * {r.denominator}"] * (r.low is not None) + [
+            f"{r.numerator} <= {r.high} * {r.denominator}"] * (r.high is not None)
+        rules.append(f"(n_words < {r.least} OR ({' AND '.join(sides)}))")
+    stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+runs AS (SELECT doc_id, i, list_slice(w, i, i + 7) AS r FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM w)),
+again AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, r) AS n FROM runs) WHERE n > 1),
+covered AS (SELECT doc_id, sum(least(8, i - p)) AS n FROM (
+  SELECT doc_id, i, lag(i, 1, i - 8) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM again) GROUP BY doc_id),
+m AS (SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+  CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+  CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words,
+  CAST(len(l) AS BIGINT) AS n_lines, CAST(len(regexp_extract_all(t, '!')) AS BIGINT) AS n_exclaims,
+  CAST(length(regexp_replace(t, '[^\p{{L}}]+', '', 'g')) AS BIGINT) AS n_letters,
+  CAST(len(list_filter(w, lambda x: lower(x) IN ({stop}))) AS BIGINT) AS n_stop_words,
+  CAST(len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS BIGINT) AS n_stutters
+  FROM w LEFT JOIN covered c ON w.doc_id = c.doc_id),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND {' AND '.join(rules)} AS kept, n_lines, n_exclaims, n_letters, n_stop_words FROM b"""
+
+
+@_add("op7_quality_rules", _quality_sql())
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import judge
 
