@@ -1,6 +1,6 @@
 """A training corpus from ``documents`` in five stages, each a table that the next one reads.
 
-Rows of a stage are told apart by a number that Spark derives from the files it reads, as keys may be missing or repeat.
+Rows of a stage are told apart by their file and their place in it, as keys may be missing or repeat.
 Empty tables pass through every stage; NULL and empty texts leave at the first, which rejects what has no letter.
 """
 
@@ -11,15 +11,12 @@ from pyspark.sql import functions as F
 
 from longpanel.llm import decontaminate, language_id, mixing, signature_trees, token_files
 from longpanel.llm.joins import keys_side
+from longpanel.llm.rows import with_row
 from longpanel.llm.scratch import folder, stage
 
 END_ID = 2
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_row", F.monotonically_increasing_id())
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the models accept."""
     return language_id.accepted(docs, *language_id.fit(docs))
@@ -27,7 +24,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one of smallest ``doc_id``; documents without words stay."""
-    t = _numbered(docs)
+    t = with_row(docs, "_row")
     groups = stage(signature_trees.linked(t, key="_row").select("_row", "component_id"), "groups")
     many = groups.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component_id")
     several = stage(groups.join(keys_side(stage(many, "many")), "component_id"), "several")
@@ -45,7 +42,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes its words: the whole part of the ratio, one more by a hashed draw."""
-    t = _numbered(docs)
+    t = with_row(docs, "_row")
     taken = mixing.mix(t, row=F.col("_row")).where("taken > 0")
     draw = F.pmod(F.xxhash64("row", F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
     copies = taken.select(F.col("row").alias("_row"), F.floor(F.col("taken") / F.col("size") + draw).cast("int").alias("_n"))

@@ -13,7 +13,7 @@ are its stretch, and every window lies in exactly one stretch.
    dealt into blocks, and every pair of blocks is compared.
 4. What the kernel finds is joined to the places, and the spans of each document to its text.
 
-Rows are told apart by a number that Spark derives from the input's files; nothing depends on keys being unique.
+Rows are told apart by their file and their place in it (``rows.with_row``); nothing depends on keys being unique.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .joins import keys_side, whole_groups
+from .rows import with_row
 from .scratch import partitions, stage
 from .words import U, Hasher, _BYTES, batches, gram_hashes, word_hashes
 
@@ -267,9 +268,9 @@ def merged(pairs) -> list[tuple[int, int]]:
 
 
 def numbered(docs: DataFrame, key: str) -> DataFrame:
-    """``row``, ``key`` (NULL first), ``own`` (as it was), ``text``; the row number follows from the input's files, so every pass gives it alike."""
-    return docs.select(F.monotonically_increasing_id().alias("row"),
-                       F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("key"), F.col(key).alias("own"), "text")
+    """``row``, ``key`` (NULL first), ``own`` (as it was), ``text``; the row number does not depend on splits, so every pass gives it alike."""
+    t = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("key"), F.col(key).alias("own"), "text")
+    return with_row(t, "row").select("row", "key", "own", "text")
 
 
 def with_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
