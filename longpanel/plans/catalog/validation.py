@@ -74,14 +74,14 @@ def wf_linear(spark, d):
 @add("model_walk_forward_boosted")
 def wf_boosted(spark, d):
     s = study(spark, d)
-    p = ML.walk_forward(s, FEATS, "y1", V.PurgedWalkForward(250, 50, label_horizon=2), maxIter=5)
+    p = ML.walk_forward(s, FEATS, "y1", V.PurgedWalkForward(250, 50, label_horizon=2))
     return rounded(ML.fold_scores(p, "y1"), 6)
 
 
 @add("model_feature_importance")
 def importance(spark, d):
     s = study(spark, d)
-    return rounded(ML.importance(ML.fit(s, FEATS, "y1", maxIter=5), FEATS, spark), 6)
+    return rounded(ML.importance(ML.fit(s, FEATS, "y1"), FEATS, spark), 6)
 
 
 @add("model_training_summary", f"""WITH {panel_sql()}
@@ -101,4 +101,4 @@ def noise(spark, d):
         import numpy as np
         return float(np.mean(x[1:] * x[:-1]))
 
-    return rounded(ML.noise_benchmark(return_series(spark, d), lag_one, n_trials=40), 6)
+    return rounded(ML.noise_benchmark(return_series(spark, d), lag_one), 6)
