@@ -130,6 +130,34 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(_read(spark, sf_dir, "documents"))
 
 
+_CRC = """CAST(xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda v, i: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295) AS BIGINT)"""
+
+
+@_add("op11_conversation_trie", rf"""
+WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS k FROM conversations WHERE conv_id IS NOT NULL),
+cs AS (SELECT c, {_CRC.format('c')} % 4 AS h FROM (SELECT DISTINCT c FROM t)),
+r AS (SELECT cs.c, 0 AS own, k, role, text FROM cs JOIN t ON t.c = cs.c - cs.c % 20 AND k < h
+  UNION ALL SELECT cs.c, 1, k, role, text FROM cs JOIN t ON t.c = cs.c AND k >= h),
+l AS (SELECT cs.c, coalesce(v, []) AS v FROM cs LEFT JOIN (
+  SELECT c, list(struct_pack(role := role, text := text) ORDER BY own, k) AS v FROM r GROUP BY c) x ON x.c = cs.c),
+m AS (SELECT c, d, list_slice(v, 1, d) AS p, d = len(v) AS ends FROM (SELECT c, v, unnest(range(len(v) + 1)) AS d FROM l)),
+n AS (SELECT p, d, min(c) AS c, count(*) AS n, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE ends) AS e FROM m GROUP BY p, d),
+q AS (SELECT *, list_slice(p, 1, d - 1) AS up, CASE WHEN d = 0 THEN 0 ELSE (n - 1) * len(list_filter(
+  regexp_split_to_array(p[d].text, '[ 	-]+'), lambda x: x <> '')) END AS saved FROM n),
+f AS (SELECT q.*, coalesce(x.n, 0) AS kids FROM q LEFT JOIN (SELECT up, d, count(*) AS n FROM q WHERE d > 0 GROUP BY up, d) x ON x.up = q.p AND x.d = q.d + 1),
+s AS (SELECT a.p, a.d, sum(b.saved) AS saved, count(CASE WHEN b.kids = 0 THEN 1 END) AS leaves
+  FROM f a JOIN f b ON b.d >= a.d AND list_slice(b.p, 1, a.d) = a.p GROUP BY a.p, a.d)
+SELECT f.c AS conv_id, CAST(f.d AS BIGINT) AS depth, CASE WHEN f.d > 0 THEN g.c END AS parent_conv_id, f.n AS n_convs, f.kids AS n_children,
+  s.leaves AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(f.e, '')) AS ends_sha256
+FROM f JOIN s ON s.p = f.p AND s.d = f.d LEFT JOIN f g ON g.p = f.up AND g.d = f.d - 1""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversation_trie import rebuilt_trie
+
+    return rebuilt_trie(_read(spark, sf_dir, "conversations"))
+
+
 @_add("op12_periodic_runs")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .periodic_runs import digests
