@@ -1,4 +1,4 @@
-"""Point-in-time universes.  Interval rows join on ``symbol``; the dates are the residual."""
+"""Point-in-time universes: dates and panel rows held against spells by interval joins."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..errors import UniverseError
 from ..functions.columns import SYMBOL, TS, require_columns
+from .intervals import covered, holds, interval_join
 
 
 def _check_membership(m: DataFrame) -> DataFrame:
@@ -23,32 +24,41 @@ def _check_membership(m: DataFrame) -> DataFrame:
         F.col("end_date").cast("date").alias("end_date"))
 
 
-def _covers(day, start, end):
-    return (day >= start) & (end.isNull() | (day < end))
-
-
 def members_at(membership: DataFrame, day: str) -> DataFrame:
     """Membership rows in effect on one day: ``start <= day < end``."""
     m = _check_membership(membership)
-    return m.where(_covers(F.lit(day).cast("date"), F.col("start_date"), F.col("end_date")))
+    return m.where(holds(F.lit(day).cast("date"), F.col("start_date"), F.col("end_date")))
+
+
+def members_over(dates: DataFrame, membership: DataFrame, date: str = "date") -> DataFrame:
+    """``(date, index_code, symbol, start_date, end_date)``: the membership in effect on each of many dates.
+
+    There is no key to join on; the work follows the result, not dates times spells.
+    """
+    require_columns(dates, (date,), "dates")
+    days = dates.select(F.col(date).cast("date").alias(date))
+    return interval_join(days, _check_membership(membership), date, "start_date", "end_date")
 
 
 def membership_panel(df: DataFrame, membership: DataFrame) -> DataFrame:
     """``(ts, symbol, index_code)`` for every panel row and every index it belongs to at ``ts``."""
-    m = _check_membership(membership)
-    day = F.to_date(F.col(TS))
-    return df.select(TS, SYMBOL).join(m, SYMBOL).where(
-        _covers(day, F.col("start_date"), F.col("end_date"))).select(TS, SYMBOL, "index_code")
+    days = df.select(TS, SYMBOL, F.to_date(F.col(TS)).alias("_day"))
+    return interval_join(days, _check_membership(membership), "_day", "start_date", "end_date", [SYMBOL]).select(
+        TS, SYMBOL, "index_code")
+
+
+def _inside(df: DataFrame, spells: DataFrame, start: str, end: str) -> DataFrame:
+    """Panel rows whose day lies in a spell of their symbol, each once."""
+    days = df.withColumn("_day", F.to_date(F.col(TS)))
+    return covered(days, spells, "_day", start, end, [SYMBOL]).select(*df.columns)
 
 
 def listed(df: DataFrame, listings: DataFrame) -> DataFrame:
     """Panel rows of names listed and not yet delisted at ``ts``."""
     require_columns(listings, (SYMBOL, "list_date"), "listings")
-    end = (F.col("r.delist_date").cast("date") if "delist_date" in listings.columns
-           else F.lit(None).cast("date"))
-    cond = (F.col(f"l.{SYMBOL}") == F.col(f"r.{SYMBOL}")) & _covers(
-        F.to_date(F.col(f"l.{TS}")), F.col("r.list_date").cast("date"), end)
-    return df.alias("l").join(listings.alias("r"), cond, "left_semi")
+    end = F.col("delist_date") if "delist_date" in listings.columns else F.lit(None)
+    spells = listings.select(SYMBOL, F.col("list_date").cast("date").alias("_from"), end.cast("date").alias("_to"))
+    return _inside(df, spells, "_from", "_to")
 
 
 def universe(df: DataFrame, rule: str = "all", *, membership: DataFrame | None = None,
@@ -66,9 +76,7 @@ def universe(df: DataFrame, rule: str = "all", *, membership: DataFrame | None =
     if membership is None:
         raise UniverseError(f"rule {rule!r} needs a membership table with effective dates")
     m = _check_membership(membership).where(F.col("index_code") == rule)
-    cond = (F.col(f"l.{SYMBOL}") == F.col(f"r.{SYMBOL}")) & _covers(
-        F.to_date(F.col(f"l.{TS}")), F.col("r.start_date"), F.col("r.end_date"))
-    out = df.alias("l").join(m.alias("r"), cond, "left_semi")
+    out = _inside(df, m.select(SYMBOL, F.col("start_date").alias("_from"), F.col("end_date").alias("_to")), "_from", "_to")
     return out if listings is None else listed(out, listings)
 
 
@@ -80,7 +88,7 @@ def universe_at(day: str, rule: str = "all", *, membership: DataFrame | None = N
     if listings is not None:
         end = (F.col("delist_date").cast("date") if "delist_date" in listings.columns
                else F.lit(None).cast("date"))
-        names = listings.where(_covers(d, F.col("list_date").cast("date"), end)).select(
+        names = listings.where(holds(d, F.col("list_date").cast("date"), end)).select(
             SYMBOL).distinct()
     if rule == "all":
         if names is None:

@@ -9,6 +9,7 @@ from ...operators import features_daily as D
 from ...operators import masks as M
 from ...operators import prepare as PR
 from ...operators import universe as U
+from ...operators.intervals import interval_join
 from ...sources.panels import table, weekly_panel, weekly_panel_market
 from .base import MARKET, Catalog, panel_sql, r, rounded
 
@@ -135,6 +136,43 @@ def membership_panel(spark, d):
     return U.membership_panel(p, mem)
 
 
+@add("universe_members_all_dates", f"""WITH {panel_sql()} {_UNI}, dy AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem)
+SELECT date, index_code, symbol FROM dy JOIN mem ON date >= start_date AND (end_date IS NULL OR date < end_date)""")
+def members_all_dates(spark, d):
+    _, mem, _ = _uni(spark, d)
+    days = table(spark, d, "lineitem").select(F.to_date("l_shipdate").alias("date")).distinct()
+    return U.members_over(days, mem).select("date", "index_code", "symbol")
+
+
+# every line of an order is a spell of its supplier, from the order's date to the line's
+_SPELLS = """sp AS (SELECT lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS symbol, CAST(o_orderdate AS DATE) AS a, CAST(l_shipdate AS DATE) AS b
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey)"""
+
+
+def _spells(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.to_date("o_orderdate").alias("a"))
+    li = table(spark, d, "lineitem").select("l_orderkey", F.lpad(F.col("l_suppkey").cast("string"), 6, "0").alias("symbol"),
+                                            F.to_date("l_shipdate").alias("b"))
+    return li.join(o, "l_orderkey").select("symbol", "a", "b")
+
+
+@add("universe_open_spells", f"""WITH {panel_sql()}, {_SPELLS}
+SELECT p.ts, p.symbol, count(*) AS n_open, min(a) AS oldest FROM panel p JOIN sp s ON s.symbol = p.symbol
+  AND CAST(p.ts AS DATE) >= a AND CAST(p.ts AS DATE) < b GROUP BY p.ts, p.symbol""")
+def open_spells(spark, d):
+    p = weekly_panel(spark, d).select("ts", "symbol", F.to_date("ts").alias("day"))
+    return interval_join(p, _spells(spark, d), "day", "a", "b", ["symbol"]).groupBy("ts", "symbol").agg(
+        F.count(F.lit(1)).alias("n_open"), F.min("a").alias("oldest"))
+
+
+@add("universe_open_spells_by_day", f"""WITH dy AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem), {_SPELLS}
+SELECT date, count(*) AS n_open, count(DISTINCT symbol) AS n_symbols FROM dy JOIN sp ON date >= a AND date < b GROUP BY date""")
+def open_spells_by_day(spark, d):
+    days = table(spark, d, "lineitem").select(F.to_date("l_shipdate").alias("date")).distinct()
+    return interval_join(days, _spells(spark, d), "date", "a", "b").groupBy("date").agg(
+        F.count(F.lit(1)).alias("n_open"), F.countDistinct("symbol").alias("n_symbols"))
+
+
 @add("universe_all_listed", f"""WITH {panel_sql()} {_UNI}
 SELECT p.ts, p.symbol FROM panel p JOIN lst l ON l.symbol = p.symbol
   AND CAST(p.ts AS DATE) >= list_date AND (delist_date IS NULL OR CAST(p.ts AS DATE) < delist_date)""")
