@@ -20,6 +20,7 @@ Other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import uuid
@@ -34,37 +35,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import folder, partitions
+from .words import batches
 
 MAGIC = b"TOKENIX1"
 MANIFEST = "part int, file string, width int, n_docs long, n_tokens long"
 #: White space on both sides of a space: there a text cannot be cut at single spaces without changing its tokens.
-_RUN = re.compile(r"\s (?:\s|\Z)")
+_WHITE = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_RUN = rf"{_WHITE} (?:{_WHITE}|\z)"
 _SPACE = re.compile(r"\s")
 #: Letters or digits, then marks that never join them in a token.
+_MARKS = ".,;:!?|*$%&#)"
 _MARKED = re.compile(r"(\S*[^\W_])([.,;:!?|*$%&#)]+)\Z")
 #: A newline that is not alone between non-spaces.
 _EDGE = re.compile(r"\A\n|\n\Z|\s\n|\n\s")
-_KEEP, _LONGEST = 700_000, 48
+#: Bytes of remembered pieces and their ids (with about 200 for the objects of each), and code points of the longest.
+KEEP_BYTES, _LONGEST = 16 << 20, 48
+#: Bytes of text that are encoded together; a longer text stands alone.
+BATCH = 4 << 20
 
 
 class Pieces(dict):
-    """Ids of pieces: those remembered, and the rest of one call in ``spare``."""
+    """Ids of remembered pieces, up to a number of bytes; the rest of one call is in ``spare``."""
 
-    def __init__(self) -> None:
+    def __init__(self, room: int) -> None:
         super().__init__()
-        self.spare: dict[str, bytes] = {}
+        self.room, self.spare = room, {}
 
     def __missing__(self, piece: str) -> bytes:
         return self.spare[piece]
 
+    def learn(self, pieces: list[str], ids: list[bytes]) -> None:
+        if self.room > 0:
+            few = [(p, b) for p, b in zip(pieces, ids) if len(p) <= _LONGEST]
+            self.update(few)
+            self.room -= sum(200 + len(p) + len(b) for p, b in few)
+            if len(few) == len(pieces):
+                return
+        self.spare.update(zip(pieces, ids))
+
 
 class Encoder:
     """Ids of whole texts by a ``tokenizers`` file with a byte-level pre-tokenizer.
 
     That pre-tokenizer starts a new token at every space that a non-space follows, and at both sides of a single
-    newline between non-spaces. So what stands between is encoded alone, many pieces in one string of lines, and
-    remembered: the first ``_KEEP`` pieces, which are mostly the frequent ones. Texts with runs of white space are
-    encoded whole, as are pieces that do not fit these rules.
+    newline between non-spaces. So what stands between is encoded alone, many pieces in one string of lines, each
+    different piece of a batch once, and remembered: the first that fit, which are mostly the frequent ones. Texts with
+    runs of white space are encoded whole, as are pieces that do not fit these rules.
     """
 
     def __init__(self, path: str) -> None:
@@ -75,82 +91,110 @@ class Encoder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
         self.newline = self.whole("\n")
-        self.first, self.later = Pieces(), Pieces()
+        self.first, self.later = Pieces(KEEP_BYTES // 8), Pieces(KEEP_BYTES - KEEP_BYTES // 8)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes() if text else b""
 
-    def _encode_pieces(self, pieces: list[str], lead: str) -> dict[str, bytes]:
-        """Ids of pieces, each after ``lead``: those without white space as the lines of a few long strings."""
-        out: dict[str, bytes] = {}
-        plain = []
-        for p in pieces:
-            if p and not _SPACE.search(p):
-                plain.append(p)
-            else:
-                out[p] = self.whole(lead + p)
-        for at in range(0, len(plain), 2000):
-            few = plain[at:at + 2000]
-            lines = "\n".join([lead + p for p in few])
-            ids = np.array(self.tokenizer.encode_batch_fast([lines], add_special_tokens=False)[0].ids, self.kind)
-            cut = np.flatnonzero(ids == np.frombuffer(self.newline, self.kind)[0]) if len(self.newline) == self.width else []
+    def _lines(self, pieces: list[str], lead: str) -> list[bytes]:
+        """Ids of pieces without white space, each after ``lead``: the lines of a few long strings."""
+        out: list[bytes] = []
+        w = self.width
+        for at in range(0, len(pieces), 2000):
+            few = pieces[at:at + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([lead + f"\n{lead}".join(few)], add_special_tokens=False)[0].ids, self.kind)
+            cut = np.flatnonzero(ids == np.frombuffer(self.newline, self.kind)[0]) * w if len(self.newline) == w else []
             if len(cut) == len(few) - 1:
-                raw, w = ids.tobytes(), self.width
-                for p, x, y in zip(few, [0, *(w * (cut + 1)).tolist()], [*(w * cut).tolist(), len(raw)]):
-                    out[p] = raw[x:y]
+                raw, cut = ids.tobytes(), cut.tolist()
+                out += [raw[x:y] for x, y in zip([0, *(c + w for c in cut)], [*cut, len(raw)])]
             else:
-                for p in few:
-                    out[p] = self.whole(lead + p)
+                out += [self.whole(lead + p) for p in few]
         return out
 
-    def _learn(self, heads: set[str], tails: set[str]) -> None:
+    def _learn(self, heads: list[str], tails: list[str]) -> None:
         """Make ids known of pieces that begin a text (``heads``) or follow a space (``tails``)."""
         self.first.spare, self.later.spare = {}, {}
-        made: list[tuple[Pieces, str, str, list[str], str]] = []  # (where, piece, its first part, lines after it, marks at its end)
-        alone: dict[int, set[str]] = {0: set(), 1: set()}
-        for k, side in enumerate((heads, tails)):
-            for p in side:
+        lined: list[tuple[Pieces, str, str, list[str], str]] = []  # (where, piece, its first part, lines after it, marks at its end)
+        sides = []
+        for known, lead, side in ((self.first, "", heads), (self.later, " ", tails)):
+            plain, other = [p for p in side if p.isalnum()], [p for p in side if not p.isalnum()]
+            cores = [p.rstrip(_MARKS) for p in other]
+            marked = [(p, c, p[len(c):]) for p, c in zip(other, cores) if c.isalnum()]
+            parts = {c for _, c, _ in marked}
+            for p, c in zip(other, cores):
+                if c.isalnum():
+                    continue
                 core, rest, mark = p, [], ""
                 if "\n" in p and not _EDGE.search(p):
                     core, *rest = p.split("\n")
                 if m := _MARKED.match(core):
                     core, mark = m[1], m[2]
-                alone[k].add(core)
+                parts.add(core)
                 if rest or mark:
-                    made.append(((self.first, self.later)[k], p, core, rest, mark))
-                    alone[0].update(rest)
-                    alone[0].add(mark)
-        for k, known in enumerate((self.first, self.later)):
-            found = self._encode_pieces(list(alone[k].difference(known)), "" if k == 0 else " ")
-            room = len(known) < _KEEP
-            known.spare = {p: b for p, b in found.items() if not room or len(p) > _LONGEST}
-            if room:
-                known.update((p, b) for p, b in found.items() if len(p) <= _LONGEST)
-        for known, p, core, rest, mark in made:
-            b = known[core] + (self.first[mark] if mark else b"")
-            if rest:
-                b += self.newline + self.newline.join([self.first[x] for x in rest])
-            if len(known) < _KEEP and len(p) <= _LONGEST and not rest:
-                known[p] = b
-            else:
-                known.spare[p] = b
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [t.split(" ") if t and not _RUN.search(t) else None for t in texts]
-        # one look at every piece: what is not known is learned and put in its place
-        known = [list(map(self.later.get, p)) if p else None for p in parts]
-        tails = {x for p, got in zip(parts, known) if p for x, b in zip(p, got) if b is None}
-        self._learn({p[0] for p in parts if p and p[0] not in self.first}, tails)
-        later, out = self.later, []
-        for t, p, got in zip(texts, parts, known):
-            if p is None:
-                out.append(self.whole(t))
-                continue
-            if None in got:
-                got = [later[x] if b is None else b for x, b in zip(p, got)]
-            got[0] = self.first[p[0]]
-            out.append(b"".join(got))
-        return out
+                    lined.append((known, p, core, rest, mark))
+            sides.append((known, lead, plain, marked, parts))
+        first = sides[0][4]
+        for _, _, _, rest, mark in lined:
+            first.update(rest)
+            first.add(mark)
+        for _, _, _, marked, _ in sides:
+            first.update({m for _, _, m in marked})
+        for known, lead, plain, _, parts in sides:
+            for p in parts.difference(known, plain):
+                if p and not _SPACE.search(p):
+                    plain.append(p)
+                else:
+                    known.spare[p] = self.whole(lead + p)
+            known.learn(plain, self._lines(plain, lead))
+        marks = self.first
+        for known, _, _, marked, _ in sides:
+            known.learn([p for p, _, _ in marked], [known[c] + marks[m] for _, c, m in marked])
+        for known, p, core, rest, mark in lined:
+            b = known[core] + (marks[mark] if mark else b"")
+            known.spare[p] = b + self.newline + self.newline.join([marks[x] for x in rest]) if rest else b
+
+    def encode(self, texts, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """Ids of an Arrow array of texts one after another, each closed by ``end``, and how many each text has."""
+        import pyarrow.compute as pc
+
+        odd = pc.match_substring_regex(texts, _RUN)
+        whole = np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()
+        lists = pc.split_pattern(pc.if_else(odd, "", texts) if whole else texts, " ")
+        cut = lists.offsets.to_numpy()
+        cut = cut - cut[0]
+        coded = lists.flatten().dictionary_encode()
+        code = coded.indices.to_numpy()
+        names = coded.dictionary.to_pylist()
+        del lists, coded
+        n = len(names)
+        inner = np.ones(len(code), bool)
+        inner[cut[:-1]] = False
+        used = np.zeros(n, bool)
+        used[code[inner]] = True
+        heads = [names[k] for k in code[cut[:-1]].tolist()]
+        got = [self.later.get(p) if u else b"" for p, u in zip(names, used.tolist())]
+        unknown = [p for p, b in zip(names, got) if b is None]
+        self._learn(list({p for p in heads if p not in self.first}), unknown)
+        if unknown:
+            later = self.later
+            got = [later[p] if b is None else b for p, b in zip(names, got)]
+        # units: the different later pieces, then the heads, then what closes a text
+        first = [self.first[p] for p in heads]
+        for i in whole:
+            first[i] = self.whole(texts[i].as_py())
+        units = [*got, *first, end]
+        # places in a batch fit 32 bits
+        size = np.fromiter(map(len, units), np.int32, len(units)) // np.int32(self.width)
+        start = np.cumsum(size, dtype=np.int32) - size
+        code = code.copy()
+        code[cut[:-1]] = n + np.arange(len(texts))
+        code = np.insert(code, cut[1:], len(units) - 1)
+        sizes = size[code]
+        ends = np.cumsum(sizes, dtype=np.int32)
+        at = np.repeat(start[code] - (ends - sizes), sizes)
+        at += np.arange(len(at), dtype=np.int32)
+        last = ends[cut[1:] + np.arange(len(texts))].astype(np.int64)
+        return np.frombuffer(b"".join(units), self.kind)[at], np.diff(last, prepend=0)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -158,6 +202,7 @@ _ENCODERS: dict[str, Encoder] = {}
 
 def encoder(path: str) -> Encoder:
     if path not in _ENCODERS:
+        _ENCODERS.clear()  # one in a worker
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
 
@@ -174,6 +219,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, parts: int |
     def save(frames: Iterator) -> Iterator:
         import pyarrow as pa
 
+        gc.disable()  # what is remembered is much to look through, and nothing here makes cycles
         enc = encoder(tokenizer)
         end = np.array([end_id], enc.kind).tobytes()
         store, root = _store(path)
@@ -181,16 +227,16 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, parts: int |
         name = f"part-{part:06d}-{uuid.uuid4().hex}"
         out, keys, gone, sizes = None, [], [], []
         for frame in frames:
-            for at in range(0, frame.num_rows, 800):
-                few = frame.slice(at, 800)
+            for a, b in batches(frame.column("size").to_pylist(), BATCH):
+                few = frame.slice(a, b - a)
                 if out is None:
                     store.create_dir(root, recursive=True)
                     out = store.open_output_stream(f"{root}/{name}.bin")
-                ids = enc.encode([t or "" for t in few.column("text").to_pylist()])
-                sizes.append(np.array([len(b) // enc.width + 1 for b in ids], np.uint64))
+                ids, size = enc.encode(few.column("text"), end)
+                sizes.append(size.astype(np.uint64))
                 gone.append(few.column("gone").to_numpy().astype(np.uint8))
                 keys.append(few.column("doc_id").to_numpy().astype(np.int64))
-                out.write(end.join(ids) + end)
+                out.write(ids.tobytes())
         if out is None:
             return
         out.close()
@@ -204,7 +250,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, parts: int |
              pa.array([int(offsets[-1])], pa.int64())], ["part", "file", "width", "n_docs", "n_tokens"])
 
     tie = F.xxhash64("text")
-    t = docs.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), F.col("doc_id").isNull().cast("int").alias("gone"), "text")
+    t = docs.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), F.col("doc_id").isNull().cast("int").alias("gone"),
+                    F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
     t = t.repartitionByRange(parts or partitions(docs), F.col("gone").desc(), "doc_id", tie)
     t = t.sortWithinPartitions(F.col("gone").desc(), "doc_id", tie)
     spark = docs.sparkSession

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -284,7 +285,9 @@ def test_encoder_on_random_strings():
     r = random.Random(4)
     signs = [*"ab \u00e9\n\t ,.'s1 <|>", " ", " ", "\n", "\u4f60", "\u00a0", "<|endoftext|>"]
     texts = ["".join(r.choice(signs) for _ in range(r.randint(1, 40))) for _ in range(3000)]
-    assert e.encode(texts) == [e.whole(t) for t in texts]
+    for _ in range(2):
+        ids, sizes = e.encode(pa.array(texts), b"\x02\x00")
+        assert [x.tobytes() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [e.whole(t) + b"\x02\x00" for t in texts]
 
 
 def test_tokens_repeated_and_missing_keys(spark):
