@@ -6,7 +6,7 @@ from ...functions import normal
 from ...functions.columns import clean_non_finite, ratio
 from ...operators import transforms as T
 from ...operators.portfolio import combine_scores, equal_weight_composite
-from ...sources.panels import weekly_panel
+from ...sources.panels import panel, weekly_panel
 from .base import Catalog, avg_rank, panel_sql, r, rounded
 
 CATALOG = Catalog()
@@ -134,6 +134,28 @@ def rolling_quantile(spark, d):
     return rounded(p.select("ts", "symbol", "q_linear", "q_nearest"))
 
 
+_LONG = """ROWS BETWEEN 1999 PRECEDING AND CURRENT ROW"""
+
+
+@add("transform_rolling_quantile_long", f"""WITH {panel_sql('day')},
+a AS (SELECT ts, symbol, count(vwap) OVER w AS n, quantile_cont(vwap, 0.9) OVER w AS q, list_sort(list(vwap) OVER w) AS v
+  FROM panel WINDOW w AS (PARTITION BY symbol ORDER BY ts {_LONG}))
+SELECT ts, symbol, {r('CASE WHEN n >= 60 THEN q END', 'q_linear')}, {r('CASE WHEN n >= 60 THEN v[CAST(floor(0.9 * (n - 1)) AS BIGINT) + 1] END', 'q_lower')} FROM a""")
+def rolling_quantile_long(spark, d):
+    p = panel(spark, d, "day").select("ts", "symbol", "vwap")
+    p = T.rolling_quantile(p, "vwap", window=2000, min_periods=60, quantile=0.9, interpolation="linear", out="q_linear")
+    p = T.rolling_quantile(p, "vwap", window=2000, min_periods=60, quantile=0.9, interpolation="lower", out="q_lower")
+    return rounded(p.select("ts", "symbol", "q_linear", "q_lower"))
+
+
+@add("transform_rolling_rank_long", f"""WITH {panel_sql('day')},
+a AS (SELECT ts, symbol, vwap, list(vwap) OVER (PARTITION BY symbol ORDER BY ts {_LONG}) AS v FROM panel)
+SELECT ts, symbol, {r('CASE WHEN len(v) >= 60 THEN len(list_filter(v, lambda x: x < vwap)) / len(v) END', 'x')} FROM a""")
+def rolling_rank_long(spark, d):
+    p = panel(spark, d, "day").select("ts", "symbol", F.col("vwap").alias("x"))
+    return rounded(T.rolling_rank(p, "x", window=2000, min_periods=60))
+
+
 def _ewm(span):
     q = 1 - 2 / (span + 1)
     return (f"sum(b.vwap * pow({q!r}, a.rn - b.rn)) / sum(pow({q!r}, a.rn - b.rn))")
