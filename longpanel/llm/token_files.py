@@ -21,6 +21,7 @@ Other columns are ignored.
 from __future__ import annotations
 
 import gc
+import json
 import os
 import re
 import uuid
@@ -46,32 +47,47 @@ _SPACE = re.compile(r"\s")
 #: Letters or digits, then marks that never join them in a token.
 _MARKS = ".,;:!?|*$%&#)"
 _MARKED = re.compile(r"(\S*[^\W_])([.,;:!?|*$%&#)]+)\Z")
+#: Letters of which every pre-tokenizer says so.
+_LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+#: The characters that stand for bytes in a byte-level vocabulary: printable ones for themselves, the others from 256 on.
+_SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 #: A newline that is not alone between non-spaces.
 _EDGE = re.compile(r"\A\n|\n\Z|\s\n|\n\s")
-#: Bytes of remembered pieces and their ids (with about 200 for the objects of each), and code points of the longest.
-KEEP_BYTES, _LONGEST = 16 << 20, 48
+#: Most pieces remembered that follow a space, that begin a text or line, and code points of the longest.
+KEEP, KEEP_FIRST, _LONGEST = 300_000, 20_000, 48
 #: Bytes of text that are encoded together; a longer text stands alone.
 BATCH = 4 << 20
 
 
-class Pieces(dict):
-    """Ids of remembered pieces, up to a number of bytes; the rest of one call is in ``spare``."""
+class Known:
+    """Pieces and their ids in flat arrays, looked up by a column at a time; the first ``room`` pieces are kept."""
 
-    def __init__(self, room: int) -> None:
-        super().__init__()
-        self.room, self.spare = room, {}
+    def __init__(self, room: int, kind: np.dtype) -> None:
+        import pyarrow as pa
+
+        self.room, self.kind = room, kind
+        self.pieces, self.ids, self.size = pa.array([], pa.string()), np.empty(0, kind), np.empty(0, np.int32)
+
+    def find(self, pieces) -> np.ndarray:
+        """Place of each piece of an Arrow column, -1 for those that are not kept."""
+        import pyarrow.compute as pc
 
-    def __missing__(self, piece: str) -> bytes:
-        return self.spare[piece]
+        return pc.fill_null(pc.index_in(pieces, value_set=self.pieces), -1).to_numpy(zero_copy_only=False)
+
+    def at(self, places: np.ndarray) -> list[bytes]:
+        end = np.cumsum(self.size, dtype=np.int64) * self.kind.itemsize
+        raw, n = memoryview(self.ids.tobytes()), self.size.astype(np.int64) * self.kind.itemsize
+        return [bytes(raw[x:y]) for x, y in zip((end - n)[places].tolist(), end[places].tolist())]
 
     def learn(self, pieces: list[str], ids: list[bytes]) -> None:
-        if self.room > 0:
-            few = [(p, b) for p, b in zip(pieces, ids) if len(p) <= _LONGEST]
-            self.update(few)
-            self.room -= sum(200 + len(p) + len(b) for p, b in few)
-            if len(few) == len(pieces):
-                return
-        self.spare.update(zip(pieces, ids))
+        import pyarrow as pa
+
+        few = [(p, b) for p, b in zip(pieces, ids) if len(p) <= _LONGEST][:max(0, self.room - len(self.pieces))]
+        if few:
+            self.pieces = pa.concat_arrays([self.pieces, pa.array([p for p, _ in few])])
+            self.ids = np.concatenate((self.ids, np.frombuffer(b"".join([b for _, b in few]), self.kind)))
+            self.size = np.concatenate((self.size, np.fromiter((len(b) for _, b in few), np.int32, len(few)) // np.int32(self.kind.itemsize)))
 
 
 class Encoder:
@@ -91,7 +107,11 @@ class Encoder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
         self.newline = self.whole("\n")
-        self.first, self.later = Pieces(KEEP_BYTES // 8), Pieces(KEEP_BYTES - KEEP_BYTES // 8)
+        # a word of letters is one pre-token: the model can have it as it is, if nothing comes before the model
+        pre = json.loads(self.tokenizer.to_str())["pre_tokenizer"] or {}
+        self.direct = self.tokenizer.normalizer is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
+        self.model = self.tokenizer.model
+        self.first, self.later = Known(KEEP_FIRST, self.kind), Known(KEEP, self.kind)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes() if text else b""
@@ -111,18 +131,50 @@ class Encoder:
                 out += [self.whole(lead + p) for p in few]
         return out
 
-    def _learn(self, heads: list[str], tails: list[str]) -> None:
-        """Make ids known of pieces that begin a text (``heads``) or follow a space (``tails``)."""
-        self.first.spare, self.later.spare = {}, {}
-        lined: list[tuple[Pieces, str, str, list[str], str]] = []  # (where, piece, its first part, lines after it, marks at its end)
+    def _words(self, words: list[str], lead: str) -> list[bytes]:
+        """Ids of words of letters, each after ``lead``."""
+        lead = lead.translate(_BYTES)
+        ids, size, tokenize = [], [], self.model.tokenize
+        for p in words:
+            got = tokenize(lead + (p if p.isascii() else p.encode().decode("latin-1").translate(_BYTES)))
+            ids += [t.id for t in got]
+            size.append(len(got))
+        raw, end = np.array(ids, self.kind).tobytes(), np.cumsum(size, dtype=np.int64) * self.width
+        return [raw[x:y] for x, y in zip([0, *end[:-1].tolist()], end.tolist())]
+
+    def _plain(self, known: Known, pieces: list[str], lead: str) -> dict[str, bytes]:
+        """Ids of different pieces that need no taking apart, known or not; what is new is remembered."""
+        import pyarrow as pa
+
+        place = known.find(pa.array(pieces, pa.string()))
+        had = np.flatnonzero(place >= 0)
+        out = dict(zip([pieces[i] for i in had.tolist()], known.at(place[had])))
+        new = [pieces[i] for i in np.flatnonzero(place < 0).tolist()]
+        match = _LETTERS.fullmatch
+        words = [p for p in new if match(p)] if self.direct else []
+        lines = [p for p in new if not match(p) and p and not _SPACE.search(p)] if self.direct else [p for p in new if p and not _SPACE.search(p)]
+        ids = self._words(words, lead) + self._lines(lines, lead)
+        lines = words + lines
+        known.learn(lines, ids)
+        out.update(zip(lines, ids))
+        if len(lines) < len(new):
+            out.update((p, self.whole(lead + p)) for p in new if p not in out)
+        return out
+
+    def _pieces(self, heads: list[str], tails: list[str]) -> tuple[list[bytes], list[bytes]]:
+        """Ids of different pieces that begin a text (``heads``) or follow a space (``tails``)."""
         sides = []
-        for known, lead, side in ((self.first, "", heads), (self.later, " ", tails)):
-            plain, other = [p for p in side if p.isalnum()], [p for p in side if not p.isalnum()]
-            cores = [p.rstrip(_MARKS) for p in other]
-            marked = [(p, c, p[len(c):]) for p, c in zip(other, cores) if c.isalnum()]
-            parts = {c for _, c, _ in marked}
-            for p, c in zip(other, cores):
-                if c.isalnum():
+        for side in (heads, tails):
+            parts = {p for p in side if p.isalpha()}
+            made = []  # (piece, its first part, marks at its end, lines after it)
+            for p in side:
+                if p.isalpha():
+                    continue
+                core = p.rstrip(_MARKS)
+                if core.isalnum():
+                    parts.add(core)
+                    if len(core) < len(p):
+                        made.append((p, core, p[len(core):], ()))
                     continue
                 core, rest, mark = p, [], ""
                 if "\n" in p and not _EDGE.search(p):
@@ -131,30 +183,32 @@ class Encoder:
                     core, mark = m[1], m[2]
                 parts.add(core)
                 if rest or mark:
-                    lined.append((known, p, core, rest, mark))
-            sides.append((known, lead, plain, marked, parts))
-        first = sides[0][4]
-        for _, _, _, rest, mark in lined:
-            first.update(rest)
-            first.add(mark)
-        for _, _, _, marked, _ in sides:
-            first.update({m for _, _, m in marked})
-        for known, lead, plain, _, parts in sides:
-            for p in parts.difference(known, plain):
-                if p and not _SPACE.search(p):
-                    plain.append(p)
+                    made.append((p, core, mark, rest))
+            sides.append((side, parts, made))
+        begin = sides[0][1]
+        for _, _, made in sides:
+            for _, _, mark, rest in made:
+                begin.add(mark)
+                begin.update(rest)
+        found = [self._plain(k, list(parts), lead) for k, (_, parts, _), lead in zip((self.first, self.later), sides, ("", " "))]
+        start, out = found[0], []
+        for known, ids, (side, _, made) in zip((self.first, self.later), found, sides):
+            whole, joined = dict(ids), []
+            for p, core, mark, rest in made:
+                b = ids[core] + start[mark] if mark else ids[core]
+                if rest:
+                    b += self.newline + self.newline.join([start[x] for x in rest])
                 else:
-                    known.spare[p] = self.whole(lead + p)
-            known.learn(plain, self._lines(plain, lead))
-        marks = self.first
-        for known, _, _, marked, _ in sides:
-            known.learn([p for p, _, _ in marked], [known[c] + marks[m] for _, c, m in marked])
-        for known, p, core, rest, mark in lined:
-            b = known[core] + (marks[mark] if mark else b"")
-            known.spare[p] = b + self.newline + self.newline.join([marks[x] for x in rest]) if rest else b
+                    joined.append((p, b))
+                whole[p] = b
+            new = [x for x in joined if x[0] not in ids]
+            known.learn(*([list(x) for x in zip(*new)] if new else ([], [])))
+            out.append([whole[p] for p in side])
+        return out[0], out[1]
 
     def encode(self, texts, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
         """Ids of an Arrow array of texts one after another, each closed by ``end``, and how many each text has."""
+        import pyarrow as pa
         import pyarrow.compute as pc
 
         odd = pc.match_substring_regex(texts, _RUN)
@@ -162,39 +216,34 @@ class Encoder:
         lists = pc.split_pattern(pc.if_else(odd, "", texts) if whole else texts, " ")
         cut = lists.offsets.to_numpy()
         cut = cut - cut[0]
-        coded = lists.flatten().dictionary_encode()
-        code = coded.indices.to_numpy()
-        names = coded.dictionary.to_pylist()
-        del lists, coded
-        n = len(names)
-        inner = np.ones(len(code), bool)
-        inner[cut[:-1]] = False
-        used = np.zeros(n, bool)
-        used[code[inner]] = True
-        heads = [names[k] for k in code[cut[:-1]].tolist()]
-        got = [self.later.get(p) if u else b"" for p, u in zip(names, used.tolist())]
-        unknown = [p for p, b in zip(names, got) if b is None]
-        self._learn(list({p for p in heads if p not in self.first}), unknown)
-        if unknown:
-            later = self.later
-            got = [later[p] if b is None else b for p, b in zip(names, got)]
-        # units: the different later pieces, then the heads, then what closes a text
-        first = [self.first[p] for p in heads]
+        flat = lists.flatten()
+        code = self.later.find(flat).copy()
+        code[cut[:-1]] = 0  # the pieces that begin a text are looked at apart
+        n, units, sizes = len(self.later.size), self.later.ids, self.later.size
+        missing = np.flatnonzero(code < 0)
+        coded = flat.take(pa.array(missing)).dictionary_encode()
+        heads = flat.take(pa.array(cut[:-1])).to_pylist()
+        different = list(dict.fromkeys(heads))
+        first, later = self._pieces(different, coded.dictionary.to_pylist())
+        first = dict(zip(different, first))
+        begins = [first[p] for p in heads]
         for i in whole:
-            first[i] = self.whole(texts[i].as_py())
-        units = [*got, *first, end]
+            begins[i] = self.whole(texts[i].as_py())
+        # units: what was known, the new later pieces, then the heads, then what closes a text
+        more = [*later, *begins, end]
+        units = np.concatenate((units, np.frombuffer(b"".join(more), self.kind)))
+        size = np.concatenate((sizes, np.fromiter(map(len, more), np.int32, len(more)) // np.int32(self.width)))
+        code[missing] = n + coded.indices.to_numpy()
+        code[cut[:-1]] = n + len(later) + np.arange(len(texts))
+        code = np.insert(code, cut[1:], len(size) - 1)
         # places in a batch fit 32 bits
-        size = np.fromiter(map(len, units), np.int32, len(units)) // np.int32(self.width)
         start = np.cumsum(size, dtype=np.int32) - size
-        code = code.copy()
-        code[cut[:-1]] = n + np.arange(len(texts))
-        code = np.insert(code, cut[1:], len(units) - 1)
-        sizes = size[code]
-        ends = np.cumsum(sizes, dtype=np.int32)
-        at = np.repeat(start[code] - (ends - sizes), sizes)
+        each = size[code]
+        ends = np.cumsum(each, dtype=np.int32)
+        at = np.repeat(start[code] - (ends - each), each)
         at += np.arange(len(at), dtype=np.int32)
         last = ends[cut[1:] + np.arange(len(texts))].astype(np.int64)
-        return np.frombuffer(b"".join(units), self.kind)[at], np.diff(last, prepend=0)
+        return units[at], np.diff(last, prepend=0)
 
 
 _ENCODERS: dict[str, Encoder] = {}
