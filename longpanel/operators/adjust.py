@@ -53,6 +53,18 @@ def cumulative_factors(events: DataFrame, grid: DataFrame, *, mode: str = "backw
     return out.where(F.col("_bar")).select(TS, SYMBOL, "adj_factor")
 
 
+def factors_as_of(events: DataFrame, grid: DataFrame, *, known: str = "known_at") -> DataFrame:
+    """``(ts, symbol, adj_factor)``: backward factors of the events that were both effective and known at ``t``.
+
+    Two times stand behind each event: ``ts``, from which it counts, and ``known``, from which anybody could tell. It
+    enters the factor at the later of both, so a factor read at ``t`` does not change when an event is reported late. NULL
+    in ``known`` is never known.
+    """
+    require_columns(events, (TS, SYMBOL, "factor", known), "factors_as_of")
+    seen = events.where(F.col(known).isNotNull()).select(F.greatest(F.col(TS), F.col(known)).alias(TS), SYMBOL, "factor")
+    return cumulative_factors(seen, grid, carry_missed=True)
+
+
 def adjust(bars: DataFrame, factors: DataFrame, *, mode: str = "backward",
            price_cols: Sequence[str] = PRICE_COLS, volume_col: str | None = "volume",
            keep_raw: bool = True, raw_suffix: str = "_raw") -> DataFrame:

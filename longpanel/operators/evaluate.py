@@ -339,7 +339,7 @@ def rolling_corr(df: DataFrame, a: str, b: str, window: int, *, series: str = "s
                  min_periods: int | None = None) -> DataFrame:
     """Trailing correlation of two columns of each series."""
     if window < 2:
-        raise ValueError(f"window must be >= 2, got {window}")
+        raise ValueError(f"a correlation over {window} rows is undefined")
     require_columns(df, (series, TS, a, b), "rolling_corr")
     return with_trailing(df, [series], [TS], window, lambda d, t: d.withColumn(
         "corr", t.corr(F.col(a), F.col(b), window, min_periods))).select(series, TS, "corr")

@@ -110,7 +110,8 @@ def build_book_features(panel: DataFrame, *, window: int = 20) -> DataFrame:
             "consumption": _per(c("slot_qty"), depth),
             "micro_mom_10": ratio(c("_micro"), t.lag(c("_micro"), 10)) - 1,
             "micro_rev_3": -(ratio(c("_micro"), t.lag(c("_micro"), 3)) - 1),
-            "spread_z": _per(sp - c("_sp_m"), c("_sp_s")),
+            # a spread that has not moved in the window is at its mean; rounding dust is no deviation
+            "spread_z": F.when(c("_sp_s") > 1e-9, _per(sp - c("_sp_m"), c("_sp_s"))).when(c("_sp_s").isNotNull() & sp.isNotNull(), 0.0),
             "imb_persist": t.mean(c("imbalance_l1"), window, half),
         })
 

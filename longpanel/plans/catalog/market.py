@@ -18,18 +18,16 @@ add = CATALOG.add
 
 # ------------------------------------------------------------------ calendar
 
-_SES = """ses AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders WHERE o_orderkey % 3 = 0)"""
+_SES = """ses AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders)"""
 
 
 def _sessions(spark, d):
-    o = table(spark, d, "orders")
-    return o.where(F.col("o_orderkey") % 3 == 0).select(
-        F.to_date("o_orderdate").alias("date")).distinct()
+    return table(spark, d, "orders").select(F.to_date("o_orderdate").alias("date")).distinct()
 
 
-@add("calendar_sessions_between", f"WITH {_SES} SELECT date FROM ses WHERE date BETWEEN DATE '1996-01-01' AND DATE '1996-12-31'")
+@add("calendar_sessions_between", f"WITH {_SES} SELECT date FROM ses WHERE date BETWEEN DATE '1992-01-15' AND DATE '1998-07-15'")
 def sessions_between(spark, d):
-    return C.sessions_between(_sessions(spark, d), "1996-01-01", "1996-12-31")
+    return C.sessions_between(_sessions(spark, d), "1992-01-15", "1998-07-15")
 
 
 @add("calendar_is_session", f"""WITH {_SES}, dy AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem)
@@ -60,10 +58,9 @@ _GRID = """, sec AS (
 
 @add("calendar_slot_grid", f"""WITH {_SES}, g AS (SELECT date, 34200 + 60 * i AS s FROM ses, range(1, 121) t(i)
   UNION ALL SELECT date, 46800 + 60 * i FROM ses, range(1, 118) t(i) UNION ALL SELECT date, 54000 FROM ses)
-SELECT date, CAST(date AS TIMESTAMP) + to_seconds(s) AS ts FROM g WHERE year(date) = 1996""")
+SELECT date, CAST(date AS TIMESTAMP) + to_seconds(s) AS ts FROM g""")
 def slot_grid(spark, d):
-    s = C.sessions_between(_sessions(spark, d), "1996-01-01", "1996-12-31")
-    return C.slot_grid(s, 60)
+    return C.slot_grid(_sessions(spark, d), 60)
 
 
 @add("calendar_slot_grid_night", f"""WITH {_SES}, g AS (
@@ -318,7 +315,7 @@ def apply_drop(spark, d):
 
 _ACT = """,
 ac AS (SELECT DISTINCT CAST(date_trunc('week', l_shipdate) AS TIMESTAMP) AS ts, lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS symbol
-  FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderkey % 97 = 0 AND l_linenumber = 1),
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_linenumber = 1),
 ev AS (SELECT ac.ts, ac.symbol, prev_close, 0.01 * prev_close AS cash_div, CASE WHEN l_suppkey % 4 = 0 THEN 0.1 END AS split_ratio,
   CASE WHEN l_suppkey % 5 = 0 THEN 0.2 END AS rights_ratio, 0.5 * prev_close AS rights_price
   FROM ac JOIN panel p ON p.ts = ac.ts AND p.symbol = ac.symbol),
@@ -328,7 +325,7 @@ fa AS (SELECT ts, symbol, (prev_close - cash_div + coalesce(rights_ratio, 0) * c
 
 def _actions(spark, d):
     li, o = table(spark, d, "lineitem"), table(spark, d, "orders")
-    k = li.where("l_linenumber = 1").join(o.where("o_orderkey % 97 = 0"), F.col("o_orderkey") == F.col("l_orderkey"))
+    k = li.where("l_linenumber = 1").join(o, F.col("o_orderkey") == F.col("l_orderkey"))
     k = k.select(F.trunc(F.to_date("l_shipdate"), "week").cast("timestamp_ntz").alias("ts"),
                  F.lpad(F.col("l_suppkey").cast("string"), 6, "0").alias("symbol")).distinct()
     p = weekly_panel(spark, d).select("ts", "symbol", "prev_close", "l_suppkey")
@@ -350,21 +347,51 @@ bw AS (SELECT ts, symbol, product(1 / f) OVER (PARTITION BY symbol ORDER BY ts)
   coalesce(product(f) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 1) AS w FROM jn)"""
 
 
-@add("adjust_cumulative", f"WITH {panel_sql()} {_ACT} {_CUM} SELECT ts, symbol, {r('b', 'backward')}, {r('w', 'forward')} FROM bw")
+@add("adjust_cumulative", f"WITH {panel_sql()} {_ACT} {_CUM} SELECT ts, symbol, {r('ln(b)', 'backward')}, {r('ln(w)', 'forward')} FROM bw")
 def cumulative(spark, d):
     p, ev = weekly_panel(spark, d), A.event_factors(_actions(spark, d))
     b = A.cumulative_factors(ev, p).withColumnRenamed("adj_factor", "backward")
     f = A.cumulative_factors(ev, p, mode="forward").withColumnRenamed("adj_factor", "forward")
-    return rounded(b.join(f, ["ts", "symbol"]))
+    return rounded(b.join(f, ["ts", "symbol"]).select("ts", "symbol", F.log("backward").alias("backward"), F.log("forward").alias("forward")))
+
+
+# events of every day against weekly bars: most have no bar of their own and go to the symbol's next one
+@add("adjust_carry_missed", f"""WITH {panel_sql()}, dy AS (
+  SELECT CAST(date_trunc('day', l_shipdate) AS TIMESTAMP) AS ts, lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS symbol, count(*) AS n FROM lineitem GROUP BY 1, 2),
+nx AS (SELECT p.ts, p.symbol, coalesce(sum(ln(1 - 0.001 * n)), 0) AS f FROM panel p LEFT JOIN dy ON dy.symbol = p.symbol AND dy.ts <= p.ts
+  AND dy.ts > coalesce((SELECT max(q.ts) FROM panel q WHERE q.symbol = p.symbol AND q.ts < p.ts), TIMESTAMP '1900-01-01') GROUP BY p.ts, p.symbol)
+SELECT ts, symbol, {r('-sum(f) OVER (PARTITION BY symbol ORDER BY ts)', 'adj')} FROM nx""")
+def carry_missed(spark, d):
+    days = table(spark, d, "lineitem").select(F.date_trunc("day", "l_shipdate").cast("timestamp_ntz").alias("ts"),
+                                              F.lpad(F.col("l_suppkey").cast("string"), 6, "0").alias("symbol"))
+    ev = days.groupBy("ts", "symbol").agg((1 - 0.001 * F.count(F.lit(1))).alias("factor"))
+    out = A.cumulative_factors(ev, weekly_panel(spark, d), carry_missed=True)
+    return rounded(out.select("ts", "symbol", F.log("adj_factor").alias("adj")))
+
+
+# events become known some weeks after their ex-date, later for some symbols
+@add("adjust_as_of", f"""WITH {panel_sql()} {_ACT}, kn AS (SELECT fa.*, fa.ts + to_days(CAST(7 * (1 + CAST(symbol AS INTEGER) % 5) AS INTEGER)) AS known_at FROM fa)
+SELECT p.ts, p.symbol, {r('sum(-ln(factor)) FILTER (WHERE known_at <= p.ts)', 'known')}, {r('sum(-ln(factor))', 'final')}
+FROM panel p LEFT JOIN kn ON kn.symbol = p.symbol AND kn.ts <= p.ts GROUP BY p.ts, p.symbol""")
+def as_of(spark, d):
+    ev = A.event_factors(_actions(spark, d)).withColumn(
+        "known_at", F.expr("ts + make_dt_interval(7 * (1 + cast(symbol as int) % 5))"))
+    p = weekly_panel(spark, d).select("ts", "symbol")
+    known = A.factors_as_of(ev, p).withColumnRenamed("adj_factor", "known")
+    final = A.cumulative_factors(ev, p).withColumnRenamed("adj_factor", "final")
+    first = ev.groupBy("symbol").agg(F.min("known_at").alias("k"), F.min("ts").alias("e"))
+    out = known.join(final, ["ts", "symbol"]).join(first, "symbol", "left")
+    return rounded(out.select("ts", "symbol", F.when(F.col("k") <= F.col("ts"), F.log("known")).alias("known"),
+                              F.when(F.col("e") <= F.col("ts"), F.log("final")).alias("final")))
 
 
 @add("adjust_apply", f"""WITH {panel_sql()} {_ACT} {_CUM}
-SELECT p.ts, p.symbol, {r('ln(close * b)', 'close', 8)}, {r('ln(close)', 'close_raw')}, {r('ln(volume / b)', 'volume')}, {r('ln(volume)', 'volume_raw')}, {r('b', 'adj_factor')}
+SELECT p.ts, p.symbol, {r('ln(close * b)', 'close', 8)}, {r('ln(close)', 'close_raw')}, {r('ln(volume / b)', 'volume')}, {r('ln(volume)', 'volume_raw')}, {r('ln(b)', 'adj_factor')}
 FROM panel p JOIN bw ON bw.ts = p.ts AND bw.symbol = p.symbol""")
 def adjust_apply(spark, d):
     p = weekly_panel(spark, d).select("ts", "symbol", "close", "volume")
     out = A.adjust(p, A.event_factors(_actions(spark, d)))
-    return rounded(out.select("ts", "symbol", *[F.log(c).alias(c) for c in ("close", "close_raw", "volume", "volume_raw")], "adj_factor"))
+    return rounded(out.select("ts", "symbol", *[F.log(c).alias(c) for c in ("close", "close_raw", "volume", "volume_raw", "adj_factor")]))
 
 
 @add("adjust_rebase", f"""WITH {panel_sql()},

@@ -405,7 +405,7 @@ _BF = {
     "bid_order_size": "bid_depth5 / greatest(n_bid_orders, 1)", "ask_order_size": "ask_depth5 / greatest(n_ask_orders, 1)",
     "book_slope": "(bid_depth5 + ask_depth5) / greatest(bid_qty + ask_qty, 1e-12)", "consumption": "ln(1 + slot_qty / greatest(bid_depth5 + ask_depth5, 1e-12))",
     "micro_mom_10": "_mc / lag(_mc, 10) OVER s - 1", "micro_rev_3": "-(_mc / lag(_mc, 3) OVER s - 1)",
-    "spread_z": f"CASE WHEN {_m('stddev_samp', '_sp')} > 1e-9 THEN (_sp - {_m('avg', '_sp')}) / {_m('stddev_samp', '_sp')} END",
+    "spread_z": f"CASE WHEN {_m('stddev_samp', '_sp')} > 1e-9 THEN (_sp - {_m('avg', '_sp')}) / {_m('stddev_samp', '_sp')} WHEN {_m('stddev_samp', '_sp')} IS NOT NULL AND _sp IS NOT NULL THEN 0 END",
     "imb_persist": _m("avg", "imbalance_l1"),
 }
 _BFSTAGE = """,
@@ -426,17 +426,9 @@ def feature_book(spark, d):
     return rounded(book_features(spark, d).select("slot", "symbol", *[c for c in FF.BOOK_FEATURES if c != "spread_z"]), 7)
 
 
-@add("feature_book_spread_z", f"""{_BOOK} {_BFSTAGE}, z AS (SELECT slot, symbol, {_BF['spread_z']} AS z, {_m('stddev_samp', '_sp')} AS sd FROM b1 WINDOW {_FW})
-SELECT slot, symbol, {r('z', 'spread_z', 6)} FROM z WHERE sd > 1e-9""")
+@add("feature_book_spread_z", f"""{_BOOK} {_BFSTAGE} SELECT slot, symbol, {r(_BF['spread_z'], 'spread_z', 6)} FROM b1 WINDOW {_FW}""")
 def feature_spread_z(spark, d):
-    s = snapshots(spark, d)
-    # a spread that has not moved within the window divides rounding dust by 1e-12: left out here
-    f = FF.build_book_features(s).select("slot", "symbol", "spread_z")
-    two = (F.col("best_bid") > 0) & (F.col("best_ask") > 0)
-    from ...functions.ordered import with_running, with_trailing
-    s = with_running(s, ["symbol"], ["slot"], {"sp": ("last", F.when(two, F.col("spread")))})
-    s = with_trailing(s, ["symbol"], ["slot"], 20, lambda x, t: x.withColumn("sd", t.std(F.col("sp"), 20, 10)))
-    return rounded(f.join(s.where(F.col("sd") > 1e-9).select("slot", "symbol"), ["slot", "symbol"]), 6)
+    return rounded(FF.build_book_features(snapshots(spark, d)).select("slot", "symbol", "spread_z"), 6)
 
 
 @add("feature_book_on_flow", f"""{_BOOK} {_BFSTAGE} {_ROUTE} {SLOTS},

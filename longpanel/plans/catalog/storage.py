@@ -35,10 +35,10 @@ def _store(spark, d):
         idx = p.groupBy("ts").agg(F.avg("close").alias("close")).select(
             "ts", F.lit("EW.ALL").alias("symbol"), "close")
         S.write_partitioned(idx.withColumn("date", month), f"{root}/index")
-        ticks = p.where(F.year("ts") == 1996).select("ts", "symbol", F.col("close").alias("last"), "volume")
+        ticks = p.select("ts", "symbol", F.col("close").alias("last"), "volume")
         S.write_partitioned(ticks, f"{root}/ticks", by_symbol=False, files_per_date=2)
-        by_sym = p.where(F.year("ts") == 1997).where(F.month("ts") == 1).select("ts", "symbol", "close")
-        S.write_partitioned(by_sym, f"{root}/actions", by_symbol=True)
+        year = F.date_format(F.trunc(F.to_date("ts"), "year"), "yyyyMMdd")
+        S.write_partitioned(p.select("ts", "symbol", "close", year.alias("date")), f"{root}/actions", by_symbol=True)
         S.write_csv(p.select(F.date_format("ts", "yyyyMMdd").alias("date"), "symbol", "close", "volume"), f"{root}/raw_csv")
         _STORES[key] = root
     return S.DataRoot(spark, _STORES[key])
@@ -94,17 +94,17 @@ def load_ticks(spark, d):
     return rounded(df.withColumn("last", F.log("last")))
 
 
-@add("store_stream_ticks", f"WITH {panel_sql()} SELECT ts, count(*) AS n, {r('sum(volume)', 'volume', 2)} FROM panel WHERE year(ts) = 1996 GROUP BY ts")
+@add("store_stream_ticks", f"WITH {panel_sql()} SELECT ts, count(*) AS n, {r('sum(volume)', 'volume', 2)} FROM panel GROUP BY ts")
 def stream_ticks(spark, d):
     root = _store(spark, d)
     all_rows = run_available(S.stream_ticks(spark, root.path("ticks"), max_files=40))
     return rounded(all_rows.groupBy("ts").agg(F.count(F.lit(1)).alias("n"), F.sum("volume").alias("volume")), 2)
 
 
-@add("store_partition_symbol_strings", f"WITH {panel_sql()} SELECT symbol, strftime(ts, '%Y%m%d') AS date, {r('ln(close)', 'close')} FROM panel WHERE year(ts) = 1997 AND month(ts) = 1")
+@add("store_partition_symbol_strings", f"WITH {panel_sql()} SELECT ts, symbol, strftime(date_trunc('year', ts), '%Y%m%d') AS date, {r('ln(close)', 'close')} FROM panel")
 def symbol_strings(spark, d):
     df = _store(spark, d).read("actions")
-    return rounded(df.select("symbol", "date", F.log("close").alias("close")))
+    return rounded(df.select("ts", "symbol", "date", F.log("close").alias("close")))
 
 
 @add("store_csv_round_trip", f"WITH {panel_sql()} SELECT strftime(ts, '%Y%m%d') AS date, symbol, {r('ln(close)', 'close')}, volume FROM panel")

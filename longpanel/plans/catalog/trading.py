@@ -51,44 +51,40 @@ def weight_score(spark, d):
     return rounded(_weights(spark, d, method="score").select("ts", "symbol", "weight"), 10)
 
 
-# one round of the projection, stated step by step; the operator iterates it
-_ITER = """,
-{o}a AS (SELECT *, CASE WHEN sum(abs(w)) OVER t > 0 THEN w / sum(abs(w)) OVER t ELSE w END AS w1, count(*) OVER t AS m FROM {i} WINDOW t AS (PARTITION BY ts)),
-{o}b AS (SELECT *, CASE WHEN abs(sum(w1) OVER t) > 1e-12 THEN w1 - sum(w1) OVER t / m ELSE w1 END AS w2 FROM {o}a WINDOW t AS (PARTITION BY ts)),
-{o}c AS (SELECT *, CASE WHEN abs(sum(w2) OVER t) > 0.1 THEN w2 * 0.1 / abs(sum(w2) OVER t) ELSE w2 END AS w3 FROM {o}b WINDOW t AS (PARTITION BY ts, industry)),
-{o} AS (SELECT ts, symbol, industry, least(greatest(w3, -0.03), 0.03) AS w FROM {o}c)"""
-
-
-def _iterate(n):
-    out = ",\nx0 AS (SELECT ts, symbol, industry, weight AS w FROM wt)"
-    for k in range(n):
-        out += _ITER.format(i=f"x{k}", o=f"x{k + 1}")
-    return out
-
-
-@add("weight_constraints", f"""WITH {panel_sql()} {_W_RANK} {_iterate(5)}
-SELECT ts, symbol, {r('w', 'weight')} FROM x5""")
+# the projection, stated step by step and carried on for as many rounds as the operator may take
+def _projected(cap, rounds=50):
+    return f""",
+rd AS (SELECT 0 AS k, ts, symbol, industry, weight AS w FROM wt
+UNION ALL SELECT k + 1, ts, symbol, industry, least(greatest(w3, -0.03), 0.03) FROM (
+  SELECT *, CASE WHEN abs(sum(w2) OVER (PARTITION BY ts, industry)) > {cap} THEN w2 * {cap} / abs(sum(w2) OVER (PARTITION BY ts, industry)) ELSE w2 END AS w3 FROM (
+  SELECT *, CASE WHEN abs(sum(w1) OVER (PARTITION BY ts)) > 1e-12 THEN w1 - sum(w1) OVER (PARTITION BY ts) / count(*) OVER (PARTITION BY ts) ELSE w1 END AS w2 FROM (
+  SELECT *, CASE WHEN sum(abs(w)) OVER (PARTITION BY ts) > 0 THEN w / sum(abs(w)) OVER (PARTITION BY ts) ELSE w END AS w1 FROM rd WHERE k < {rounds}))))"""
+
+
+@add("weight_constraints", f"""WITH RECURSIVE {panel_sql()} {_W_RANK} {_projected(0.1)}
+SELECT ts, symbol, {r('w', 'weight')} FROM rd WHERE k = 50""")
 def weight_constraints(spark, d):
     c = P.Constraints(max_weight=0.03, min_weight=-0.03, max_industry=0.10)
-    w = P.apply_constraints(_weights(spark, d), c, max_iter=5)
+    w = P.apply_constraints(_weights(spark, d), c)
     return rounded(w.select("ts", "symbol", "weight"))
 
 
-@add("weight_constraints_converged")
+@add("weight_constraints_converged", f"""WITH RECURSIVE {panel_sql()} {_W_RANK} {_projected(0.05)}
+SELECT ts, symbol, {r('w', 'weight')} FROM rd WHERE k = 50""")
 def weight_converged(spark, d):
     c = P.Constraints(max_weight=0.03, min_weight=-0.03, max_industry=0.05)
     return rounded(_weights(spark, d, constraints=c).select("ts", "symbol", "weight"))
 
 
-@add("weight_turnover_blend", f"""WITH {panel_sql()} {_W_RANK},
-x0 AS (SELECT ts, symbol, industry, weight AS w FROM wt) {_ITER.format(i='x0', o='x1')},
+@add("weight_turnover_blend", f"""WITH RECURSIVE {panel_sql()} {_W_RANK} {_projected(0.1)},
+x1 AS (SELECT ts, symbol, w FROM rd WHERE k = 50),
 pv AS (SELECT x1.*, CASE WHEN l_suppkey % 2 = 0 THEN 0.011 / 3 ELSE -0.011 / 3 END AS prev FROM x1 JOIN panel USING (ts, symbol)),
 tr AS (SELECT *, sum(abs(w - prev)) OVER (PARTITION BY ts) AS trade FROM pv)
 SELECT ts, symbol, {r('CASE WHEN trade > 0.3 THEN prev + 0.3 / trade * (w - prev) ELSE w END', 'weight')} FROM tr""")
 def weight_turnover(spark, d):
     c = P.Constraints(max_weight=0.03, min_weight=-0.03, max_industry=0.10, max_turnover=0.3)
     w = _weights(spark, d).withColumn("prev", F.when(F.col("l_suppkey") % 2 == 0, 0.011 / 3).otherwise(-0.011 / 3))
-    return rounded(P.apply_constraints(w, c, prev_weight="prev", max_iter=1).select("ts", "symbol", "weight"))
+    return rounded(P.apply_constraints(w, c, prev_weight="prev").select("ts", "symbol", "weight"))
 
 
 @add("weight_market_neutral", f"""WITH {panel_sql()} {_W_RANK},
