@@ -45,6 +45,28 @@ def gaps(spark, d):
     return J.run_available(J.gap_monitor(tick_stream(spark, d)))
 
 
+def _rocksdb(spark, job):
+    """Run a job with the state store that its operators need."""
+    old = spark.conf.get(J.PROVIDER_CONF)
+    spark.conf.set(J.PROVIDER_CONF, J.ROCKSDB)
+    try:
+        return job()
+    finally:
+        spark.conf.set(J.PROVIDER_CONF, old)
+
+
+# a hole is lost 20 hours after the record that shows it, unless the stream ends within the watermark's hour before
+@add("stream_gap_timeline", f"""WITH {TICKS}, pv AS (SELECT channel_id, seq_id, arrival_ts, coalesce(lag(seq_id) OVER (PARTITION BY channel_id ORDER BY seq_id), 0) AS prev,
+  max(arrival_ts) OVER () AS last FROM tk),
+h AS (SELECT channel_id, prev + 1 AS first_missing, seq_id - 1 AS last_missing, arrival_ts // 1000000 AS ms, last // 1000000 AS last FROM pv WHERE seq_id > prev + 1)
+SELECT channel_id, first_missing, last_missing, 'open' AS event FROM h
+UNION ALL SELECT channel_id, first_missing, last_missing, 'lost' FROM h WHERE ms + 72000000 <= last - 3600000""")
+def gap_timeline(spark, d):
+    t = tick_stream(spark, d)
+    out = _rocksdb(spark, lambda: J.run_available(J.gap_timeline(t, patience="20 hours", delay="1 hour", block=4096)))
+    return out.select("channel_id", "first_missing", "last_missing", "event")
+
+
 @add("stream_drop_replayed", f"""WITH {TICKS} SELECT channel_id, seq_id, symbol, record_type FROM tk""")
 def replayed(spark, d):
     t = tick_stream(spark, d)
@@ -63,11 +85,5 @@ def book(spark, d):
     root = shared_dir(spark, "book")
     events = order_events(spark, d)
     events.write.mode("overwrite").parquet(f"{root}/events")
-    old = spark.conf.get(J.PROVIDER_CONF)
-    spark.conf.set(J.PROVIDER_CONF, J.ROCKSDB)
-    try:
-        s = J.stream_table(spark, f"{root}/events", events)
-        out = J.run_available(J.book_stream(s, HOUR))
-    finally:
-        spark.conf.set(J.PROVIDER_CONF, old)
-    return rounded(out)
+    s = J.stream_table(spark, f"{root}/events", events)
+    return rounded(_rocksdb(spark, lambda: J.run_available(J.book_stream(s, HOUR))))
