@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .memory import releasing
 from .words import batches, gram_hashes, word_hashes
 
 SEED = 4
@@ -167,7 +168,7 @@ def search(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
                         "n_tiles": [f[4] for f in found], "longest": [f[5] for f in found],
                         "coverage": [f[3] / f[2] for f in found]})
 
-        part = docs.select("doc_id", "text").mapInPandas(find, schema)
+        part = docs.select("doc_id", "text").mapInPandas(releasing(find), schema)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -187,5 +188,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
                     found = {f[0] for f in matches(few.column("text").to_pylist(), shared.value, coverage)}
                     yield few.filter(pa.array([i not in found for i in range(few.num_rows)], pa.bool_()))
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        docs = docs.mapInArrow(releasing(keep), docs.schema)
     return docs

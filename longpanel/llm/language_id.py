@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .memory import releasing
 from .scratch import stage
 from .words import U, batches, mix
 
@@ -187,18 +188,21 @@ def held_out(key: Column) -> Column:
 
 def sample(docs: DataFrame, key: str = "doc_id", max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> DataFrame:
     """``lang``, ``text``, ``calibrates`` of the bounded sample of labelled rows that are not held out."""
-    h = F.xxhash64(F.col(key), F.lit("sample"))
     usable = docs.where(F.col(key).isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col(key)))
-    t = usable.select("lang", h.alias("h"), F.length("text").alias("n"))
+    # a text gives at most a twentieth of the characters, so that one very long text does not end its language's sample
+    usable = usable.select("lang", F.xxhash64(F.col(key), F.lit("sample")).alias("h"), F.substring("text", 1, max(1, max_chars // 20)).alias("text"))
+    t = usable.select("lang", "h", F.length("text").alias("n"))
     # rows of a language are first cut within hashed parts of it, so that no task ranks them all
     part = Window.partitionBy("lang", F.pmod("h", F.lit(256))).orderBy("h")
     whole = Window.partitionBy("lang").orderBy("h")
     t = t.withColumn("k", F.row_number().over(part)).where(F.col("k") <= max(4, max_rows // 32))
     t = t.withColumn("k", F.row_number().over(whole)).where(F.col("k") <= max_rows)
     t = t.withColumn("sum", F.sum("n").over(whole.rowsBetween(Window.unboundedPreceding, 0)))
-    cut = t.where((F.col("k") == 1) | (F.col("sum") <= max_chars)).groupBy("lang").agg(F.max("h").alias("cut"))
-    return usable.join(F.broadcast(cut), "lang").where(h <= F.col("cut")).select(
-        "lang", "text", (F.pmod(F.xxhash64(F.col(key), F.lit("calibrates")), F.lit(5)) == 0).alias("calibrates"))
+    cut = t.where((F.col("k") == 1) | (F.col("sum") <= max_chars)).groupBy("lang").agg(F.max("h").alias("cut"), F.min("h").alias("least"))
+    picked = usable.join(F.broadcast(cut), "lang").where(F.col("h") <= F.col("cut"))
+    # the first rows of a language always count, so that none is left without a model
+    fifth = (F.pmod(F.xxhash64("h", F.lit("calibrates")), F.lit(5)) == 0) & (F.col("h") > F.col("least"))
+    return picked.select("lang", "text", fifth.alias("calibrates"))
 
 
 def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -223,7 +227,7 @@ def fit(docs: DataFrame, key: str = "doc_id", max_rows: int = MAX_ROWS, max_char
     many = rows.select("lang").distinct().count()
     if many > max_languages:
         raise ValueError(f"{many} languages; at most {max_languages} are expected")
-    counted = (rows.where(~F.col("calibrates")).mapInPandas(_count, "lang string, gram string, n long")
+    counted = (rows.where(~F.col("calibrates")).mapInPandas(releasing(_count), "lang string, gram string, n long")
                .groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas())
     if counted.empty:
         return None, np.zeros((0, 3))
@@ -245,7 +249,7 @@ def fit(docs: DataFrame, key: str = "doc_id", max_rows: int = MAX_ROWS, max_char
                 yield pd.DataFrame({"lang": frame["lang"][a:b].to_numpy(), "s": -s[r, own[a:b]], "q": q[r, own[a:b]], "n": n})
 
     bits = F.col("s") / F.col("n")
-    seen = {r["lang"]: r for r in rows.where("calibrates").mapInPandas(measure, "lang string, s double, q double, n long")
+    seen = {r["lang"]: r for r in rows.where("calibrates").mapInPandas(releasing(measure), "lang string, s double, q double, n long")
             .where("n >= 100").groupBy("lang").agg(
                 F.avg(bits).alias("mean"), F.coalesce(F.stddev_pop(bits), F.lit(0.0)).alias("sd"),
                 F.sqrt(F.greatest(F.lit(0.0), F.sum("q") / F.sum("n") - F.pow(F.sum("s") / F.sum("n"), 2))).alias("char")).collect()}
@@ -286,7 +290,7 @@ def identify(docs: DataFrame, model: Model | None, limits: np.ndarray, key: str
             lang, posterior, bits, fine = judged([t if isinstance(t, str) else "" for t in frame["text"]], m, limit)
             yield pd.DataFrame({key: frame["key"], "lang_pred": lang, "score": posterior, "bits": bits, "accepted": fine})
 
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(score, schema)
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(releasing(score), schema)
 
 
 def accepted(docs: DataFrame, model: Model | None, limits: np.ndarray, text: str = "text") -> DataFrame:
@@ -303,4 +307,4 @@ def accepted(docs: DataFrame, model: Model | None, limits: np.ndarray, text: str
                 fine = judged([t or "" for t in few.column(text).to_pylist()], m, limit)[3]
                 yield few.filter(pa.array(fine, pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(releasing(keep), docs.schema)

@@ -6,6 +6,8 @@ planned: two jobs may number the rows of the same files differently. Here a row
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,14 +36,15 @@ def with_row(docs: DataFrame, name: str) -> DataFrame:
     written with its numbers.
     """
     if _one_scan(docs):
+        path, place, file = (f"{x}_{uuid.uuid4().hex}" for x in ("path", "place", "file"))
         try:
             meta = docs.metadataColumn("_metadata")
-            placed = docs.select("*", meta["file_path"].alias("_path"), meta["row_index"].alias("_place"))
+            placed = docs.select("*", meta["file_path"].alias(path), meta["row_index"].alias(place))
         except AnalysisException:  # a format without places
             placed = None
         if placed is not None:
-            paths = sorted(r["_path"] for r in placed.select("_path").distinct().collect())
-            files = docs.sparkSession.createDataFrame(list(enumerate(paths)), "_file long, _path string")
-            row = F.shiftleft("_file", PLACE_BITS) + F.col("_place")
-            return placed.join(F.broadcast(files), "_path").select(*docs.columns, row.alias(name))
+            paths = sorted(r[path] for r in placed.select(path).distinct().collect())
+            files = docs.sparkSession.createDataFrame(list(enumerate(paths)), f"{file} long, {path} string")
+            row = F.shiftleft(file, PLACE_BITS) + F.col(place)
+            return placed.join(F.broadcast(files), path).select(*docs.columns, row.alias(name))
     return stage(docs.withColumn(name, F.monotonically_increasing_id()), "rows")

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import components, keys_side, whole_groups
+from .memory import releasing
 from .scratch import partitions, stage
 from .words import U, batches, gram_hashes, mix, word_hashes
 
@@ -248,7 +249,7 @@ def frequent(docs: DataFrame, rows: int = SAMPLE_ROWS) -> np.ndarray:
                     yield pd.DataFrame({"h": s.astype(np.int64)})
 
     # a text has one hash, so copies are in or out together: they count once
-    seen = few.select("text").distinct().limit(4 * rows).mapInPandas(members, "h long").groupBy("h").count()
+    seen = few.select("text").distinct().limit(4 * rows).mapInPandas(releasing(members), "h long").groupBy("h").count()
     found = seen.where(F.col("count") >= SAMPLE_SEEN).select("h").toArrow()["h"].to_numpy()
     return np.sort(found.astype(np.uint64))
 
@@ -281,7 +282,7 @@ def sketches(docs: DataFrame, key: str) -> DataFrame:
             yield pd.DataFrame({"key": frame["key"].to_numpy(), "node": node, "n": size, "bits": bits, "prefix": prefix})
 
     return docs.select(F.col(key).alias("key"), "text").mapInPandas(
-        make, f"key {kind}, node long, n long, bits binary, prefix array<long>")
+        releasing(make), f"key {kind}, node long, n long, bits binary, prefix array<long>")
 
 
 def groups(made: DataFrame) -> DataFrame:
@@ -316,7 +317,7 @@ def _by_group(df: DataFrame, work, schema: str) -> DataFrame:
             edge = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]).any(1), [True])))
             yield from work(frame, edge)
 
-    return df.repartition(partitions(df), *by).sortWithinPartitions(*by).mapInPandas(run, schema)
+    return df.repartition(partitions(df), *by).sortWithinPartitions(*by).mapInPandas(releasing(run), schema)
 
 
 def _possible(frame: pd.DataFrame, edge: np.ndarray) -> Iterator[pd.DataFrame]:
@@ -362,7 +363,7 @@ def linked(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
     # whole sets are read from the texts and go straight to their clusters
     sets = docs.select(F.col(key).alias("key"), "text").join(keys_side(rep), F.col("key").eqNullSafe(F.col("k")), "left_semi")
-    sets = sets.mapInPandas(fetch, "node long, members binary")
+    sets = sets.mapInPandas(releasing(fetch), "node long, members binary")
     found = stage(_by_group(sets.join(keys_side(rows), "node"), _links, "a long, b long"), "links")
     final = stage(components(found), "components")
     ids = (made.where("n > 0").groupBy("node").agg(F.min("key").alias("key")).join(final, "node", "left")

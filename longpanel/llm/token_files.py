@@ -35,6 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .memory import releasing
 from .scratch import folder, partitions
 from .words import batches
 
@@ -55,7 +56,7 @@ _BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SH
 #: A newline that is not alone between non-spaces.
 _EDGE = re.compile(r"\A\n|\n\Z|\s\n|\n\s")
 #: Most pieces remembered that follow a space, that begin a text or line, and code points of the longest.
-KEEP, KEEP_FIRST, _LONGEST = 300_000, 20_000, 48
+KEEP, KEEP_FIRST, _LONGEST = 200_000, 20_000, 48
 #: Bytes of text that are encoded together; a longer text stands alone.
 BATCH = 4 << 20
 
@@ -304,7 +305,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, parts: int |
     t = t.repartitionByRange(parts or partitions(docs), F.col("gone").desc(), "doc_id", tie)
     t = t.sortWithinPartitions(F.col("gone").desc(), "doc_id", tie)
     spark = docs.sparkSession
-    t.mapInArrow(save, MANIFEST).write.parquet(f"{path}/finished")
+    t.mapInArrow(releasing(save), MANIFEST).write.parquet(f"{path}/finished")
     # one row a partition: the bases are their running sums
     done = spark.read.schema(MANIFEST).parquet(f"{path}/finished").orderBy("part").collect()
     docs_before = [0, *accumulate(r["n_docs"] for r in done)]
@@ -347,7 +348,7 @@ def read(manifest: DataFrame, path: str) -> DataFrame:
 
     n = max(1, manifest.count())
     return manifest.repartition(n, "part").mapInPandas(
-        load, "doc_id long, start long, n_tokens long, ids_crc32 long, part int, row long")
+        releasing(load), "doc_id long, start long, n_tokens long, ids_crc32 long, part int, row long")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None) -> DataFrame:
