@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ...operators.features_daily import compute_features
 from ...sources import tables as S
 from ...sources.panels import weekly_panel, weekly_panel_market
+from ...sources.store import Store
 from ...functions.ordered import shared_dir
 from ...streaming.jobs import run_available
 from .base import Catalog, panel_sql, r, rounded
@@ -112,3 +113,53 @@ def csv(spark, d):
     root = _store(spark, d)
     df = S.read_csv(spark, f"{root.root}/raw_csv", "date string, symbol string, close double, volume double")
     return rounded(df.withColumn("close", F.log("close")))
+
+
+# ------------------------------------------------------------------ committed store
+
+_COMMITTED: dict[tuple, str] = {}
+
+
+def _committed(spark, d):
+    """Months written by three writers whose schemas differ, then the months of 1998 written again."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _COMMITTED:
+        path = shared_dir(spark, "committed")
+        p = weekly_panel(spark, d).withColumn("date", F.date_format(F.trunc(F.to_date("ts"), "month"), "yyyyMMdd"))
+        store, year = Store(spark, path), F.year("ts")
+        store.write(p.where(year < 1997).select("date", "ts", "symbol", "close", F.col("volume").cast("bigint").alias("volume")))
+        store.write(p.where((year >= 1997) & (year < 1999)).select("date", "ts", "symbol", "close", "volume", "industry"))
+        store.write(p.where(year >= 1999).select("date", "ts", "symbol", "close", "industry"))
+        store.write(p.where(year == 1998).select("date", "ts", "symbol", (2 * F.col("close")).alias("close"), "volume", "industry"), files_per_date=2)
+        _COMMITTED[key] = path
+    return Store(spark, _COMMITTED[key])
+
+
+_MONTH = "strftime(date_trunc('month', ts), '%Y%m%d')"
+
+
+@add("store_schema_drift", f"""WITH {panel_sql()}, mo AS (SELECT DISTINCT {_MONTH} AS date FROM panel)
+SELECT min(date) AS date, 'industry' AS "column", 'added' AS change, CAST(NULL AS VARCHAR) AS before, 'string' AS after FROM mo WHERE date >= '19970101'
+UNION ALL SELECT min(date), 'volume', 'retyped', 'bigint', 'double' FROM mo WHERE date >= '19970101'
+UNION ALL SELECT min(date), 'volume', 'removed', 'double', NULL FROM mo WHERE date >= '19990101'""")
+def schema_drift(spark, d):
+    return _committed(spark, d).drift()
+
+
+@add("store_evolved_read", f"""WITH {panel_sql()} SELECT {_MONTH} AS date, ts, symbol, {r('ln(CASE WHEN year(ts) = 1998 THEN 2 * close ELSE close END)', 'close')},
+  {r('CASE WHEN year(ts) < 1999 THEN volume END', 'volume')}, CASE WHEN year(ts) >= 1997 THEN industry END AS industry FROM panel""")
+def evolved_read(spark, d):
+    df = _committed(spark, d).read(["ts", "symbol", "close", "volume", "industry"])
+    return rounded(df.withColumn("close", F.log("close")))
+
+
+@add("store_as_of_commit", f"""WITH {panel_sql()} SELECT year(ts) AS year, count(*) AS n_rows, {r('sum(ln(close))', 'log_close', 6)} FROM panel GROUP BY year(ts)""")
+def as_of_commit(spark, d):
+    df = _committed(spark, d).read(["ts", "close"], version=3)
+    return rounded(df.groupBy(F.year("ts").cast("bigint").alias("year")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum(F.log("close")).alias("log_close")), 6)
+
+
+@add("store_manifest", f"""WITH {panel_sql()} SELECT {_MONTH} AS date, count(*) AS n_rows FROM panel GROUP BY 1""")
+def manifest(spark, d):
+    return _committed(spark, d).manifest().select("date", "n_rows")

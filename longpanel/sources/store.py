@@ -108,7 +108,8 @@ class Store:
         sort = [c for c in (TS, SYMBOL) if c in df.columns]
         salt = F.pmod(F.xxhash64(SYMBOL), F.lit(files_per_date)) if SYMBOL in df.columns else F.lit(0)
         df.repartition("date", salt).sortWithinPartitions("date", *sort).write.option("compression", "zstd").partitionBy("date").parquet(folder)
-        fields = T.StructType([f for f in df.schema.fields if f.name != "date"])
+        # without metadata: bounds that plans are made from hold for a frame, not for a table that is written to
+        fields = T.StructType([T.StructField(f.name, f.dataType) for f in df.schema.fields if f.name != "date"])
         written = self._measure(self._files(fields, commit), fields)
         state = written
         if base is not None and not replace:
