@@ -6,7 +6,7 @@ from ...functions.ordered import shared_dir
 from ...sources.panels import order_events, tick_stream
 from ...streaming import jobs as J
 from .base import Catalog, r, rounded
-from .microstructure import _BOOK, HOUR, TICKS
+from .microstructure import _BOOK, _ROUTE, _SLOT_COLS, HOUR, SLOTS, TICKS
 
 CATALOG = Catalog()
 add = CATALOG.add
@@ -55,6 +55,34 @@ def _rocksdb(spark, job):
         spark.conf.set(J.PROVIDER_CONF, old)
 
 
+def _two_streams(spark, d):
+    """Order and trade streams of the tick stream: Shenzhen cancels ride the trade stream."""
+    t = tick_stream(spark, d)
+    rides = (F.col("record_type") == "trade") | ((F.col("record_type") == "cancel") & (F.col("exchange") == "XSHE"))
+    orders = t.where(~rides & F.col("record_type").isin("add", "cancel"))
+    trades = tick_stream(spark, d).where(rides)
+    return [J.with_heartbeat(x, "2100-01-01") for x in (orders, trades)]
+
+
+@add("stream_flow_bars", f"WITH {TICKS} {_ROUTE} {SLOTS} SELECT {_SLOT_COLS} FROM slt")
+def flow_bars(spark, d):
+    orders, trades = _two_streams(spark, d)
+    bars = _rocksdb(spark, lambda: J.run_available(J.flow_bars(orders, trades, width="1 hour", order_delay="2 hours", trade_delay="1 hour")))
+    return rounded(_ns(bars), 6)
+
+
+# a trade names the records one and two before it; few of them are adds of the hours before
+@add("stream_linked_trades", f"""WITH {TICKS}, lg AS (SELECT exchange, seq_id, price, arrival_ts, unnest(['buy', 'sell']) AS leg, unnest([seq_id - 1, seq_id - 2]) AS ref FROM tk WHERE record_type = 'trade')
+SELECT lg.exchange, lg.seq_id, leg, ref, {r('lg.price', 'price')}, {r('a.price', 'order_price')}, lg.arrival_ts - a.arrival_ts AS wait_ns FROM lg
+LEFT JOIN tk a ON a.record_type = 'add' AND a.exchange = lg.exchange AND a.seq_id = ref AND a.arrival_ts <= lg.arrival_ts AND a.arrival_ts >= lg.arrival_ts - 7200000000000
+WHERE ref <> 0""")
+def linked_trades(spark, d):
+    orders, trades = _two_streams(spark, d)
+    trades = trades.withColumn("buy_seq_id", F.col("seq_id") - 1).withColumn("sell_seq_id", F.col("seq_id") - 2)
+    out = _rocksdb(spark, lambda: J.run_available(J.linked_trades(orders, trades, within="2 hours", order_delay="2 hours", trade_delay="1 hour")))
+    return rounded(out)
+
+
 # a hole is lost 20 hours after the record that shows it, unless the stream ends within the watermark's hour before
 @add("stream_gap_timeline", f"""WITH {TICKS}, pv AS (SELECT channel_id, seq_id, arrival_ts, coalesce(lag(seq_id) OVER (PARTITION BY channel_id ORDER BY seq_id), 0) AS prev,
   max(arrival_ts) OVER () AS last FROM tk),
