@@ -17,6 +17,7 @@ short a run says nothing. Repeated items match each; repeated documents are judg
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 from typing import NamedTuple
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .memory import releasing
-from .words import batches, gram_hashes, word_hashes
+from .words import _INV, _MULT, _powers, batches, gram_hashes, word_hashes
 
 SEED = 4
 COVERAGE = 0.5
@@ -66,44 +67,75 @@ def index(ids: list, texts: list[str | None], seed: int = SEED) -> Items:
     return Items(keep, words, seeds[order], np.concatenate(item)[order], np.concatenate(place)[order])
 
 
+def _fingerprints(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the words before each place, each times a power of the base, and the powers' inverses."""
+    total = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * _powers(_MULT, len(words)), out=total[1:])
+    return total, _powers(_INV, len(words) + 1)
+
+
+def common_runs(doc: np.ndarray, item: np.ndarray, least: int, step: int = 1_000_000) -> np.ndarray:
+    """Rows (length, place in doc, place in item) of all runs of at least ``least`` words that cannot be made longer.
+
+    Seeds of ``least`` words are joined by their hashes, about ``step`` pairs at a time; of those on a diagonal that follow
+    each other only the first is kept, and its length is found by binary search over Karp-Rabin fingerprints.
+    """
+    if len(doc) < least or len(item) < least:
+        return np.empty((0, 3), np.int64)
+    own, seeds = gram_hashes(doc, least), gram_hashes(item, least)
+    order = np.argsort(seeds, kind="stable")
+    seeds = seeds[order]
+    lo, hi = np.searchsorted(seeds, own), np.searchsorted(seeds, own, side="right")
+    live = np.flatnonzero(hi > lo)
+    total_d, down_d = _fingerprints(doc)
+    total_i, down_i = _fingerprints(item)
+    out = []
+    ends = np.cumsum((hi - lo)[live])
+    cuts = [0, *np.unique(np.searchsorted(ends, np.arange(step, ends[-1] if len(ends) else 0, step)) + 1).tolist(), len(live)]
+    for x, y in zip(cuts, cuts[1:]):
+        at = live[x:y]
+        n = (hi - lo)[at]
+        d = np.repeat(at, n)
+        p = order[np.repeat(lo[at] - (np.cumsum(n) - n), n) + np.arange(len(d))]
+        first = (d == 0) | (p == 0)
+        first[~first] = doc[d[~first] - 1] != item[p[~first] - 1]
+        d, p = d[first], p[first]
+        low, high = np.full(len(d), least), np.minimum(len(doc) - d, len(item) - p)
+        while (todo := low < high).any():
+            mid = (low + high + 1) // 2
+            same = (total_d[d + mid] - total_d[d]) * down_d[d] == (total_i[p + mid] - total_i[p]) * down_i[p]
+            low, high = np.where(todo & same, mid, low), np.where(todo & ~same, mid - 1, high)
+        out.append(np.stack((low, d, p), axis=1))
+    return np.concatenate(out) if out else np.empty((0, 3), np.int64)
+
+
 def tiles(doc: np.ndarray, item: np.ndarray, least: int = SEED) -> list[tuple[int, int, int]]:
-    """Greedy string tiling of two arrays of words: (place in doc, place in item, length) of the tiles."""
+    """Greedy string tiling of two arrays of words: (place in doc, place in item, length) of the tiles.
+
+    Always the longest run whose words are all free is marked, of equal ones the first in the document, then in the item.
+    What is left of a run that a tile has cut is put back if it is long enough.
+    """
     free_d, free_i = np.ones(len(doc), bool), np.ones(len(item), bool)
+    queue = [(-n, d, p) for n, d, p in common_runs(doc, item, least).tolist()]
+    heapify(queue)
     found: list[tuple[int, int, int]] = []
-    length = min(len(doc), len(item))
-    at = max(least, min(length, 4 * least))
-    while True:
-        matches: list[tuple[int, int, int]] = []
-        longest = 0
-        whole_i = np.flatnonzero(np.convolve(free_i, np.ones(at, int), "valid") == at) if len(item) >= at else []
-        if len(whole_i) and len(doc) >= at:
-            places: dict[int, list[int]] = {}
-            hashes = gram_hashes(item, at)
-            for p in whole_i:
-                places.setdefault(int(hashes[p]), []).append(int(p))
-            own = gram_hashes(doc, at)
-            live = np.flatnonzero(np.isin(own, np.fromiter(places, np.uint64, len(places))))
-            taken = np.concatenate(([0], np.cumsum(~free_d)))
-            live = live[taken[live + at] == taken[live]]
-            for d in live:
-                for p in places[int(own[d])]:
-                    n = 0
-                    while d + n < len(doc) and p + n < len(item) and doc[d + n] == item[p + n] and free_d[d + n] and free_i[p + n]:
-                        n += 1
-                    if n >= at:
-                        matches.append((n, int(d), p))
-                        longest = max(longest, n)
-        if longest > 2 * at:
-            at = longest
+    left = len(item)
+    while queue and left >= least:
+        n, d, p = heappop(queue)
+        n = -n
+        free = free_d[d:d + n] & free_i[p:p + n]
+        if free.all():
+            free = doc[d:d + n] == item[p:p + n]  # fingerprints that met by chance
+        if free.all():
+            free_d[d:d + n] = free_i[p:p + n] = False
+            found.append((d, p, n))
+            left -= n
             continue
-        for n, d, p in sorted(matches, key=lambda m: (-m[0], m[1], m[2])):
-            if free_d[d:d + n].all() and free_i[p:p + n].all():
-                free_d[d:d + n] = free_i[p:p + n] = False
-                found.append((d, p, n))
-        if at == least:
-            return found
-        at = at // 2 if at > 2 * least else (at - 1 if at > least else least)
-        at = max(at, least)
+        edge = np.flatnonzero(np.diff(np.concatenate(([False], free, [False])).view(np.int8)))
+        for x, y in zip(edge[::2].tolist(), edge[1::2].tolist()):
+            if y - x >= least:
+                heappush(queue, (x - y, d + x, p + x))
+    return found
 
 
 def matches(texts: list[str | None], items: Items, coverage: float = COVERAGE, seed: int = SEED) -> list[tuple]:
@@ -116,24 +148,29 @@ def matches(texts: list[str | None], items: Items, coverage: float = COVERAGE, s
         words, row, *_ = word_hashes(raw[a:b])
         g = gram_hashes(words, seed)
         at = np.searchsorted(items.seeds, g)
-        hit = np.flatnonzero((items.seeds[np.minimum(at, len(items.seeds) - 1)] == g) & (row[:len(g)] == row[seed - 1:]))
+        hit = np.flatnonzero((at < len(items.seeds)) & (items.seeds[np.minimum(at, len(items.seeds) - 1)] == g)
+                             & (row[:len(g)] == row[seed - 1:]))
         if not len(hit):
             continue
-        lo, hi = np.searchsorted(items.seeds, g[hit]), np.searchsorted(items.seeds, g[hit], side="right")
-        reach: dict[tuple[int, int], set[int]] = {}
-        for h, x, y in zip(hit, lo, hi):
-            for s in range(x, y):
-                p = int(items.place[s])
-                reach.setdefault((int(row[h]), int(items.item[s])), set()).update(range(p, p + seed))
+        # each seed once a text, however often the text has it
+        kinds = np.unique(np.stack((row[hit], at[hit]), axis=1), axis=0)
+        n = np.searchsorted(items.seeds, items.seeds[kinds[:, 1]], side="right") - kinds[:, 1]
+        place = np.repeat(kinds[:, 1] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        found = np.stack((np.repeat(kinds[:, 0], n), items.item[place], items.place[place]), axis=1)
+        found = found[np.lexsort((found[:, 2], found[:, 1], found[:, 0]))]
+        new = np.concatenate(([True], (found[1:, :2] != found[:-1, :2]).any(1)))
+        # words of the item that its shared seeds cover: tiles lie within them
+        gain = np.full(len(found), seed)
+        gain[1:] = np.where(new[1:], seed, np.minimum(seed, found[1:, 2] - found[:-1, 2]))
+        begin = np.flatnonzero(new)
         starts = np.searchsorted(row, np.arange(b - a + 1))
-        for (r, i), covered in sorted(reach.items()):
-            n = len(items.words[i])
-            # tiles lie within what the shared seeds cover
-            if len(covered) >= coverage * n:
-                found = tiles(words[starts[r]:starts[r + 1]], items.words[i], seed)
-                total = sum(t[2] for t in found)
-                if total >= coverage * n:
-                    out.append((a + r, items.ids[i], n, total, len(found), max(t[2] for t in found)))
+        for (r, i, _), covered in zip(found[begin].tolist(), np.add.reduceat(gain, begin).tolist()):
+            n_words = len(items.words[i])
+            if covered >= coverage * n_words:
+                got = tiles(words[starts[r]:starts[r + 1]], items.words[i], seed)
+                total = sum(t[2] for t in got)
+                if total >= coverage * n_words:
+                    out.append((a + r, items.ids[i], n_words, total, len(got), max(t[2] for t in got)))
     return out
 
 

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -329,6 +330,29 @@ def test_tiling_covers_what_brute_force_covers():
         assert len(used) == len(set(used)) == brute_tiles(a, b, decontaminate.SEED)
 
 
+def test_tiling_of_small_alphabets_and_hash_steps():
+    r = random.Random(18)
+    for k in range(150):
+        a, b = ([r.randrange(1, r.choice([2, 3, 4])) for _ in range(r.randint(0, 22))] for _ in range(2))
+        x, y = np.array(a, np.uint64), np.array(b, np.uint64)
+        got = decontaminate.tiles(x, y)
+        assert all(a[d:d + n] == b[p:p + n] and n >= decontaminate.SEED for d, p, n in got)
+        for side, size in ((0, len(a)), (1, len(b))):
+            used = [q for t in got for q in range(t[side], t[side] + t[2])]
+            assert len(used) == len(set(used)) and all(q < size for q in used)
+        assert sum(t[2] for t in got) == brute_tiles(a, b, decontaminate.SEED)
+        runs = decontaminate.common_runs(x, y, decontaminate.SEED)
+        assert sorted(map(tuple, decontaminate.common_runs(x, y, decontaminate.SEED, step=7).tolist())) == sorted(map(tuple, runs.tolist()))
+
+
+def test_repetitive_texts_are_tiled_in_little_time():
+    items = decontaminate.index([1, 2], ["same " * 200, " ".join(f"w{i % 7}" for i in range(300))])
+    begin = time.process_time()
+    got = decontaminate.matches(["same " * 20_000, " ".join(f"w{i % 7}" for i in range(20_000)), "same " * 3 + "other " * 50], items)
+    assert time.process_time() - begin < 5
+    assert [(g[0], g[1], g[3], g[4]) for g in got] == [(0, 1, 200, 1), (1, 2, 300, 1)]
+
+
 def test_contaminated_documents(spark):
     v = vocabulary(4000, 9)
     r = random.Random(9)
