@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from ...functions.ordered import shared_dir
+from ...operators import ledger as L
 from ...operators import screen as S
 from .base import Catalog, corr_sql, r, rounded, study, study_sql
 
@@ -79,7 +81,62 @@ def ortho_symmetric(spark, d):
     return rounded(s, 6)
 
 
-@add("screen_admission_log")
+_NAMES = ("drive", "log_volume", "rev_5", "amount", "turnover")
+_LEDGER_PAIRS = " UNION ALL ".join(f"SELECT ts, '{a}' AS c, '{b}' AS p, {a} AS x, {b} AS y FROM st WHERE {a} IS NOT NULL AND {b} IS NOT NULL"
+                                   for i, a in enumerate(_NAMES) for b in _NAMES[:i])
+_LEDGER = f"""WITH RECURSIVE {study_sql()},
+pp AS ({_LEDGER_PAIRS}),
+pk AS (SELECT ts, c, p, rank() OVER (PARTITION BY c, p, ts ORDER BY x) + (count(*) OVER (PARTITION BY c, p, ts, x) - 1) / 2.0 AS x,
+  rank() OVER (PARTITION BY c, p, ts ORDER BY y) + (count(*) OVER (PARTITION BY c, p, ts, y) - 1) / 2.0 AS y FROM pp),
+pc AS (SELECT c, p, ts, CASE WHEN count(*) >= 20 THEN {corr_sql('x', 'y')} END AS rho FROM pk GROUP BY c, p, ts),
+pr AS (SELECT c, p, avg(rho) AS rho, count(rho) AS n_ts FROM pc GROUP BY c, p)"""
+
+
+# the fold over the candidates, in their order: what is not rejected joins the pool that the next one meets
+def _fold(pairs):
+    return f"""nm AS (SELECT * FROM (VALUES {', '.join(f"({i + 1}, '{n}')" for i, n in enumerate(_NAMES))}) v(step, factor)),
+fd AS (SELECT CAST(0 AS BIGINT) AS step, '' AS factor, '' AS verdict, '' AS tested_against, CAST(0 AS DOUBLE) AS m, CAST(NULL AS VARCHAR) AS w, CAST([] AS VARCHAR[]) AS pool
+UNION ALL SELECT step, factor, verdict, array_to_string(pool, ', '), m, w, CASE WHEN verdict = 'reject' THEN pool ELSE list_append(pool, factor) END FROM (
+  SELECT CAST(n.step AS BIGINT) AS step, n.factor, f.pool, coalesce(x.m, 0) AS m, x.w, CASE WHEN len(f.pool) = 0 THEN 'admit' WHEN x.m IS NULL THEN 'reject'
+    WHEN x.m >= 0.95 THEN 'reject' WHEN x.m >= 0.2 THEN 'orthogonalize' ELSE 'admit' END AS verdict
+  FROM fd f JOIN nm n ON n.step = f.step + 1 LEFT JOIN LATERAL (
+    SELECT max(abs(rho)) AS m, arg_max(p, abs(rho)) AS w FROM {pairs} WHERE c = n.factor AND list_contains(f.pool, p) AND rho IS NOT NULL) x ON true))"""
+
+
+def _ledger(spark, d):
+    if (key := (spark.sparkContext.applicationId, d)) not in _LEDGERS:
+        ledger = L.FactorLedger(spark, shared_dir(spark, "ledger"), threshold=0.2)
+        for name in _NAMES:  # each on the panel as it is
+            ledger.propose(study(spark, d), name)
+        _LEDGERS[key] = ledger
+    return _LEDGERS[key]
+
+
+_LEDGERS: dict[tuple, L.FactorLedger] = {}
+
+
+@add("screen_ledger_log", f"""{_LEDGER}, {_fold('pr')}
+SELECT step, factor, verdict, tested_against, {r('m', 'max_abs_corr', 6)}, w AS most_correlated, verdict = 'orthogonalize' AS orthogonalized FROM fd WHERE step > 0""")
+def ledger_log(spark, d):
+    log = _ledger(spark, d).log()
+    return rounded(log.select("step", "factor", "verdict", "tested_against", "max_abs_corr", "most_correlated", "orthogonalized"), 6)
+
+
+@add("screen_ledger_pairs", f"""{_LEDGER} SELECT c AS f1, p AS f2, {r('rho', 'rho')}, n_ts FROM pr WHERE p <> 'none'""")
+def ledger_pairs(spark, d):
+    return rounded(_ledger(spark, d).correlation())
+
+
+# all candidates are measured on the names that have all of them
+@add("screen_admission_log", f"""{_LEDGER.split('pp AS')[0]}
+pp AS ({_LEDGER_PAIRS.replace('FROM st', 'FROM (SELECT * FROM st WHERE ' + ' AND '.join(f'{n} IS NOT NULL' for n in _NAMES) + ')')}),
+pk AS{_LEDGER.split('pk AS')[1]}, {_fold('pr')},
+sm AS (SELECT min(ts) AS sample_start, max(ts) AS sample_end, count(DISTINCT ts) AS n_periods, count(DISTINCT symbol) AS n_names, count(*) AS n_rows FROM st)
+SELECT factor, verdict, tested_against, {r('m', 'max_abs_corr')}, w AS most_correlated, verdict = 'orthogonalize' AS orthogonalized,
+  CASE WHEN tested_against = '' THEN 'pool is empty' WHEN verdict = 'admit' THEN 'independent enough' WHEN verdict = 'orthogonalize' THEN 'overlaps ' || w
+    WHEN w IS NULL THEN 'no timestamp had enough overlapping names' ELSE 'duplicate of ' || w END AS reason, n_periods, n_names, sample_start, sample_end,
+  sha256('sample-v1' || chr(31) || strftime(sample_start, '%Y-%m-%d %H:%M:%S') || chr(31) || strftime(sample_end, '%Y-%m-%d %H:%M:%S') || chr(31) || n_names || chr(31) || n_rows) AS sample_digest
+FROM fd, sm WHERE step > 0""")
 def admission(spark, d):
     pool = S.FactorPool(threshold=0.2)
     pool.propose_all(study(spark, d), ["drive", "log_volume", "rev_5", "amount", "turnover"])
