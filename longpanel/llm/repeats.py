@@ -181,7 +181,7 @@ def stretches(docs: DataFrame, unit: Unit) -> DataFrame:
     out = t.mapInPandas(emit, schema)
     if shared is None:
         out = out.join(wanted.hint("merge"), "h")
-    return stage(out, "stretches")
+    return stage(out, "stretches", "zstd")
 
 
 def _stretch_hash(c: Cut, x: np.ndarray, y: np.ndarray, lo: np.ndarray, n: np.ndarray, unit: Unit) -> np.ndarray:
@@ -204,7 +204,7 @@ def spans(docs: DataFrame, unit: Unit, kernel: Kernel, keep_first: bool) -> Data
     """
     t = stretches(docs, unit)
     u = stage(t.groupBy("h", "s").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("key", "row", "lo")).alias("first"),
-                                      F.max("n").alias("n"), F.max("body").alias("body")), "unlike")
+                                      F.max("n").alias("n"), F.max("body").alias("body")), "unlike", "zstd")
     sizes = u.groupBy("h").agg(F.count(F.lit(1)).alias("size"))
     many = stage(sizes.where("size > 1"), "compared")
     none, every = F.array().cast("array<int>"), F.array(F.lit(0), F.col("n") - 1)

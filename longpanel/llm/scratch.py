@@ -24,10 +24,10 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back; lineage ends there."""
+def stage(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it back; lineage ends there. Tables of texts may name a denser codec."""
     path = folder(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write if codec is None else df.write.option("compression", codec)).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -28,8 +28,6 @@ from .joins import keys_side
 from .rows import with_row
 from .scratch import stage
 
-#: Slots of an order in :func:`counts`, the model of fixed size.
-SLOTS = 1 << 16
 ORDER = 4
 SYMBOLS = 64.0
 LEAN = 2.0
@@ -79,72 +77,11 @@ def _folded(url: Column) -> Column:
     return F.concat(F.lit(PAD), F.regexp_replace(t, r"[^\x21-\x7E]", "~"))
 
 
-def _slot(order: int, gram: Column) -> Column:
-    return F.pmod(F.xxhash64(F.lit(order), gram), F.lit(SLOTS))
-
-
-def _gram(folded: Column, i: Column, k: int) -> Column:
-    """Slot of the character at ``i`` after its ``k`` characters of context."""
-    return _slot(k, F.substring(folded, i - k, F.lit(k + 1)))
-
-
-def _context(folded: Column, i: Column, k: int) -> Column:
-    return _slot(-1 - k, F.substring(folded, i - k, F.lit(k)))
-
-
-#: Tables of the model: of characters in context, and of contexts, by order.
-TABLES = [(f"{kind}{k}", k, fn) for kind, fn in (("g", _gram), ("c", _context)) for k in range(ORDER + 1)]
-
-
 def _characters(t: DataFrame) -> DataFrame:
     """A row for each character of ``_u``, its place in ``_i``; rows without characters give none."""
     return t.where(F.length("_u") > ORDER).withColumn("_i", F.explode(F.sequence(F.lit(ORDER + 1), F.length("_u"))))
 
 
-def counts(labelled: DataFrame) -> DataFrame:
-    """One row, an array of ``SLOTS`` counts for each table: accepted in the upper, rejected in the lower 32 bits.
-
-    ``labelled`` has ``url`` and ``accepted``. Counts beyond 31 bits stay at the largest 31-bit number.
-    """
-    spark = labelled.sparkSession
-    chars = _characters(labelled.withColumn("_u", _folded(F.col("url"))))
-    slots = F.array(*[n * SLOTS + fn(F.col("_u"), F.col("_i"), k) for n, (_, k, fn) in enumerate(TABLES)])
-    found = (chars.select(F.explode(slots).alias("slot"), "accepted")
-             .groupBy("slot").agg(F.count_if("accepted").alias("a"), F.count_if(~F.col("accepted")).alias("r")))
-    every = spark.range(len(TABLES) * SLOTS).select(F.col("id").alias("slot"))
-    top = F.lit((1 << 31) - 1)
-    both = F.shiftleft(F.least(F.coalesce("a", F.lit(0)), top).cast("long"), 32) + F.least(F.coalesce("r", F.lit(0)), top)
-    rows = every.join(found, "slot", "left").select("slot", both.alias("n"), F.floor(F.col("slot") / SLOTS).alias("k"))
-    one = rows.groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "n"))), lambda x: x["n"]).alias("n"))
-    return one.agg(*[F.max(F.when(F.col("k") == n, F.col("n"))).alias(name) for n, (name, _, _) in enumerate(TABLES)])
-
-
-def scored(t: DataFrame, model: DataFrame) -> DataFrame:
-    """``t`` with ``score``, the length-normalised log-likelihood difference of ``url``; 0 without characters.
-
-    The characters of a URL are rows of one task only: their sum is complete before the exchange, which moves a row a
-    URL. ``model`` is read as scalar subqueries of bounded size.
-    """
-    keys = t.columns
-    t = t.withColumn("_u", _folded(F.col("url"))).withColumn("_row", F.monotonically_increasing_id())
-    c = _characters(t).withColumn("_a0", F.lit(1.0 / SYMBOLS)).withColumn("_r0", F.lit(1.0 / SYMBOLS))
-    for k in range(ORDER + 1):
-        for name, order, fn in TABLES:
-            if order == k:
-                c = c.withColumn(f"_{name[0]}", F.element_at(model.select(name).scalar(), (fn(F.col("_u"), F.col("_i"), k) + 1).cast("int")))
-        for side, part in (("a", lambda x: F.shiftright(x, 32)), ("r", lambda x: x.bitwiseAND(0xFFFFFFFF))):
-            n, m = part(F.col("_g")), part(F.col("_c"))
-            # two slots that collide may count a character more often than its context
-            c = c.withColumn(f"_{side}{k + 1}", (F.least(n, m) + LEAN * F.col(f"_{side}{k}")) / (m + LEAN))
-    gain = F.log(f"_a{ORDER + 1}") - F.log(f"_r{ORDER + 1}")
-    some = c.groupBy("_row", *keys).agg((F.sum(gain) / F.count(F.lit(1))).alias("score"))
-    none = t.where(F.length("_u") <= ORDER).select("_row", *keys, F.lit(0.0).alias("score"))
-    return some.unionByName(none).drop("_row")
-
-
-# ------------------------------------------------------------------ exact counts, which ``judge`` uses
-
-
 def _runs(t: DataFrame) -> DataFrame:
     """``_characters`` with ``gram``, a character and the ``ORDER`` before it."""
     return _characters(t).withColumn("gram", F.substring(F.col("_u"), F.col("_i") - ORDER, F.lit(ORDER + 1)))

@@ -181,23 +181,6 @@ def test_url_rules_and_model(spark, sf_dir):
     assert score[None] == score[""] == 0.0
 
 
-def test_url_score_is_a_likelihood_ratio(spark):
-    """The score of a URL equals the ratio computed character by character from the same counts."""
-    seen = spark.createDataFrame([("ab/ab", True), ("ab/ac", True), ("zz/zz", False)], "url string, accepted boolean")
-    model = url_filter.counts(seen).collect()[0]
-    slot = {k: spark.sql("SELECT 1").select(*[fn(F.lit(url_filter.PAD + "ab/"), F.lit(url_filter.ORDER + 3), k).alias(name)
-            for name, k, fn in url_filter.TABLES]).collect()[0] for k in [0]}[0]
-    a = r = 1 / url_filter.SYMBOLS
-    for k in range(url_filter.ORDER + 1):
-        g, c = model[f"g{k}"][slot[f"g{k}"]], model[f"c{k}"][slot[f"c{k}"]]
-        a = (min(g >> 32, c >> 32) + url_filter.LEAN * a) / ((c >> 32) + url_filter.LEAN)
-        m = 0xFFFFFFFF
-        r = (min(g & m, c & m) + url_filter.LEAN * r) / ((c & m) + url_filter.LEAN)
-    held = spark.createDataFrame([model], spark.createDataFrame([model]).schema)
-    one = lambda u: url_filter.scored(spark.createDataFrame([(u,)], "url string"), held).collect()[0].score * len(u)
-    assert one("ab/") - one("ab") == pytest.approx(np.log(a) - np.log(r), rel=1e-6)
-
-
 @pytest.mark.parametrize("rows", [[], [(1, None)], [(1, ""), (1, "")]])
 def test_url_odd_input(spark, rows):
     got = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()
