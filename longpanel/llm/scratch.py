@@ -9,6 +9,10 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Staged tables that hold pieces of texts: written denser.
+TEXTS = ("stretches", "unlike")
+
+
 @cache
 def _local_root() -> str:
     return tempfile.mkdtemp(prefix="spark-")
@@ -24,10 +28,10 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
-    """Write a table to the shared folder and read it back; lineage ends there. Tables of texts may name a denser codec."""
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back; lineage ends there."""
     path = folder(df.sparkSession, name)
-    (df.write if codec is None else df.write.option("compression", codec)).parquet(path)
+    (df.write.option("compression", "zstd") if name in TEXTS else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
