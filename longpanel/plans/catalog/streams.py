@@ -104,14 +104,13 @@ def replayed(spark, d):
 
 
 @add("stream_book", f"""{_BOOK},
-o AS (SELECT bk.* FROM bk JOIN fl USING (symbol, slot)),
-z AS (SELECT symbol, max(slot) AS last FROM fl GROUP BY symbol)
+o AS (SELECT bk.* FROM bk JOIN fl USING (symbol, slot))
 SELECT slot, symbol, exchange, {r('best_bid', 'best_bid')}, {r('best_ask', 'best_ask')}, bid_qty, ask_qty, bid_depth5, ask_depth5, n_bid_orders, n_ask_orders, bid_levels, ask_levels,
-  slot_trades, slot_qty, slot_buy_qty, slot_sell_qty, unresolved FROM o JOIN z USING (symbol) WHERE slot < last""")
+  slot_trades, slot_qty, slot_buy_qty, slot_sell_qty, unresolved FROM o""")
 def book(spark, d):
     # references are resolved in batch; the events are then replayed as a stream
     root = shared_dir(spark, "book")
     events = order_events(spark, d)
     events.write.mode("overwrite").parquet(f"{root}/events")
-    s = J.stream_table(spark, f"{root}/events", events)
+    s = J.with_heartbeat(J.stream_table(spark, f"{root}/events", events), "4102444800000000000", time_col="arrival_ts")
     return rounded(_rocksdb(spark, lambda: J.run_available(J.book_stream(s, HOUR))))
