@@ -122,7 +122,8 @@ def ledger_log(spark, d):
     return rounded(log.select("step", "factor", "verdict", "tested_against", "max_abs_corr", "most_correlated", "orthogonalized"), 6)
 
 
-@add("screen_ledger_pairs", f"""{_LEDGER} SELECT c AS f1, p AS f2, {r('rho', 'rho')}, n_ts FROM pr WHERE p <> 'none'""")
+@add("screen_ledger_pairs", f"""{_LEDGER}, {_fold('pr')} SELECT c AS f1, p AS f2, {r('rho', 'rho')}, n_ts FROM pr
+JOIN fd ON fd.factor = pr.c AND list_contains(string_split(fd.tested_against, ', '), pr.p)""")
 def ledger_pairs(spark, d):
     return rounded(_ledger(spark, d).correlation())
 
