@@ -395,7 +395,9 @@ UNION ALL SELECT channel_id, seq_id, arrival_ts, symbol, exchange, record_type,
 def key_events(spark, d):
     o, t = split_streams(spark, d)
     s = F.col("seq_id")
-    t = t.withColumns({"buy_seq_id": F.when(s % 3 > 0, s - 1).otherwise(0), "sell_seq_id": s - 2})
+    # a cancel carries the reference of its own side only, also when that is order 0
+    other = (F.col("record_type") == "cancel") & (s % 3 > 0)
+    t = t.withColumns({"buy_seq_id": F.when(s % 3 > 0, s - 1).otherwise(0), "sell_seq_id": F.when(other, 0).otherwise(s - 2)})
     return rounded(BK.order_key_events(o.withColumn("order_id", s + 1000000), t))
 
 
