@@ -90,10 +90,11 @@ def hole_counts(orders: DataFrame, trades: DataFrame, *, ts: str = "exchange_ts"
     """Missing numbers per channel of each stream and of both, in their common time window."""
     o = orders.select(CHANNEL, SEQ, F.col(ts).alias("_t"), F.lit("o").alias("_s"))
     t = trades.select(CHANNEL, SEQ, F.col(ts).alias("_t"), F.lit("t").alias("_s"))
-    both = o.unionByName(t).where((F.col(SEQ) != 0) & (F.col("_t") != 0))
+    both = o.unionByName(t).where(F.col("_t") != 0)
     span = both.groupBy("_s").agg(F.min("_t").alias("lo"), F.max("_t").alias("hi")).agg(
         F.max("lo").alias("_lo"), F.min("hi").alias("_hi")).first()
-    both = both.where(F.col("_t").between(span["_lo"], span["_hi"]))
+    # a record without a number is no hole's end, but the window is the streams', which it belongs to
+    both = both.where((F.col(SEQ) != 0) & F.col("_t").between(span["_lo"], span["_hi"]))
     # distinct numbers first: partial aggregation drops repeats before the shuffle
     d = both.groupBy(CHANNEL, SEQ).agg(
         F.max((F.col("_s") == "o").cast("int")).alias("_o"),

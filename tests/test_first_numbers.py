@@ -33,3 +33,9 @@ def both(spark, folder, name):
 def test_a_cancel_of_order_zero_has_key_zero(spark, first_events):
     got, want = both(spark, first_events, "book_order_key_events")
     assert got == want and [r["key"] for r in got if r["seq_id"] == 1] == [0]
+
+
+def test_the_window_of_holes_counts_records_without_a_number(spark, first_events):
+    # trades 1 and 2 come before any order with a number: they are in the window only because of order 0
+    got, want = both(spark, first_events, "tick_hole_counts")
+    assert got == want and [r["trade_n"] for r in got] == [2]
