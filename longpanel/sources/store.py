@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import SYMBOL, TS, require_columns
+from ..functions.ordered import durable
 
 MANIFEST = "date string, commit string, n_rows long, digest long, schema string"
 
@@ -110,7 +111,8 @@ class Store:
         df.repartition("date", salt).sortWithinPartitions("date", *sort).write.option("compression", "zstd").partitionBy("date").parquet(folder)
         # without metadata: bounds that plans are made from hold for a frame, not for a table that is written to
         fields = T.StructType([T.StructField(f.name, f.dataType) for f in df.schema.fields if f.name != "date"])
-        written = self._measure(self._files(fields, commit), fields)
+        # one row a partition, read twice below: staged, as the files behind it would be read for each
+        written = durable(self._measure(self._files(fields, commit), fields))
         state = written
         if base is not None and not replace:
             state = self.manifest(base).join(written.select("date"), "date", "left_anti").unionByName(written)
