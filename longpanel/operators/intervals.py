@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import require_columns
-from ..functions.ordered import durable, with_running, with_trailing
+from ..functions.ordered import annotate, durable, with_running, with_trailing
 
 #: Points that a leaf should hold, and most leaves.
 LEAF_POINTS, MAX_LEAVES = 20_000, 2048
@@ -137,6 +137,28 @@ def merged(intervals: DataFrame, start: str, end: str, by: Sequence[str] = ()) -
     return out.select(*by, start, F.when(~F.col("_iv_open"), F.col("_iv_end")).alias(end))
 
 
+def open_counts(points: DataFrame, intervals: DataFrame, point: str, start: str, end: str, keys: Sequence[str] = ()) -> DataFrame:
+    """``point, n_open, n_keys``: how many intervals, and how many different ``keys`` of them, hold each different point.
+
+    No pair is written: a count rises at a start and falls at an end, and the intervals of a key are merged first to count
+    keys. Points that no interval holds do not come out; an open end is NULL.
+    """
+    sound = intervals.where(F.col(start).isNotNull() & (F.col(end).isNull() | (F.col(start) < F.col(end))))
+    ends = {"n_open": sound, "n_keys": merged(sound.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys], F.lit(True))),
+                                              start, end, keys)}
+    parts = [points.select(F.col(point).alias("_iv_at")).where(F.col("_iv_at").isNotNull()).distinct().select(
+        "_iv_at", F.lit(True).alias("_iv_is"), F.lit(0).cast("long").alias("n_open"), F.lit(0).cast("long").alias("n_keys"))]
+    for name, t in ends.items():
+        for side, sign in ((start, 1), (end, -1)):
+            n = t.where(F.col(side).isNotNull()).groupBy(F.col(side).alias("_iv_at")).agg((sign * F.count(F.lit(1))).alias("_iv_d"))
+            parts.append(n.select("_iv_at", F.lit(False), *[F.col("_iv_d") if c == name else F.lit(0).cast("long") for c in ends]))
+    steps = durable(reduce(DataFrame.unionAll, parts).groupBy("_iv_at").agg(
+        F.max("_iv_is").alias("_iv_is"), *[F.sum(c).alias(f"_iv_{c}") for c in ends]).withColumn("_iv_all", F.lit(0)))
+    steps = annotate(steps, {"_iv_all": (steps.count(), 1)})
+    out = with_running(steps, ["_iv_all"], ["_iv_at"], {c: ("sum", F.col(f"_iv_{c}")) for c in ends})
+    return out.where(F.col("_iv_is") & (F.col("n_open") > 0)).select(F.col("_iv_at").alias(point), *ends)
+
+
 def covered(points: DataFrame, intervals: DataFrame, point: str, start: str, end: str, by: Sequence[str] = (), **options) -> DataFrame:
     """The rows of ``points`` that at least one interval of their key holds, each once."""
     spans = merged(intervals, start, end, by).withColumnsRenamed({start: "_iv_start", end: "_iv_stop"})

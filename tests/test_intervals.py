@@ -119,3 +119,21 @@ def test_members_over_dates_and_many_spells(spark):
     inside = {(d, s) for d, c, s in want if c == "A"}
     got = U.universe(panel, "A", membership=m).collect()
     assert sorted((x.ts.date(), x.symbol) for x in got) == sorted(x for x in inside if x[1] in ("X", "S1"))
+
+
+def test_counts_of_open_intervals_write_no_pairs(spark, hot, monkeypatch):
+    import longpanel.operators.intervals as I
+
+    monkeypatch.setattr(I, "interval_join", None)
+    points = spark.sql("SELECT CASE WHEN id < 40 THEN id END AS x FROM range(45) UNION ALL SELECT 7")
+    spells = spark.range(300).selectExpr("CASE WHEN id % 11 > 0 THEN id % 7 END AS k", "id % 31 AS a", "CASE WHEN id % 13 > 0 THEN id % 31 + id % 5 - 1 END AS b")
+    spells = spells.union(spark.sql("SELECT 1, CAST(NULL AS long), 5"))
+    t = [r for r in spells.collect() if r.a is not None]
+    want = []
+    for x in range(40):
+        held = [r for r in t if r.a <= x and (r.b is None or x < r.b)]
+        if held:
+            want.append((x, len(held), len({r.k for r in held} - {None})))
+    assert sorted(tuple(r) for r in I.open_counts(points, spells, "x", "a", "b", ["k"]).collect()) == want
+    with hot:
+        assert sorted(tuple(r) for r in I.open_counts(points, spells, "x", "a", "b", ["k"]).collect()) == want
