@@ -1,15 +1,17 @@
 """Main text of web pages by wrappers inferred for each host.
 
 Pages of a host are token streams of tags and texts. A wrapper is a union-free regular expression over such tokens. It
-starts as one page's stream, repeats folded into groups, and is aligned with one sampled page after another: where texts
+starts as one page's stream, repeats folded into groups, and is aligned with one page after another: where texts
 differ stands a text slot; a run of tokens that one side lacks becomes an optional group; a run that repeats its
 neighbour joins that repeated group. The wrapper then says which elements of the host hold main text: the first of its
 article-like elements that has slots, else its body; without the elements that hold menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles or reader comments. Every page of the host is read through this wrapper.
 
-At most ``SAMPLE`` pages of a host are sampled, one of lowest hash for each residue of the hash; every page is extracted
-from its whole html. A host may hold any share of the rows: sampling is a map-side aggregation, and wrappers travel to
-the pages, as a broadcast while their measured size is at most ``BROADCAST_BYTES``, else by a salted join.
+All pages of a host take part, a repeated page as often as it stands there, and every page is extracted from its whole
+html. A host may hold any share of the rows: pages are folded where they are, those of a host with the same folded stream
+are one shape whose texts and counts are added there first, and only shapes are shuffled. A host with more than ``FAN``
+shapes has them aligned in blocks, then the wrappers of the blocks. Wrappers travel to the pages, as a broadcast while
+their measured size is at most ``BROADCAST_BYTES``, else by a salted join.
 
 NULL html is empty and gives empty text. A NULL url, or one without ``://``, has an empty host, whose pages share a
 wrapper. Broken markup is read as far as it goes: an unclosed element ends with the one around it. Repeated pages are
@@ -30,10 +32,13 @@ from pyspark.sql import functions as F
 
 from .scratch import stage
 
-SAMPLE = 8
+#: Most shapes, or wrappers, of a host that a task aligns (about), and characters of shapes that one holds before it passes
+#: them on.
+FAN = 32
+HELD = 8_000_000
 BROADCAST_BYTES = 16_000_000
 SALTS = 16
-#: Longest repeated group, in tokens, and most tokens of a page that are aligned (the rest adds no new structure).
+#: Longest repeated group, in tokens.
 GROUP = 12
 
 # Fixed values of HTML: elements by what they do.
@@ -142,6 +147,8 @@ def folded(page: str) -> list[Node]:
         out.append(Node(symbol, path, text, chars=len(text)))
         # does the stream end in a square? then its second half joins the first
         for g in range(1, min(GROUP, len(out) // 2) + 1):
+            if out[-1 - g].symbol != symbol:
+                continue
             if all(out[-g + i].symbol == out[-2 * g + i].symbol for i in range(g)) and out[-g].symbol[0] not in "/#":
                 for i in range(g):
                     out[-2 * g + i].also(out[-g + i])
@@ -152,14 +159,18 @@ def folded(page: str) -> list[Node]:
 
 
 def aligned(wrapper: list[Node], page: list[Node]) -> list[Node]:
-    """The wrapper widened so that it also generates ``page``."""
+    """The wrapper widened so that it also generates ``page``, which may be a wrapper too."""
     group = max((n.optional for n in wrapper), default=0)
+    for n in page:
+        n.optional += group if n.optional else 0
+    group = max((n.optional for n in page), default=0) or group
     out: list[Node] = []
     a, b = [n.symbol for n in wrapper], [n.symbol for n in page]
     for op, i, j, k, m in SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
         if op == "equal":
             for x, y in zip(wrapper[i:j], page[k:m]):
                 x.also(y)
+                x.optional = x.optional or y.optional
                 out.append(x)
             continue
         for side, spare in ((wrapper[i:j], a[i:j]), (page[k:m], b[k:m])):
@@ -213,6 +224,11 @@ def infer(pages: list[str]) -> dict:
     for page in sorted(set(pages)):
         nodes = folded(page)
         wrapper = aligned(wrapper, nodes) if wrapper else nodes
+    return {"main": main_element(wrapper), "pattern": pattern(wrapper)}
+
+
+def main_element(wrapper: list[Node]) -> str:
+    """Signature of the element that holds the main text; empty for the body."""
     slots: dict[tuple[str, ...], int] = {}
     for n in wrapper:
         if n.symbol == "#" and not any(aside(s) for s in n.path):
@@ -231,7 +247,7 @@ def infer(pages: list[str]) -> dict:
         if best and (fits.__defaults__[0] in MAIN_TAGS or 2 * slots[best] >= max(slots.values())):
             break
         best = ()
-    return {"main": best[-1] if best else "", "pattern": pattern(wrapper)}
+    return best[-1] if best else ""
 
 
 def extract(page: str, main: str) -> str:
@@ -277,26 +293,87 @@ def host(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"(?s)\A.*?://([^/?#]*)", 1), F.lit("")))
 
 
-def wrappers(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """``host``, ``main``, ``pattern``: the wrapper of every host, from at most ``sample`` of its pages."""
-    h = F.xxhash64("page_id", "url")
-    t = pages.where(F.col("html").isNotNull()).select(host(F.col("url")).alias("host"), h.alias("h"), F.pmod(h, F.lit(sample)).alias("k"), "html")
-    cut = stage(t.groupBy("host", "k").agg(F.min("h").alias("h")), "wrapper-sample")
-    few = t.join(F.broadcast(cut) if cut.count() <= 200_000 else cut, ["host", "k", "h"])
-    # repeated rows share a hash: one of them is enough
-    few = few.groupBy("host", "k").agg(F.max("html").alias("html"))
+_SHAPES = "host string, shape string, texts array<string>, chars array<bigint>"
+
+
+def _packed(host: str, nodes: list[Node]) -> tuple:
+    shape = json.dumps([(n.symbol, n.path, n.optional, n.repeated) for n in nodes])
+    return host, shape, [n.text for n in nodes], [n.chars for n in nodes]
+
+
+def _nodes(frame: pd.DataFrame) -> list[list[Node]]:
+    """The shapes of a frame, in order of shape; rows of the same shape are added."""
+    out: list[list[Node]] = []
+    last = None
+    for shape, texts, chars in frame.sort_values("shape")[["shape", "texts", "chars"]].itertuples(index=False):
+        nodes = [Node(s, tuple(p), t, o, r, int(c)) for (s, p, o, r), t, c in zip(json.loads(shape), texts, chars)]
+        if shape == last:
+            for x, y in zip(out[-1], nodes):
+                x.also(y)
+        else:
+            out.append(nodes)
+        last = shape
+    return out
+
+
+def shapes(pages: DataFrame) -> DataFrame:
+    """``host, shape, texts, chars``: the folded stream of every page, those of a host that are alike added within a task."""
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, list[Node]] = {}
+        names, size = [c.split()[0] for c in _SHAPES.split(", ")], 0
+        for frame in frames:
+            for h, page in zip(frame["host"], frame["html"]):
+                nodes = folded(page)
+                key = h, tuple((n.symbol, n.path, n.repeated) for n in nodes)
+                if key in held:
+                    for x, y in zip(held[key], nodes):
+                        x.also(y)
+                else:
+                    held[key] = nodes
+                    size += len(page) + 1000
+                if size >= HELD:
+                    yield pd.DataFrame([_packed(h, n) for (h, _), n in held.items()], columns=names)
+                    held.clear()
+                    size = 0
+        if held:
+            yield pd.DataFrame([_packed(h, n) for (h, _), n in held.items()], columns=names)
+
+    t = pages.where(F.col("html").isNotNull()).select(host(F.col("url")).alias("host"), "html")
+    return t.mapInPandas(fold, _SHAPES)
+
+
+def wrappers(pages: DataFrame, fan: int = FAN) -> DataFrame:
+    """``host``, ``main``, ``pattern``: the wrapper of every host, from all of its pages."""
+
+    def widest(frame: pd.DataFrame) -> list[Node]:
+        wrapper, *rest = _nodes(frame)
+        for nodes in rest:
+            wrapper = aligned(wrapper, nodes)
+        return wrapper
+
+    def join(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([_packed(frame["host"].iloc[0], widest(frame))], columns=["host", "shape", "texts", "chars"])
 
     def learn(frame: pd.DataFrame) -> pd.DataFrame:
-        w = infer(list(frame["html"]))
-        return pd.DataFrame({"host": [frame["host"].iloc[0]], "main": [w["main"]], "pattern": [w["pattern"]]})
+        w = widest(frame)
+        return pd.DataFrame({"host": [frame["host"].iloc[0]], "main": [main_element(w)], "pattern": [pattern(w)]})
 
-    return few.groupBy("host").applyInPandas(learn, "host string, main string, pattern string")
+    # tasks hand on a row for each shape they met: alike ones are one row before shapes are counted and aligned
+    t = stage(shapes(pages).groupBy("host", "shape").applyInPandas(join, _SHAPES), "wrapper-shapes")
+    while True:
+        n = t.groupBy("host").agg(F.count(F.lit(1)).alias("_n"))
+        if (n.agg(F.max("_n")).first()[0] or 0) <= fan:
+            return t.groupBy("host").applyInPandas(learn, "host string, main string, pattern string")
+        block = F.pmod(F.xxhash64("shape"), F.ceil(F.col("_n") / fan)).alias("_k")
+        t = t.join(n, "host").select(*t.columns, block)
+        t = stage(t.groupBy("host", "_k").applyInPandas(join, _SHAPES), "wrapper-shapes")
 
 
-def main_text(pages: DataFrame, key: str = "page_id", sample: int = SAMPLE) -> DataFrame:
+def main_text(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """``key``, ``url``, ``text`` and ``n_chars`` of every page."""
     schema = f"{key} {pages.schema[key].dataType.simpleString()}, url string, text string, n_chars long"
-    known = stage(wrappers(pages.withColumnRenamed(key, "page_id") if key != "page_id" else pages, sample), "wrappers")
+    known = stage(wrappers(pages), "wrappers")
     t = pages.select(F.col(key), "url", "html", host(F.col("url")).alias("host"))
     size = known.agg(F.sum(F.length("host") + F.length("main") + 100)).first()[0] or 0
     if size <= BROADCAST_BYTES:
