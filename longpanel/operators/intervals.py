@@ -159,6 +159,49 @@ def open_counts(points: DataFrame, intervals: DataFrame, point: str, start: str,
     return out.where(F.col("_iv_is") & (F.col("n_open") > 0)).select(F.col("_iv_at").alias(point), *ends)
 
 
+def _exact(x: Column, kind: str) -> Column:
+    """A number that rises strictly where ``x`` does."""
+    if kind == "date":
+        return F.unix_date(x).cast("long")
+    if kind == "timestamp":
+        return F.unix_micros(x)
+    if kind == "timestamp_ntz":
+        seconds = (F.unix_date(F.to_date(x)).cast("long") * 24 + F.hour(x)) * 3600 + F.minute(x) * 60
+        return seconds * 1_000_000 + (F.date_part(F.lit("SECOND"), x) * 1_000_000).cast("long")
+    return x
+
+
+def open_intervals(points: DataFrame, intervals: DataFrame, point: str, start: str, end: str, by: Sequence[str], *,
+                   oldest: str = "oldest") -> DataFrame:
+    """The rows of ``points`` that intervals of their key hold, with ``n_open``, their number, and their earliest start.
+
+    No pair is written. The number rises at a start and falls at an end. The earliest start of the intervals that end after
+    a point is a running minimum from the last end back; where any of these holds the point, the earliest does.
+    """
+    kind = points.schema[point].dataType.simpleString()
+    if {intervals.schema[c].dataType.simpleString() for c in (start, end)} != {kind}:
+        raise ValueError(f"{point}, {start} and {end} differ in type")
+    keyed = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in by])
+    sound = intervals.where(keyed & F.col(start).isNotNull() & (F.col(end).isNull() | (F.col(start) < F.col(end))))
+    none = F.lit(None).cast(kind)
+    sides = sound.select(*by, F.explode(F.array(
+        F.struct(F.col(start).alias("at"), F.lit(1).alias("d"), none.alias("s")),
+        F.struct(F.col(end).alias("at"), F.when(F.col(end).isNull(), 0).otherwise(-1).alias("d"), F.col(start).alias("s")))).alias("_iv"))
+    changes = sides.groupBy(*by, F.col("_iv.at").alias("_iv_x")).agg(F.sum("_iv.d").alias("_iv_d"), F.min("_iv.s").alias("_iv_s"))
+    row = F.struct(*points.columns)
+    t = changes.select(*by, "_iv_x", F.lit(0).alias("_iv_is"), "_iv_d", "_iv_s", F.lit(None).cast(points.select(row).schema[0].dataType).alias("_iv_row"))
+    t = durable(t.unionAll(points.where(keyed & F.col(point).isNotNull()).select(
+        *by, F.col(point), F.lit(1), F.lit(0).cast("long"), none, row)))
+    most = t.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    at, old = _exact(F.col("_iv_x"), kind), _exact(F.col("_iv_s"), kind)
+    t = t.withColumns({"_iv_at": at, "_iv_back": -at, "_iv_last": 1 - F.col("_iv_is"), "_iv_old": F.when(old.isNotNull(), F.struct(-old, "_iv_s"))})
+    t = annotate(t, {k: (most, 0) for k in by})
+    t = with_running(t, by, ["_iv_at", "_iv_is"], {"n_open": ("sum", F.col("_iv_d"))})
+    # from the last end back; a point stands before the ends at its own place, which do not hold it, and after open ends
+    t = with_running(t, by, ["_iv_back", "_iv_last"], {"_iv_first": ("max", F.col("_iv_old"))})
+    return t.where((F.col("_iv_is") == 1) & (F.col("n_open") > 0)).select("_iv_row.*", "n_open", F.col("_iv_first._iv_s").alias(oldest))
+
+
 def covered(points: DataFrame, intervals: DataFrame, point: str, start: str, end: str, by: Sequence[str] = (), **options) -> DataFrame:
     """The rows of ``points`` that at least one interval of their key holds, each once."""
     spans = merged(intervals, start, end, by).withColumnsRenamed({start: "_iv_start", end: "_iv_stop"})
