@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ...functions.ordered import shared_dir
+from ...functions.ordered import durable, shared_dir
 from ...operators import ledger as L
 from ...operators import screen as S
 from .base import Catalog, corr_sql, r, rounded, study, study_sql
@@ -106,8 +106,10 @@ UNION ALL SELECT step, factor, verdict, array_to_string(pool, ', '), m, w, CASE
 def _ledger(spark, d):
     if (key := (spark.sparkContext.applicationId, d)) not in _LEDGERS:
         ledger = L.FactorLedger(spark, shared_dir(spark, "ledger"), threshold=0.2)
-        for name in _NAMES:  # each on the panel as it is
-            ledger.propose(study(spark, d), name)
+        # each on the panel as it is, which is written once and not derived again for every test and digest
+        panel = durable(study(spark, d).select("ts", "symbol", *_NAMES))
+        for name in _NAMES:
+            ledger.propose(panel, name)
         _LEDGERS[key] = ledger
     return _LEDGERS[key]
 

@@ -20,3 +20,14 @@ def scans(text, table="lineitem"):
 
 def test_adjust_as_of(spark, sf_dir):
     assert scans(plan(QUERIES["adjust_as_of"](spark, sf_dir))) == 0
+
+
+def test_screen_ledger(spark, sf_dir, monkeypatch):
+    from longpanel.operators import ledger
+    from longpanel.plans.catalog import screening
+
+    seen, propose = [], ledger.FactorLedger.propose
+    monkeypatch.setattr(ledger.FactorLedger, "propose", lambda s, df, *a, **k: (seen.append(plan(df)), propose(s, df, *a, **k))[1])
+    monkeypatch.setattr(screening, "_LEDGERS", {})
+    screening._ledger(spark, sf_dir)
+    assert len(seen) == 5 and not any(scans(t) or "Window" in t for t in seen)
