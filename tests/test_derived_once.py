@@ -31,3 +31,19 @@ def test_screen_ledger(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(screening, "_LEDGERS", {})
     screening._ledger(spark, sf_dir)
     assert len(seen) == 5 and not any(scans(t) or "Window" in t for t in seen)
+
+
+def test_evaluation(spark, sf_dir):
+    # the curve is read twice, each with its stamps
+    assert scans(plan(QUERIES["eval_half_life"](spark, sf_dir))) <= 4
+    assert scans(plan(QUERIES["eval_factor_ranking"](spark, sf_dir))) == 0
+
+
+def test_rank_and_ties_share_a_sort(spark):
+    from longpanel.functions.ordered import with_rank
+
+    df = spark.range(9).selectExpr("id % 2 k", "if(id = 4, null, double(id % 3)) v")
+    out = with_rank(df, ["k"], "v", "r")
+    assert plan(out).count("+- Sort") <= 1
+    assert sorted((r["k"], r["v"], r["r"]) for r in out.where("v is not null").collect()) == [
+        (0, 0.0, 1.5), (0, 0.0, 1.5), (0, 2.0, 3.5), (0, 2.0, 3.5), (1, 0.0, 1.0), (1, 1.0, 2.5), (1, 1.0, 2.5), (1, 2.0, 4.0)]
