@@ -47,3 +47,8 @@ def test_rank_and_ties_share_a_sort(spark):
     assert plan(out).count("+- Sort") <= 1
     assert sorted((r["k"], r["v"], r["r"]) for r in out.where("v is not null").collect()) == [
         (0, 0.0, 1.5), (0, 0.0, 1.5), (0, 2.0, 3.5), (0, 2.0, 3.5), (1, 0.0, 1.0), (1, 1.0, 2.5), (1, 1.0, 2.5), (1, 2.0, 4.0)]
+
+
+def test_all_features(spark, sf_dir):
+    for name in ("study_ic_all_features", "study_correlation_all_features"):
+        assert scans(plan(QUERIES[name](spark, sf_dir))) == 0
