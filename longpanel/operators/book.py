@@ -8,13 +8,14 @@ to snapshot.  Nothing replays events one at a time, and no step gathers a symbol
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import SYMBOL, ratio, require_columns
-from ..functions.ordered import annotate, durable, row_bound, with_running
+from ..functions.ordered import BROADCAST_VALUES, annotate, durable, row_bound, with_running
 from ..functions.ticks import right_label
 
 CHANNEL, SEQ = "channel_id", "seq_id"
@@ -95,7 +96,8 @@ def order_changes(slotted: DataFrame, session: Sequence[str] = ()
     same = [F.col(k) == F.col(f"_of_{k}") for k in [*by, "key"]]
     alive = (F.col(SEQ) > F.col("_aseq")) & (F.col("_until").isNull() | (F.col(SEQ) < F.col("_until")))
     # at most one order of a key is alive at a time, so a decrement stays one row
-    hit = dec.join(named, [*same, alive], "left").drop(*[f"_of_{k}" for k in [*by, "key"]])
+    # read by four branches below
+    hit = durable(dec.join(named, [*same, alive], "left").drop(*[f"_of_{k}" for k in [*by, "key"]]))
     missed = hit.where(F.col("_aseq").isNull()).select(*by, "slot")
     hit = hit.where(F.col("_aseq").isNotNull())
     ended = adds.where(F.col("_until").isNotNull()).withColumns({
@@ -150,18 +152,20 @@ def book_snapshots(events: DataFrame, slot_ns: int, *, session: Sequence[str] =
     homes = homes.join(slots.select(*ses, CHANNEL, F.col("slot").alias("_first"),
                                     F.col("_k").alias("_k0"), "_n"), [*ses, CHANNEL, "_first"])
     at = slots.select(*ses, CHANNEL, "slot", "_k")
+    if at.count() <= BROADCAST_VALUES:
+        at = F.broadcast(at)
 
     # sums of integer changes per level and slot, combined before the shuffle
     changes, lost = order_changes(e, ses)
-    lv = changes.groupBy(*by, "side", "price", "slot").agg(
-        F.sum("dq").alias("dq"), F.sum("dn").alias("dn"))
+    lv = durable(changes.groupBy(*by, "side", "price", "slot").agg(
+        F.sum("dq").alias("dq"), F.sum("dn").alias("dn")))
     # a book can only differ at slots in which it changed: levels are laid over those, and the
     # finished state is carried to the slots in between.  One row per symbol and slot.
     marks = lv.select(*by, "slot").distinct().join(homes.select(*by, CHANNEL, "_n"), by).join(
         at, [*ses, CHANNEL, "slot"])
     mw = W.partitionBy(*by).orderBy("_k")
     marks = marks.select(
-        *by, "slot", "_k", (F.row_number().over(mw) - 1).alias("_j"),
+        *by, CHANNEL, "slot", "_k", (F.row_number().over(mw) - 1).alias("_j"),
         F.count(F.lit(1)).over(W.partitionBy(*by)).cast("int").alias("_m"),
         F.coalesce(F.lead("_k").over(mw), F.col("_n")).alias("_next"))
     lv = lv.join(marks.select(*by, "slot", "_j", "_m"), [*by, "slot"])
@@ -194,9 +198,9 @@ def book_snapshots(events: DataFrame, slot_ns: int, *, session: Sequence[str] =
         total(buy, "_cnt").alias("n_bid_orders"), total(sell, "_cnt").alias("n_ask_orders"),
         F.count(F.when(buy, 1)).alias("bid_levels"), F.count(F.when(sell, 1)).alias("ask_levels"))
 
-    state = state.join(marks.select(*by, "_j", "_k", "_next"), [*by, "_j"])
-    state = state.withColumn("_k", F.explode(F.sequence(F.col("_k"), F.col("_next") - 1))).drop(
-        "_j", "_next")
+    state = state.join(marks.select(*by, CHANNEL, "_j", "_k", "_next"), [*by, "_j"])
+    state = state.withColumn("_k", F.explode(F.sequence(F.col("_k"), F.col("_next") - 1))).join(
+        at, [*ses, CHANNEL, "_k"]).drop("_j", "_next", CHANNEL, "_k")
 
     trade = F.col("kind") == "trade"
 
@@ -210,9 +214,13 @@ def book_snapshots(events: DataFrame, slot_ns: int, *, session: Sequence[str] =
     miss = lost.groupBy(*by, "slot").agg(F.count(F.lit(1)).alias("_lost"))
 
     frame = homes.select(*by, CHANNEL, "exchange", F.explode(
-        F.sequence(F.col("_k0"), F.col("_n") - 1)).alias("_k")).join(at, [*ses, CHANNEL, "_k"])
-    out = (frame.join(state, [*by, "_k"], "left").join(flow, [*by, "slot"], "left")
-           .join(miss, [*by, "slot"], "left"))
+        F.sequence(F.col("_k0"), F.col("_n") - 1)).alias("_k")).join(at, [*ses, CHANNEL, "_k"]).select(
+        *by, "slot", "exchange", F.lit(True).alias("_framed"))
+    # each part has at most one row per symbol and slot: they go to their symbol once, where joins would move the whole
+    # frame for each, and the windows over a symbol's slots need no Exchange after that
+    parts = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (frame, state, flow, miss)).repartition(*by)
+    out = parts.groupBy(*by, "slot").agg(
+        *[F.max(c).alias(c) for c in parts.columns if c not in (*by, "slot")]).where("_framed").drop("_framed")
     counts = ("bid_qty", "ask_qty", "bid_depth5", "ask_depth5", "n_bid_orders", "n_ask_orders",
               "bid_levels", "ask_levels", "slot_trades", "slot_qty", "slot_buy_qty",
               "slot_sell_qty", "_lost")
@@ -220,7 +228,7 @@ def book_snapshots(events: DataFrame, slot_ns: int, *, session: Sequence[str] =
     out = out.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in ("best_bid", "best_ask")})
     # one row per symbol and slot
     out = out.withColumn("unresolved", F.sum("_lost").over(
-        W.partitionBy(*by).orderBy("_k").rowsBetween(W.unboundedPreceding, 0)))
+        W.partitionBy(*by).orderBy("slot").rowsBetween(W.unboundedPreceding, 0)))
     keep = (F.col("n_bid_orders") + F.col("n_ask_orders") > 0) | (F.col("slot_trades") > 0)
     if grid == "own":
         keep = keep & F.coalesce(F.col("_own"), F.lit(False))

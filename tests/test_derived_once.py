@@ -52,3 +52,11 @@ def test_rank_and_ties_share_a_sort(spark):
 def test_all_features(spark, sf_dir):
     for name in ("study_ic_all_features", "study_correlation_all_features"):
         assert scans(plan(QUERIES[name](spark, sf_dir))) == 0
+
+
+def test_book_parts_go_to_their_symbol_once(spark, sf_dir):
+    from longpanel.operators.book import book_snapshots
+    from longpanel.sources.panels import order_events
+
+    text = plan(book_snapshots(order_events(spark, sf_dir), 3600 * 10**9))
+    assert text.count("REPARTITION_BY_COL") == 1 and "LeftOuter" not in text
