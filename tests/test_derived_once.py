@@ -60,3 +60,37 @@ def test_book_parts_go_to_their_symbol_once(spark, sf_dir):
 
     text = plan(book_snapshots(order_events(spark, sf_dir), 3600 * 10**9))
     assert text.count("REPARTITION_BY_COL") == 1 and "LeftOuter" not in text
+
+
+class Stop(Exception):
+    pass
+
+
+def caught(monkeypatch, owner, name, run):
+    """The plan of the frame that a step was given; the run ends there."""
+    seen = []
+
+    def stop(*args, **kwargs):
+        seen.extend(plan(a) for a in args if hasattr(a, "explain"))
+        raise Stop
+
+    monkeypatch.setattr(owner, name, stop)
+    try:
+        run()
+    except Stop:
+        pass
+    return seen
+
+
+def test_walk_forward_splits_what_is_written(spark, sf_dir, monkeypatch):
+    from longpanel.operators.validate import PurgedWalkForward
+
+    seen = caught(monkeypatch, PurgedWalkForward, "split", lambda: QUERIES["model_walk_forward_linear"](spark, sf_dir))
+    assert seen and not any(scans(t) for t in seen)
+
+
+def test_daily_study_reads_a_written_panel(spark, sf_dir, monkeypatch):
+    from longpanel.operators import masks
+
+    seen = caught(monkeypatch, masks, "build_masks", lambda: QUERIES["study_daily_performance"](spark, sf_dir))
+    assert seen and not any(scans(t) for t in seen)
