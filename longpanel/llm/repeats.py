@@ -29,11 +29,15 @@ from pyspark.sql import functions as F
 from .joins import keys_side, whole_groups
 from .rows import with_row
 from .scratch import partitions, stage
-from .words import U, Hasher, _BYTES, batches, gram_hashes, word_hashes
+from .words import U, Hasher, _BYTES, batches, gram_hashes, mix, word_hashes
 
 BLOCK = 4096
+#: Stretches whose text a task remembers to have written.
+SEEN = 500_000
 #: Most repeated anchor hashes that are broadcast; above it texts are joined with their own.
 ANCHORS = 8_000_000
+#: Bytes of text that are cut together: their arrays stay in a core's cache.
+BATCH = 200_000
 _HASH = Hasher()
 
 
@@ -61,10 +65,8 @@ def cut(raw: list[bytes], unit: Unit) -> Cut:
         return Cut(start, end, np.searchsorted(row, np.arange(len(raw) + 1)), gram_hashes(words, unit.gram), buf)
     buf = np.frombuffer(b"".join(raw), np.uint8)
     first = np.concatenate(([0], np.cumsum([len(t) for t in raw]))).astype(np.int64)
-    m = max(0, len(buf) - unit.gram + 1)
-    at = np.arange(m)
-    place = np.arange(len(buf))
-    return Cut(place, place + 1, first, _HASH.slices(_BYTES[buf], at, at + unit.gram) if m else np.empty(0, np.uint64), buf)
+    place = np.arange(len(buf) + 1)
+    return Cut(place[:-1], place[1:], first, _HASH.runs(_BYTES[buf], unit.gram), buf)
 
 
 def anchors(c: Cut, unit: Unit) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -75,26 +77,27 @@ def anchors(c: Cut, unit: Unit) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     if n <= 0:
         return np.empty(0, np.uint64), empty, empty, empty
     bits = U((1 << 24) - 1)
-    pad = -len(g) % w
-    key = np.concatenate(((g & ~bits) | np.arange(len(g), dtype=np.uint64), np.full(pad, ~U(0))))
+    key = np.full((len(g) + w - 1) // w * w, ~U(0))
+    np.bitwise_and(g, ~bits, out=key[:len(g)])
+    key[:len(g)] |= np.arange(len(g), dtype=np.uint64)
     block = key.reshape(-1, w)
     ahead = np.minimum.accumulate(block, axis=1).ravel()
     back = np.minimum.accumulate(block[:, ::-1], axis=1)[:, ::-1].ravel()
-    at = (np.minimum(back[:n], ahead[w - 1:w - 1 + n]) & bits).astype(np.int64)
-    # windows lie within a row
-    row = np.repeat(np.arange(len(c.first) - 1), np.diff(c.first))
-    fits = row[:n] == row[unit.length - 1:unit.length - 1 + n]
-    edge = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (row[1:n] != row[:n - 1]))))
-    lo, size = edge, np.diff(np.append(edge, n))
-    # the windows of a row that run over its end are its last ones
-    whole = np.concatenate(([0], np.cumsum(fits)))
-    size = whole[lo + size] - whole[lo]
-    keep = (size > 0)
-    lo, size = lo[keep], size[keep]
-    return g[at[lo]], row[lo], lo, size
-
-
-def _texts(frame: pd.DataFrame, limit: int = 1_000_000) -> Iterator[tuple[int, list[bytes]]]:
+    best = np.minimum(back[:n], ahead[w - 1:w - 1 + n])
+    # a stretch ends where the anchor changes, and with its row
+    new = np.ones(n, bool)
+    np.not_equal(best[1:], best[:-1], out=new[1:])
+    new[c.first[c.first < n]] = True
+    lo = np.flatnonzero(new)
+    row = np.searchsorted(c.first, lo, side="right") - 1
+    # windows lie within a row: those that run over its end are its last ones
+    size = np.minimum(np.append(lo[1:], n), c.first[row + 1] - unit.length + 1) - lo
+    keep = size > 0
+    lo, row, size = lo[keep], row[keep], size[keep]
+    return mix(g[(best[lo] & bits).astype(np.int64)]), row, lo, size
+
+
+def _texts(frame: pd.DataFrame, limit: int = BATCH) -> Iterator[tuple[int, list[bytes]]]:
     """Batches of a frame's texts as bytes, with the number of the first; a text beyond 2**24 units is cut by callers."""
     raw = [t.encode() if isinstance(t, str) else b"" for t in frame["text"]]
     for a, b in batches([len(t) for t in raw], limit):
@@ -150,33 +153,33 @@ def stretches(docs: DataFrame, unit: Unit) -> DataFrame:
 
     def emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = shared.value if shared is not None else None
-        seen: set[tuple[int, int]] = set()
+        seen: set[int] = set()
         for frame in frames:
+            keys, rows, made = frame["key"].to_numpy(), frame["row"].to_numpy(), []
             for a, raw in _texts(frame):
                 for part, skip, _ in _pieces(raw, unit):
                     c = cut(part, unit)
                     h, row, lo, n = anchors(c, unit)
                     h = h.astype(np.int64)
-                    keep = np.arange(len(h))
                     if known is not None:
-                        keep = np.flatnonzero(known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h) if len(known) else keep[:0]
-                    h, row, lo, n = h[keep], row[keep], lo[keep], n[keep]
+                        keep = _among(h, known)
+                        h, row, lo, n = h[keep], row[keep], lo[keep], n[keep]
                     if not len(h):
                         continue
                     x, y = c.start[lo], c.end[lo + n + unit.length - 2]
                     s = _stretch_hash(c, x, y, lo, n, unit).astype(np.int64)
-                    body: list[bytes | None] = []
+                    body = np.full(len(h), None, object)
                     data = c.buf.tobytes()
-                    for i, pair in enumerate(zip(h.tolist(), s.tolist())):
-                        if pair in seen:
-                            body.append(None)
-                        else:
-                            seen.add(pair)
-                            body.append(b" ".join(data[x[i]:y[i]].split()) if unit.words else data[x[i]:y[i]])
-                    if len(seen) > 300_000:
+                    # a stretch holds its anchor: its own hash tells it apart
+                    for i, z in enumerate(s.tolist()):
+                        if z not in seen:
+                            seen.add(z)
+                            body[i] = b" ".join(data[x[i]:y[i]].split()) if unit.words else data[x[i]:y[i]]
+                    if len(seen) > SEEN:
                         seen.clear()
-                    yield pd.DataFrame({"h": h, "s": s, "row": frame["row"].to_numpy()[a + row], "key": frame["key"].to_numpy()[a + row],
-                                        "lo": lo - c.first[row] + skip, "n": n.astype(np.int32), "body": body})
+                    made.append((h, s, rows[a + row], keys[a + row], lo - c.first[row] + skip, n.astype(np.int32), body))
+            if made:
+                yield pd.DataFrame(dict(zip(("h", "s", "row", "key", "lo", "n", "body"), map(np.concatenate, zip(*made)))))
 
     out = t.mapInPandas(emit, schema)
     if shared is None:
@@ -184,6 +187,16 @@ def stretches(docs: DataFrame, unit: Unit) -> DataFrame:
     return stage(out, "stretches")
 
 
+def _among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Places in ``h`` of values that the sorted ``known`` holds; looked up in order, which walks ``known`` once."""
+    if not len(known):
+        return np.empty(0, np.int64)
+    order = np.argsort(h)
+    sorted_h = h[order]
+    found = known[np.minimum(np.searchsorted(known, sorted_h), len(known) - 1)] == sorted_h
+    return np.sort(order[found])
+
+
 def _stretch_hash(c: Cut, x: np.ndarray, y: np.ndarray, lo: np.ndarray, n: np.ndarray, unit: Unit) -> np.ndarray:
     """Hash of the units of each stretch, whatever stands between its words."""
     if not unit.words:

@@ -67,12 +67,28 @@ class Hasher:
         self.up = self.down = np.empty(0, np.uint64)
 
     def slices(self, symbols: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        total = self.sums(symbols)
+        return mix((total[end] - total[start]) * self.down[start])
+
+    def runs(self, symbols: np.ndarray, n: int) -> np.ndarray:
+        """Hashes, not spread by :func:`mix`, of every run of ``n`` symbols, by its first."""
+        if len(symbols) < n:
+            return np.empty(0, np.uint64)
+        total = self.sums(symbols)
+        out = total[n:] - total[:-n]
+        out *= self.down[:len(out)]
+        return out
+
+    def sums(self, symbols: np.ndarray) -> np.ndarray:
+        """Running sums of symbols times powers; a difference times ``down`` at its start is a slice's hash, not spread."""
         n = len(symbols)
         if len(self.up) <= n:
             self.up, self.down = _powers(_MULT, n + 1), _powers(_INV, n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(symbols * self.up[:n], out=total[1:])
-        return mix((total[end] - total[start]) * self.down[start])
+        total = np.empty(n + 1, np.uint64)
+        total[0] = 0
+        np.multiply(symbols, self.up[:n], out=total[1:])
+        np.cumsum(total[1:], out=total[1:])
+        return total
 
 
 _HASHER = Hasher()

@@ -451,6 +451,33 @@ def test_pieces_of_a_long_text_give_its_windows(unit, monkeypatch):
     assert set(found) == whole and max(found.values()) == 1
 
 
+def test_stretches_without_a_partner_are_left_out_alone(monkeypatch):
+    """Few stretches go to the transforms, and the ranges are those of all of them; steps of several symbols change nothing."""
+    r = random.Random(9)
+    unit, core = bwt_dedup.BYTES, [bytes(r.choice(b"abcde ") for _ in range(70)) for _ in range(6)]
+    raw = [bytes(r.choice(b"abc") for _ in range(60)) + r.choice(core) + bytes(r.choice(b"abc") for _ in range(60)) for _ in range(40)]
+    raw += [raw[0][:150] + b"z" * 90, b"y" * 40 + raw[1][30:], raw[2], b"a" * 260, b"x" + b"a" * 150]
+    h, row, lo, n = repeats.anchors(repeats.cut(raw, unit), unit)
+    first = np.concatenate(([0], np.cumsum([len(x) for x in raw])))
+    places = {}
+    for i, (x, p, k) in enumerate(zip(row.tolist(), (lo - first[row]).tolist(), n.tolist())):
+        places.setdefault((int(h[i]), raw[x][p:p + k + 99]), []).append((x, p, k))
+    bodies = [b for _, b in places]
+    args = (bodies, np.array([v[0][2] for v in places.values()]), np.array([len(v) for v in places.values()]),
+            np.array([v[0][0] for v in places.values()]), np.array([v[0][1] for v in places.values()]))
+    some = bwt_dedup.partnered(args[0], args[1])
+    windows = collections.Counter(w for b in bodies for w in {b[i:i + 100] for i in range(len(b) - 99)})
+    shared = np.array([any(windows[b[i:i + 100]] > 1 for i in range(len(b) - 99)) for b in bodies])
+    assert shared.any() and not some.all() and (some | ~shared).all()
+    got = bwt_dedup.repeated(*args)
+    monkeypatch.setattr(bwt_dedup, "STEP", 1)
+    assert got == bwt_dedup.merge(*args)
+    sent = []
+    merge = bwt_dedup.merge
+    monkeypatch.setattr(bwt_dedup, "merge", lambda few, *rest: sent.append(len(few)) or merge(few, *rest))
+    assert bwt_dedup.repeated(*args) == got and sent == [int(some.sum())]
+
+
 def test_merged_transforms_sort_rotations():
     """The interleaved order of shards is that of all rotations sorted together, block by block."""
     r = random.Random(6)
