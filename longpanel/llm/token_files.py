@@ -27,7 +27,8 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, chain, islice
+from operator import attrgetter
 
 import numpy as np
 import pandas as pd
@@ -56,9 +57,10 @@ _BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SH
 #: A newline that is not alone between non-spaces.
 _EDGE = re.compile(r"\A\n|\n\Z|\s\n|\n\s")
 #: Most pieces remembered that follow a space, that begin a text or line, and code points of the longest.
-KEEP, KEEP_FIRST, _LONGEST = 200_000, 20_000, 48
+KEEP, KEEP_FIRST, _LONGEST = 400_000, 20_000, 48
+_ID = attrgetter("id")
 #: Bytes of text that are encoded together; a longer text stands alone.
-BATCH = 4 << 20
+BATCH = 8 << 20
 
 
 class Known:
@@ -84,7 +86,8 @@ class Known:
     def learn(self, pieces: list[str], ids: list[bytes]) -> None:
         import pyarrow as pa
 
-        few = [(p, b) for p, b in zip(pieces, ids) if len(p) <= _LONGEST][:max(0, self.room - len(self.pieces))]
+        room = self.room - len(self.pieces)
+        few = list(islice(((p, b) for p, b in zip(pieces, ids) if len(p) <= _LONGEST), room)) if room > 0 else []
         if few:
             self.pieces = pa.concat_arrays([self.pieces, pa.array([p for p, _ in few])])
             self.ids = np.concatenate((self.ids, np.frombuffer(b"".join([b for _, b in few]), self.kind)))
@@ -136,24 +139,29 @@ class Encoder:
         """Ids of words of letters, each after ``lead``."""
         lead = lead.translate(_BYTES)
         ids, size, tokenize = [], [], self.model.tokenize
-        for p in words:
-            got = tokenize(lead + (p if p.isascii() else p.encode().decode("latin-1").translate(_BYTES)))
-            ids += [t.id for t in got]
-            size.append(len(got))
+        for at in range(0, len(words), 5000):
+            got = [tokenize(lead + (p if p.isascii() else p.encode().decode("latin-1").translate(_BYTES))) for p in words[at:at + 5000]]
+            ids += map(_ID, chain.from_iterable(got))
+            size += map(len, got)
         raw, end = np.array(ids, self.kind).tobytes(), np.cumsum(size, dtype=np.int64) * self.width
         return [raw[x:y] for x, y in zip([0, *end[:-1].tolist()], end.tolist())]
 
-    def _plain(self, known: Known, pieces: list[str], lead: str) -> dict[str, bytes]:
-        """Ids of different pieces that need no taking apart, known or not; what is new is remembered."""
+    def _plain(self, known: Known, pieces: list[str], new: list[str], lead: str) -> dict[str, bytes]:
+        """Ids of different pieces that need no taking apart: ``pieces`` may be known, ``new`` are not; these are remembered."""
         import pyarrow as pa
 
-        place = known.find(pa.array(pieces, pa.string()))
-        had = np.flatnonzero(place >= 0)
-        out = dict(zip([pieces[i] for i in had.tolist()], known.at(place[had])))
-        new = [pieces[i] for i in np.flatnonzero(place < 0).tolist()]
-        match = _LETTERS.fullmatch
-        words = [p for p in new if match(p)] if self.direct else []
-        lines = [p for p in new if not match(p) and p and not _SPACE.search(p)] if self.direct else [p for p in new if p and not _SPACE.search(p)]
+        out = {}
+        if pieces:
+            place = known.find(pa.array(pieces, pa.string()))
+            had = np.flatnonzero(place >= 0)
+            out = dict(zip([pieces[i] for i in had.tolist()], known.at(place[had])))
+            new = new + [pieces[i] for i in np.flatnonzero(place < 0).tolist()]
+        words, lines, match = [], [], _LETTERS.fullmatch
+        for p in new:
+            if self.direct and (p.isascii() and p.isalpha() or match(p)):
+                words.append(p)
+            elif p and not _SPACE.search(p):
+                lines.append(p)
         ids = self._words(words, lead) + self._lines(lines, lead)
         lines = words + lines
         known.learn(lines, ids)
@@ -163,10 +171,12 @@ class Encoder:
         return out
 
     def _pieces(self, heads: list[str], tails: list[str]) -> tuple[list[bytes], list[bytes]]:
-        """Ids of different pieces that begin a text (``heads``) or follow a space (``tails``)."""
-        sides = []
+        """Ids of different pieces that begin a text (``heads``) or follow a space (``tails``, which are not known)."""
+        sides, unknown = [], []
         for side in (heads, tails):
-            parts = {p for p in side if p.isalpha()}
+            fresh = [p for p in side if p.isalpha()] if side is tails else []
+            unknown.append(fresh)
+            parts = {p for p in side if p.isalpha()} if side is heads else set()
             made = []  # (piece, its first part, marks at its end, lines after it)
             for p in side:
                 if p.isalpha():
@@ -191,7 +201,8 @@ class Encoder:
             for _, _, mark, rest in made:
                 begin.add(mark)
                 begin.update(rest)
-        found = [self._plain(k, list(parts), lead) for k, (_, parts, _), lead in zip((self.first, self.later), sides, ("", " "))]
+        found = [self._plain(k, list(parts.difference(fresh)), fresh, lead)
+                 for k, (_, parts, _), fresh, lead in zip((self.first, self.later), sides, unknown, ("", " "))]
         start, out = found[0], []
         for known, ids, (side, _, made) in zip((self.first, self.later), found, sides):
             whole, joined = dict(ids), []

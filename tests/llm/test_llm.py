@@ -264,6 +264,25 @@ def test_tokens_round_trip(spark):
     assert len(got) == len(texts)
 
 
+def test_pieces_that_are_not_known_are_looked_up_once(monkeypatch):
+    """Ids are the tokenizer's; what a batch has found missing goes to the model, and a full store takes no more."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_files, "KEEP", 8)
+    e = token_files.Encoder(tokenizer())
+    seen = []
+    find = token_files.Known.find
+    monkeypatch.setattr(token_files.Known, "find", lambda self, pieces: seen.append(pieces.to_pylist()) or find(self, pieces))
+    for words in ("one two three, four!! \u00e9t\u00e9 \u4e2d\u6587 x1.", "five six, seven. three\nfour eight (nine) \u00e9t\u00e9!", "one ten eleven, five six"):
+        texts = [f"{words} {words} last", "", words]
+        ids, size = e.encode(pa.array(texts), np.array([2], e.kind).tobytes())
+        want = [[*e.tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+        assert ids.tolist() == sum(want, []) and size.tolist() == [len(w) for w in want]
+    # a column is looked up whole, then only what stands before marks
+    assert not any("two" in x or "ten" in x for x in seen if len(set(x)) == len(x) and "last" not in x)
+    assert len(e.later.pieces) == len(e.later.size) == 8
+
+
 def test_encoder_on_random_strings():
     e = token_files.Encoder(tokenizer())
     r = random.Random(4)
