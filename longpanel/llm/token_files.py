@@ -60,7 +60,7 @@ _EDGE = re.compile(r"\A\n|\n\Z|\s\n|\n\s")
 KEEP, KEEP_FIRST, _LONGEST = 400_000, 20_000, 48
 _ID = attrgetter("id")
 #: Bytes of text that are encoded together; a longer text stands alone.
-BATCH = 8 << 20
+BATCH = 6 << 20
 
 
 class Known:
@@ -241,21 +241,32 @@ class Encoder:
         begins = [first[p] for p in heads]
         for i in whole:
             begins[i] = self.whole(texts[i].as_py())
+        indices = coded.indices.to_numpy()
+        del lists, flat, coded, first, heads
         # units: what was known, the new later pieces, then the heads, then what closes a text
         more = [*later, *begins, end]
         units = np.concatenate((units, np.frombuffer(b"".join(more), self.kind)))
         size = np.concatenate((sizes, np.fromiter(map(len, more), np.int32, len(more)) // np.int32(self.width)))
-        code[missing] = n + coded.indices.to_numpy()
+        code[missing] = n + indices
         code[cut[:-1]] = n + len(later) + np.arange(len(texts))
         code = np.insert(code, cut[1:], len(size) - 1)
         # places in a batch fit 32 bits
         start = np.cumsum(size, dtype=np.int32) - size
         each = size[code]
         ends = np.cumsum(each, dtype=np.int32)
-        at = np.repeat(start[code] - (ends - each), each)
-        at += np.arange(len(at), dtype=np.int32)
+        base = start[code]
+        base -= ends
+        base += each
+        # laid out by stretches: what a stretch needs stays small
+        ids = np.empty(int(ends[-1]) if len(ends) else 0, self.kind)
+        for x in range(0, len(code), 1 << 17):
+            y = min(len(code), x + (1 << 17))
+            a, z = int(ends[x] - each[x]), int(ends[y - 1])
+            at = np.repeat(base[x:y], each[x:y])
+            at += np.arange(a, z, dtype=np.int32)
+            ids[a:z] = units[at]
         last = ends[cut[1:] + np.arange(len(texts))].astype(np.int64)
-        return units[at], np.diff(last, prepend=0)
+        return ids, np.diff(last, prepend=0)
 
 
 _ENCODERS: dict[str, Encoder] = {}
