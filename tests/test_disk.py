@@ -8,10 +8,12 @@ import pytest
 from conftest import rows, same
 from longpanel.functions.columns import TS
 from longpanel.functions.ordered import CLEANUP_CONF, durable
+from longpanel.operators import covariance as K
 from longpanel.operators import evaluate as E
 from longpanel.operators import features_daily as D
 from longpanel.plans.catalog import load, studies
 from test_derived_once import plan
+from test_pair_tiles import frame
 
 QUERIES = load().queries
 
@@ -65,3 +67,19 @@ def test_study_in_groups_of_features(spark, sf_dir, monkeypatch):
     same(whole, QUERIES["study_ic_all_features"](spark, sf_dir), ["factor"])
     with pytest.raises(ValueError):
         D.compute_features(whole.selectExpr("1 ts", "1 symbol", *[f"1.0 {c}" for c in D.REQUIRED]), ["rev_5"], written_ranks=True)
+
+
+def test_a_task_passes_over_the_tile_it_does_not_hold(spark, monkeypatch):
+    p = frame(n=61, t=25)
+    df = spark.createDataFrame(p)
+    m = p.merge(p, on="ts").query("symbol_x <= symbol_y")
+    want = {k: (len(g), (g.ret_x * g.ret_y).sum()) for k, g in m.groupby(["symbol_x", "symbol_y"])}
+    monkeypatch.setattr(K, "ROW", 60)  # two symbols a row
+    out = K.pair_moments(df, block=4, slice_len=7)
+    text = plan(out)
+    # rows come as they were sorted for the task: its own tile first, and no second sort or shuffle over them
+    assert text.count("Exchange") == 1 and text.count("Sort ") == 1 and "_b" in text.split("Sort [")[1].split("]")[0]
+    got = {(r.symbol_i, r.symbol_j): r for r in out.collect()}
+    assert got.keys() == want.keys() and all(got[k].n == n and abs(got[k].sij - s) < 1e-9 for k, (n, s) in want.items())
+    # a panel is not dealt out more often than there are tiles
+    assert K._tile(60_000, 361, 32, 100) == (7500, True) and K._tile(360_000, 361, 32, 100)[0] > 40_000
