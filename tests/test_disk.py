@@ -4,14 +4,17 @@ import os
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import rows, same
-from longpanel.functions.columns import TS
-from longpanel.functions.ordered import CLEANUP_CONF, durable
+from longpanel.functions.columns import SYMBOL, TS
+from longpanel.functions.ordered import CLEANUP_CONF, annotate, durable, join_back, staged
 from longpanel.operators import covariance as K
 from longpanel.operators import evaluate as E
 from longpanel.operators import features_daily as D
+from longpanel.operators import masks as M
 from longpanel.plans.catalog import load, studies
+from longpanel.sources.panels import weekly_panel
 from test_derived_once import plan
 from test_pair_tiles import frame
 
@@ -59,6 +62,47 @@ def test_what_is_written_leaves_no_shuffle_files(spark):
     assert out.count() == 7
 
 
+def test_turnover_and_buckets_go_side_by_side(spark, hot, monkeypatch):
+    df = panel(spark).where("not (symbol = '17' and ts < '2024-01-02')")
+    # too few names with a value at the second stamp: the third is compared with the first
+    df = df.withColumn("c", F.when((F.dayofmonth("ts") == 1) | (F.dayofmonth("ts") == 3), F.col("y")))
+    cols = ["a", "b", "c"]
+    for d in (df, df.unionByName(df.where("symbol < '2'").withColumn("a", F.col("a") + 1)),
+              df.unionByName(df.where("symbol < '2'").withColumn("symbol", F.lit(None).cast("string")))):
+        one, buckets = E.turnover(d, cols), E.bucketed(d, cols, "y", 4)
+        with hot:
+            same(one, E.turnover(d, cols), ["factor", TS], tol=1e-12)
+            if d is df:  # rows with one key and value may fall into either bucket
+                same(buckets, E.bucketed(d, cols, "y", 4), ["factor", TS, "bucket"], tol=1e-12)
+    text = plan(E.turnover(df, cols))
+    assert "Generate" not in text and text.count("Exchange hashpartitioning") == 2
+    assert "Generate" not in plan(E.bucketed(df, cols, "y", 4))
+    whole = E.factor_ranking(df, cols, "y")
+    monkeypatch.setattr(E, "CELLS", 1)
+    same(whole, E.factor_ranking(df, cols, "y"), ["factor"])
+
+
+def test_masks_of_the_same_rows(spark, sf_dir):
+    p = weekly_panel(spark, sf_dir)
+    cols = ["close", "vwap"]
+    p = durable(p)
+    same(M.masked(p, cols), M.apply_masks(p, M.build_masks(p), columns=cols), [SYMBOL, TS])
+    assert "Join" not in plan(M.masked(p, cols)) and M.masked(p, cols).where("vwap is null").count() > 0
+
+
+def test_a_staged_table_is_deleted(spark):
+    with staged(spark.range(5).toDF("v")) as t:
+        files = t.inputFiles()
+        assert t.count() == 5 and all(os.path.exists("/" + f.removeprefix("file:///")) for f in files)
+    assert not any(os.path.exists("/" + f.removeprefix("file:///")) for f in files)
+
+
+def test_statistics_of_few_groups_are_broadcast(spark):
+    df = annotate(spark.range(100).selectExpr("id % 3 k", "id v"), {"k": (40, 3)})
+    out = join_back(df, df.groupBy("k").agg(F.sum("v").alias("s")), ["k"])
+    assert "BroadcastHashJoin" in plan(out) and out.where("s is null").count() == 0
+
+
 def test_study_in_groups_of_features(spark, sf_dir, monkeypatch):
     whole = QUERIES["study_ic_all_features"](spark, sf_dir)
     monkeypatch.setattr(studies, "CELLS", 1)
